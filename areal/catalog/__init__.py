@@ -1,6 +1,6 @@
 """Registered queries by subject; importing this package fills both dictionaries."""
 
-from areal.catalog import scalars  # noqa: F401
+from areal.catalog import matching, scalars  # noqa: F401
 from areal.catalog.registered import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,7 +6,6 @@ be used in batch and streaming DataFrames alike.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
 
@@ -17,6 +16,9 @@ from pyspark.sql import functions as F
 # trim() know fewer characters).
 SPACE = r"\t\n\x0b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
+# No character beyond this one decomposes (CJK compatibility ideographs end here).
+LAST_DECOMPOSING = 0x2FA1D
+
 # ASCII word edges: Java's \b also counts accented letters.
 _WORD_START = r"(?<![A-Za-z0-9_])"
 _WORD_END = r"(?![A-Za-z0-9_])"
@@ -58,7 +60,7 @@ def _fold_tables(ascii_only: bool) -> tuple[str, str, dict[str, str]]:
     ascii_only leaves out characters that decompose to no ASCII letter or digit.
     """
     single_from, single_to, several = [], [], {}
-    for code in range(0x80, sys.maxunicode + 1):
+    for code in range(0x80, LAST_DECOMPOSING + 1):
         if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF or 0x300 <= code <= 0x36F:
             continue
         ch = chr(code)
@@ -89,18 +91,29 @@ def _hangul_parts(ch: Column) -> Column:
     return F.decode(F.unhex(units), "UTF-16BE")
 
 
-def _expand(value: Column, several: dict[str, str]) -> Column:
+def _ranges(members) -> str:
+    """Characters as a compact regex class body."""
+    codes = sorted(map(ord, members))
+    starts = [c for c in codes if c - 1 not in set(codes)]
+    ends = [c for c in codes if c + 1 not in set(codes)]
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True))
+
+
+@lru_cache(maxsize=2)
+def _several_class(ascii_only: bool) -> str:
+    hangul = "" if ascii_only else "\\x{ac00}-\\x{d7a3}"
+    return f"[{_ranges(_fold_tables(ascii_only)[2])}{hangul}]"
+
+
+def _expand(value: Column, several: dict[str, str], hangul: bool) -> Column:
     """Ligatures, fractions and syllables, written out character by character."""
-    members = F.lit("".join(several))
-    spelled = F.split(F.lit("\x1f".join(several.values())), "\x1f")
+    spelled = F.str_to_map(
+        F.lit("\x1e".join(f"{ch}\x1f{plain}" for ch, plain in several.items())), F.lit("\x1e"), F.lit("\x1f")
+    )
 
     def one(ch: Column) -> Column:
-        known = (ch != "") & (F.instr(members, ch) > 0)
-        return (
-            F.when(ch.rlike("[\uac00-\ud7a3]"), _hangul_parts(ch))
-            .when(known, F.element_at(spelled, F.instr(members, ch)))
-            .otherwise(ch)
-        )
+        known = F.coalesce(F.try_element_at(spelled, ch), ch)
+        return F.when(ch.between("\uac00", "\ud7a3"), _hangul_parts(ch)).otherwise(known) if hangul else known
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
@@ -108,7 +121,7 @@ def _expand(value: Column, several: dict[str, str]) -> Column:
 def _fold(c, ascii_only: bool) -> Column:
     source, target, several = _fold_tables(ascii_only)
     value = text_of(c)
-    expanded = F.when(value.rlike(f"[{''.join(several)}\uac00-\ud7a3]"), _expand(value, several)).otherwise(value)
+    expanded = F.when(value.rlike(_several_class(ascii_only)), _expand(value, several, not ascii_only)).otherwise(value)
     return F.when(F.octet_length(value) == F.char_length(value), value).otherwise(
         F.translate(expanded, source, target)
     )
@@ -131,14 +144,27 @@ def _keep(c: Column, allowed: str) -> Column:
     return F.trim(F.regexp_replace(c, f"[^{allowed}]+", " "))
 
 
+def ascii_fold(c) -> Column:
+    """Fold for keys of ASCII letters and digits: what decomposes to neither is left as it is."""
+    return _fold(c, ascii_only=True)
+
+
+def text_key(folded, variant: str = "match") -> Column:
+    return _keep(_drop_words(F.upper(_col(folded)), TYPE_WORDS[variant]), "A-Z0-9")
+
+
+def exact_key(folded) -> Column:
+    return _keep(F.upper(_col(folded)), "A-Z0-9")
+
+
 def normalize_text(c, variant: str = "match") -> Column:
     """Region name without accents, type words and punctuation, upper case."""
-    return _keep(_drop_words(F.upper(_fold(c, ascii_only=True)), TYPE_WORDS[variant]), "A-Z0-9")
+    return text_key(ascii_fold(c), variant)
 
 
 def normalize_exact(c) -> Column:
     """As normalize_text, but type words stay."""
-    return _keep(F.upper(_fold(c, ascii_only=True)), "A-Z0-9")
+    return exact_key(ascii_fold(c))
 
 
 def normalize_name(c) -> Column:

@@ -45,13 +45,14 @@ def _with_roles(rows: DataFrame) -> DataFrame:
 
 def row_keys(rows: DataFrame) -> DataFrame:
     """Add the lookup key of every tier as columns k10..k50, NULL where it does not apply."""
-    # Two steps, so each normalised text is computed once per row.
-    named = rows.withColumns(
+    # In steps, so each text is folded and normalised once per row.
+    folded = rows.withColumns({"_place": text.ascii_fold("province"), "_name": text.ascii_fold("region_name")})
+    named = folded.withColumns(
         {
             "_code": text.normalize_code("region_code"),
-            "_exact": F.concat(text.normalize_exact("province"), F.lit("|"), text.normalize_exact("region_name")),
-            "_place": text.normalize_text("province"),
-            "_name": text.normalize_text("region_name"),
+            "_exact": F.concat(text.exact_key("_place"), F.lit("|"), text.exact_key("_name")),
+            "_place": text.text_key("_place"),
+            "_name": text.text_key("_name"),
         }
     )
     both = (F.col("province") != "") & (F.col("region_name") != "")
@@ -107,14 +108,15 @@ def _best_by_shuffle(keyed: DataFrame, index: DataFrame) -> DataFrame:
     return keyed.drop(*[f"k{t}" for t in TIERS]).join(best, "row_id", "left")
 
 
-def _decisions(resolutions: DataFrame | None, regions: DataFrame, registry_version: str) -> DataFrame | None:
+def _decisions(
+    resolutions: DataFrame | None, regions: DataFrame, registry_version: str, small: bool
+) -> DataFrame | None:
     """User decisions with their target looked up by region id or canonical id."""
     if resolutions is None:
         return None
     targets = regions.select("region_id", "canonical_region_id")
     names = targets.select(F.col("region_id").alias("target_id"), F.col("region_id").alias("_by_id"))
     canon = targets.groupBy(F.col("canonical_region_id").alias("target_id")).agg(F.max("region_id").alias("_by_canonical"))
-    small = is_small(targets)
     found = lookup_join(resolutions, names, ["target_id"], "left", small=small)
     found = lookup_join(found, canon, ["target_id"], "left", small=small)
     return found.select(
@@ -151,12 +153,11 @@ def match_rows(
     prepared = _with_roles(rows)
     if mode == "permissive":
         return _permissive(prepared, regions, on_duplicate)
-    index = registry.lookup_index(registry.build_keys(regions))
-    if small is None:
-        small = is_small(index)
+    index, measured = registry.shared_index(regions)
+    small = measured if small is None else small
     keyed = row_keys(prepared)
     best = _best_by_broadcast(keyed, index) if small else _best_by_shuffle(keyed, index)
-    decisions = _decisions(resolutions, described, registry_version)
+    decisions = _decisions(resolutions, described, registry_version, small)
     if decisions is None:
         best = best.withColumns({"_action": F.lit(None).cast("string"), "_decided": F.lit(None).cast("string")})
     else:
@@ -212,8 +213,9 @@ def _flag_duplicates(tagged: DataFrame, regions_small: bool) -> DataFrame:
     shared = (
         tagged.filter("region_id IS NOT NULL").groupBy(*group).agg(F.count("*").alias("_rows")).filter("_rows > 1")
     ).select(*group, F.lit(True).alias("_shared"))
-    # One source: no more groups than regions, which were measured already.
-    bounded = regions_small if "source_id" not in tagged.columns else None
+    # One source: no more groups than regions, which were measured. Several
+    # sources: unbounded, so the salted shuffle; measuring would match twice more.
+    bounded = regions_small and "source_id" not in tagged.columns
     joined = lookup_join(tagged, shared, group, "left", spread=["row_id"], small=bounded)
     return joined.withColumn("status", F.when(F.col("_shared"), "duplicate-target").otherwise(F.col("status"))).drop("_shared")
 
@@ -266,7 +268,7 @@ def _permissive(rows: DataFrame, regions: DataFrame, on_duplicate: str) -> DataF
         .groupBy(*group)
         .agg(F.min(F.struct("row_number", "row_id")).alias("_first"))
     )
-    bounded = small if "source_id" not in tagged.columns else None
+    bounded = small and "source_id" not in tagged.columns
     joined = lookup_join(tagged, first, group, "left", spread=["row_id"], small=bounded)
     later = F.col("_first").isNotNull() & (F.struct("row_number", "row_id") != F.col("_first"))
     return joined.withColumn("status", F.when(later, "duplicate-target").otherwise(F.col("status"))).drop("_first")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areal.functions import text
-from areal.plans.sizing import lookup_join
+from areal.plans.sizing import checkpoint, is_small, lookup_join
 
 CANDIDATE_LIMIT = 20  # fixed value: candidates listed per row
 
@@ -113,31 +113,42 @@ def records(regions: DataFrame) -> DataFrame:
 def build_keys(regions: DataFrame) -> DataFrame:
     """Long lookup table (key_type, tier, key, region_id), distinct."""
     base = records(regions)
-    alias = base.select("region_id", "province", F.inline("aliases").alias("name", "alias_province", "code")).withColumn(
-        "province", F.when(F.col("alias_province") != "", F.col("alias_province")).otherwise(F.col("province"))
+    alias = base.select("region_id", "province", F.inline("aliases").alias("name", "alias_province", "code")).select(
+        "region_id",
+        F.when(F.col("alias_province") != "", F.col("alias_province")).otherwise(F.col("province")).alias("province"),
+        "name",
+        "code",
     )
     names = base.select(
         "region_id", "province", F.explode(F.array_distinct(F.array("region_name", "display_name", "source_name"))).alias("name")
     ).filter("name <> ''")
-    codes = base.select("region_id", F.explode(text.code_variants("official_code")).alias("key")).unionByName(
-        alias.select("region_id", F.explode(text.code_variants("code")).alias("key"))
+    # Every name is folded once; the keys of all tiers come from the folded text.
+    folded = (
+        names.select("region_id", "province", "name", F.lit(20).alias("tier"))
+        .unionByName(alias.select("region_id", "province", "name", F.lit(30).alias("tier")))
+        .select("region_id", "tier", text.ascii_fold("province").alias("province"), text.ascii_fold("name").alias("name"))
     )
 
-    def tier(df: DataFrame, number: int, key: Column) -> DataFrame:
-        return df.select(F.lit(TIERS[number][0]).alias("key_type"), F.lit(number).alias("tier"), key.alias("key"), "region_id")
-
-    def pair(normalize) -> Column:
-        return F.concat(normalize("province"), F.lit("|"), normalize("name"))
-
-    both = names.unionByName(alias.select("region_id", "province", "name"))
-    long = (
-        tier(codes, 10, F.col("key"))
-        .unionByName(tier(names, 20, pair(text.normalize_exact)))
-        .unionByName(tier(alias, 30, pair(text.normalize_exact)))
-        .unionByName(tier(both, 40, pair(text.normalize_text)))
-        .unionByName(tier(both, 50, text.normalize_text("name")))
+    def keyed(tier, key) -> Column:
+        return F.struct(F.lit(tier).alias("tier") if isinstance(tier, int) else tier.alias("tier"), key.alias("key"))
+
+    by_name = folded.select(
+        "region_id",
+        F.inline(
+            F.array(
+                keyed(F.col("tier"), F.concat(text.exact_key("province"), F.lit("|"), text.exact_key("name"))),
+                keyed(40, F.concat(text.text_key("province"), F.lit("|"), text.text_key("name"))),
+                keyed(50, text.text_key("name")),
+            )
+        ),
     )
-    return long.filter("key <> ''").distinct()
+    codes = base.select("region_id", F.col("official_code").alias("code")).unionByName(alias.select("region_id", "code"))
+    by_code = codes.select("region_id", F.lit(10).alias("tier"), F.explode(text.code_variants("code")).alias("key"))
+    long = by_code.unionByName(by_name).filter("key <> ''").distinct()
+    key_type = None
+    for tier, (name, _) in TIERS.items():
+        key_type = F.when(F.col("tier") == tier, name) if key_type is None else key_type.when(F.col("tier") == tier, name)
+    return long.select(key_type.alias("key_type"), "tier", "key", "region_id")
 
 
 def lookup_index(keys: DataFrame) -> DataFrame:
@@ -156,6 +167,12 @@ def lookup_index(keys: DataFrame) -> DataFrame:
     return counts.join(first, ["tier", "key"])
 
 
+def shared_index(regions: DataFrame) -> tuple[DataFrame, bool]:
+    """The lookup index of a registry, written once for all its uses, and whether it is small."""
+    index = checkpoint(lookup_index(build_keys(regions)))
+    return index, is_small(index)
+
+
 def canonical(df: DataFrame) -> DataFrame:
     """Canonical region registry; ambiguous rows never carry verified values."""
     unsure = F.col("match_status") == "ambiguous_name"

@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
@@ -72,10 +73,10 @@ def _buckets(distinct: DataFrame, order: str) -> tuple[DataFrame, int]:
     return distinct.withColumn("_bucket", F.size(F.filter(F.lit(cuts), lambda cut: cut < F.col(order)))), len(cuts) + 1
 
 
-def values_at(values: DataFrame, value: str, positions: Column) -> list[float]:
+def values_at(values: DataFrame, value: str, positions: Callable[[int], list[int]]) -> list[float]:
     """Values at 1-based positions of the ascending order, exactly.
 
-    positions is an array expression over the row count ``n``. Equal values are
+    positions gives the wanted positions for a row count. Equal values are
     counted before any ordering, the ordering runs in ranges of bounded size,
     and only the ranges holding a wanted position are ordered at all.
     """
@@ -85,7 +86,7 @@ def values_at(values: DataFrame, value: str, positions: Column) -> list[float]:
     total = sum(r["_rows"] for r in per_bucket)
     if not total:
         return []
-    wanted = values.sparkSession.range(1).select(F.lit(total).alias("n")).select(positions).first()[0]
+    wanted = positions(total)
     before, offsets, needed = 0, [], set()
     for row in per_bucket:
         offsets.append((row["_bucket"], before))
