@@ -9,6 +9,7 @@ from areal.catalog.scalars import sql_code, sql_code_import, sql_exact, sql_text
 from areal.functions import text
 from areal.operators import classify, match, registry
 from areal.plans import inputs
+from areal.plans.sizing import checkpoint
 
 ALIASES_SQL = """SELECT region_id, province_name, parts[1] AS name, coalesce(parts[2], '') AS province, coalesce(parts[3], '') AS code
     FROM (SELECT region_id, province_name,
@@ -367,6 +368,7 @@ def q0(t):
         .groupBy("region_id")
         .agg(F.round(F.sum("amount"), 2).alias("total"), F.count("*").alias("rows"))
     )
+    totals = checkpoint(totals)  # one row per region; the class breaks read it several times
     ready = totals.select(
         "region_id", F.col("region_id").alias("row_id"), F.lit(0).alias("row_number"), F.lit("exact-code").alias("status"),
         F.col("total").cast("string").alias("numeric_value"), F.lit("").alias("category"), "total", "rows",

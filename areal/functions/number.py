@@ -107,6 +107,9 @@ def parse_number(c, locale: str = "auto") -> Column:
     return parsed
 
 
+_DECIMAL = r"\A([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\z"
+
+
 def coerce_value(c) -> Column:
     """Lenient reading of a cell as double, NULL when it is not a finite number."""
     cell = F.regexp_replace(text.text_of(c), f"[{text.SPACE}]+", "")
@@ -118,18 +121,18 @@ def coerce_value(c) -> Column:
     )
 
     def whole(prefix: str, digits: str, base: int) -> Column:
-        found = F.nullif(F.regexp_extract(plain, rf"\A0[{prefix}]([{digits}]+)\z", 1), F.lit(""))
+        found = F.nullif(F.regexp_extract(clean, rf"\A0[{prefix}]([{digits}]+)\z", 1), F.lit(""))
         return F.conv(found, base, 10).try_cast("double")
 
-    number = F.coalesce(
-        F.regexp_extract(plain, r"\A([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\z", 1).try_cast("double"),
-        F.when(clean == "", F.lit(0.0)),
-        whole("xX", "0-9a-fA-F", 16),
-        whole("oO", "0-7", 8),
-        whole("bB", "01", 2),
+    number = (
+        F.when(clean == "", F.lit(0.0))
+        .when(clean.rlike(r"\A0[xXoObB]"), F.coalesce(whole("xX", "0-9a-fA-F", 16), whole("oO", "0-7", 8), whole("bB", "01", 2)))
+        .otherwise(F.regexp_extract(plain, _DECIMAL, 1).try_cast("double"))
     )
-    value = F.when(cell.endswith("%"), number / 100).otherwise(number) + F.lit(0.0)
-    return F.when((cell != "") & ~cell.rlike(r"\A[=+@]"), F.nullif(F.nullif(value, F.lit(float("inf"))), F.lit(float("-inf"))))
+    value = number / F.when(cell.endswith("%"), 100.0).otherwise(1.0) + F.lit(0.0)
+    # Exponents beyond the double range read as infinite, hence as no number.
+    readable = (cell != "") & ~cell.rlike(r"\A[=+@]|[eE][+]?0*[1-9]\d\d|\d{300}")
+    return F.when(readable, value)
 
 
 def format_number(c, fmt: str) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,14 +58,41 @@ WARNINGS = {
 
 @dataclass
 class Classified:
-    """assignments (region_id, row_id, class_key, color); legend (position, key,
-    label, color); no_data (the rows left over); warnings (code, rows, message)."""
+    """assignments: region_id, row_id, class_key, color; class_legend: position,
+    key, label, color. What depends on the rows left over (no_data, legend,
+    warnings) is planned only when asked for."""
 
+    rows: DataFrame
     assignments: DataFrame
-    legend: DataFrame
-    no_data: DataFrame
-    warnings: DataFrame
+    class_legend: DataFrame
+    found: dict[str, DataFrame | None]
     breaks: list[float] = field(default_factory=list)
+    no_data_color: str = NO_DATA_COLOR
+
+    @cached_property
+    def no_data(self) -> DataFrame:
+        """Rows whose region got no class, blank and unmatched rows among them."""
+        return lookup_join(self.rows, self.assignments.select("region_id"), ["region_id"], "left_anti", spread=["row_id"])
+
+    @cached_property
+    def _missing(self) -> DataFrame:
+        return self.no_data.agg(F.count("*").alias("rows")).filter("rows > 0")
+
+    @property
+    def legend(self) -> DataFrame:
+        """Legend entries; the no-data entry comes last and only if it has rows."""
+        entry = self._missing.select(
+            F.lit(2_000_000_000).alias("position"),
+            F.lit("no-data").alias("key"),
+            F.lit("No data").alias("label"),
+            F.lit(self.no_data_color).alias("color"),
+        )
+        return self.class_legend.unionByName(entry)
+
+    @property
+    def warnings(self) -> DataFrame:
+        """(code, rows, message)"""
+        return _warnings(self.rows.sparkSession, {**self.found, "no-data": self._missing})
 
 
 def palette(method: str, name: str | None = None, reverse: bool = False) -> list[str]:
@@ -197,7 +225,7 @@ def classify(
         classes = 5
     colors = palette(method, palette_name, reverse)
     fit = usable(rows)
-    found: dict[str, DataFrame | int] = {}
+    found: dict[str, DataFrame | None] = {}
     if method == "categorical":
         assignments, legend, many = _categorical(fit, colors)
         found["many-categories"] = many
@@ -215,25 +243,17 @@ def classify(
         order = ["row_number", "row_id"] if method == "diverging" else ["value", "row_id"]
         assignments = _last_per_region(classed, F.struct(*order))
         legend = _legend(spark, entries, number_format)
-        found.update(dict.fromkeys(codes, 1))
-    no_data = lookup_join(rows, assignments.select("region_id"), ["region_id"], "left_anti", spread=["row_id"])
-    missing = no_data.agg(F.count("*").alias("rows")).filter("rows > 0")
-    found["no-data"] = missing
-    extra = missing.select(
-        F.lit(2_000_000_000).alias("position"), F.lit("no-data").alias("key"), F.lit("No data").alias("label"), F.lit(no_data_color).alias("color")
-    )
-    return Classified(assignments, legend.unionByName(extra), no_data, _warnings(spark, found), cuts)
+        found.update(dict.fromkeys(codes))
+    return Classified(rows, assignments, legend, found, cuts, no_data_color)
 
 
-def _warnings(spark, found: dict[str, DataFrame | int]) -> DataFrame:
+def _warnings(spark, found: dict[str, DataFrame | None]) -> DataFrame:
+    """Warnings with a row count where one is known."""
     parts = []
     for code, rows in found.items():
-        counted = spark.range(1).select(F.lit(None).cast("bigint").alias("rows")) if isinstance(rows, int) else rows.select("rows")
+        counted = spark.range(1).select(F.lit(None).cast("bigint").alias("rows")) if rows is None else rows.select("rows")
         parts.append(counted.select(F.lit(code).alias("code"), "rows", F.lit(WARNINGS[code]).alias("message")))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _text_key(index: Column) -> Column:

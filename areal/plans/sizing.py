@@ -61,16 +61,13 @@ def lookup_join(
     return left.withColumn("_salt", salt).join(salted_right.hint("shuffle_merge"), [*on, "_salt"], how).drop("_salt")
 
 
-def _buckets(distinct: DataFrame, order: str) -> tuple[DataFrame, int]:
-    """Split an ordered set of distinct values into ranges of bounded size."""
-    count = distinct.count()
-    wanted = min(RANK_BUCKETS_MAX, max(1, math.ceil(count / RANK_BUCKET_ROWS)))
-    if wanted == 1:
-        return distinct.withColumn("_bucket", F.lit(0)), 1
+def _cuts(distinct: DataFrame, order: str, count: int) -> list:
+    """Bounds that split an ordered set of distinct values into ranges of bounded size."""
+    wanted = min(RANK_BUCKETS_MAX, math.ceil(count / RANK_BUCKET_ROWS))
+    if wanted <= 1:
+        return []
     fractions = [i / wanted for i in range(1, wanted)]
-    cuts = distinct.agg(F.percentile_approx(order, fractions, 10 * wanted)).first()[0]
-    cuts = sorted(set(cuts))
-    return distinct.withColumn("_bucket", F.size(F.filter(F.lit(cuts), lambda cut: cut < F.col(order)))), len(cuts) + 1
+    return sorted(set(distinct.agg(F.percentile_approx(order, fractions, 10 * wanted)).first()[0]))
 
 
 def values_at(values: DataFrame, value: str, positions: Callable[[int], list[int]]) -> list[float]:
@@ -81,23 +78,26 @@ def values_at(values: DataFrame, value: str, positions: Callable[[int], list[int
     and only the ranges holding a wanted position are ordered at all.
     """
     counted = values.groupBy(value).agg(F.count("*").alias("_n"))
-    ranged, buckets = _buckets(counted, value)
-    per_bucket = ranged.groupBy("_bucket").agg(F.sum("_n").alias("_rows")).orderBy("_bucket").collect()
-    total = sum(r["_rows"] for r in per_bucket)
-    if not total:
+    distinct, total = counted.agg(F.count("*"), F.sum("_n")).first()
+    if not distinct:
         return []
     wanted = positions(total)
-    before, offsets, needed = 0, [], set()
-    for row in per_bucket:
-        offsets.append((row["_bucket"], before))
+    cuts = _cuts(counted, value, distinct)
+    if cuts:
+        ranged = counted.withColumn("_bucket", F.size(F.filter(F.lit(cuts), lambda cut: cut < F.col(value))))
+        sizes = ranged.groupBy("_bucket").agg(F.sum("_n").alias("_rows")).orderBy("_bucket").collect()
+    else:
+        ranged, sizes = counted.withColumn("_bucket", F.lit(0)), [{"_bucket": 0, "_rows": total}]
+    before, starts = 0, {}
+    for row in sizes:
         if any(before < p <= before + row["_rows"] for p in wanted):
-            needed.add(row["_bucket"])
+            starts[row["_bucket"]] = before
         before += row["_rows"]
-    start = F.create_map(*[F.lit(x) for b, o in offsets if b in needed for x in (b, o)])
+    start = F.create_map(*[F.lit(x) for bucket, rows in starts.items() for x in (bucket, rows)])
     running = F.sum("_n").over(
         Window.partitionBy("_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    last = ranged.filter(F.col("_bucket").isin(list(needed))).select(
+    last = ranged.filter(F.col("_bucket").isin(list(starts))).select(
         value, (start[F.col("_bucket")] + running).alias("_last"), F.col("_n")
     )
     hits = last.filter(F.exists(F.lit(wanted), lambda p: (p <= F.col("_last")) & (p > F.col("_last") - F.col("_n"))))
