@@ -132,10 +132,10 @@ def g13(t):
 
 @query(
     "g14_path_text",
-    """SELECT region_id, string_agg(p, ' ' ORDER BY polygon) AS path FROM (SELECT region_id, polygon, concat(string_agg(concat(CASE WHEN pos = 0 THEN 'M' ELSE 'L' END, printf('%.2f %.2f', 10 + (x - 90) * 0.25, 20 + (4000 - y) * 0.25)), ' ' ORDER BY pos), ' Z') AS p FROM {vertices} GROUP BY ALL) GROUP BY region_id""",
+    """SELECT region_id, string_agg(p, ' ' ORDER BY polygon) AS path FROM (SELECT region_id, polygon, concat(string_agg(concat(CASE WHEN pos = 0 THEN 'M' ELSE 'L' END, printf('%.2f %.2f', 10 + (x - 90) * 0.5, 20 + (4000 - y) * 0.5)), ' ' ORDER BY pos), ' Z') AS p FROM {vertices} GROUP BY ALL) GROUP BY region_id""",
 )
 def g14(t):
-    page = {"offset_x": F.lit(10.0), "offset_y": F.lit(20.0), "min_x": F.lit(90.0), "max_y": F.lit(4000.0), "scale": F.lit(0.25)}
+    page = {"offset_x": F.lit(10.0), "offset_y": F.lit(20.0), "min_x": F.lit(90.0), "max_y": F.lit(4000.0), "scale": F.lit(0.5)}
     return shaped(t).withColumns(page).select("region_id", geometry.path().alias("path"))
 
 

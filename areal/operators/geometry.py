@@ -187,7 +187,7 @@ def validate(df: DataFrame) -> DataFrame:
         (F.coalesce(F.size(points), F.lit(0)) <= 0).alias("no_vertices"),
         F.coalesce(F.exists(every_ring, lambda r: F.size(r) < 4), F.lit(False)).alias("few_points"),
         F.coalesce(F.exists(every_ring, lambda r: F.get(r, F.lit(0)) != F.element_at(r, -1)), F.lit(False)).alias("unclosed"),
-        ~F.coalesce(F.exists(every_ring, lambda r: F.abs(ring_area(r)) > 0), F.lit(False)).alias("no_area"),
+        (~F.coalesce(F.exists(every_ring, lambda r: F.abs(ring_area(r)) > 0), F.lit(False))).alias("no_area"),
         F.coalesce(F.exists(points, lambda p: ~(finite(p["x"]) & finite(p["y"]))), F.lit(False)).alias("not_finite"),
         F.coalesce(
             F.exists(points, lambda p: ~((p["x"] >= west) & (p["x"] <= east) & (p["y"] >= south) & (p["y"] <= north))), F.lit(False)

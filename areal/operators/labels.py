@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from areal.plans.sizing import lookup_join
+from areal.plans.sizing import checkpoint, lookup_join
 
 OVERVIEW_ZOOM = 5.75  # fixed value: below it only province names show
 CELL = 64.0  # fixed value: pixels per grid cell
@@ -159,14 +159,15 @@ def thin(labels: DataFrame, rounds: int = 1) -> DataFrame:
     rank order by one pass per view that streams its rows and holds placed boxes
     only.
     """
-    boxed = _boxed(labels).withColumns({"_rank": -F.col("rank"), "_text": F.col("text")})
+    boxed = checkpoint(_boxed(labels).withColumns({"_rank": -F.col("rank"), "_text": F.col("text")}))
     placed, still_open = None, boxed
     for _ in range(rounds):
-        fixed, still_open = _settle(still_open)
+        fixed, left_over = _settle(still_open)
+        still_open = checkpoint(left_over)
         placed = fixed if placed is None else placed.unionByName(fixed)
     fields = ["view_id", "id", F.col("_left").alias("left"), F.col("_right").alias("right"), F.col("_top").alias("top"), F.col("_bottom").alias("bottom"), *_ORDER[:2]]
     queue = still_open.select(*fields).repartition("view_id").sortWithinPartitions("view_id", *_ORDER)
     kinds = dict(labels.dtypes)
     rest = queue.drop(*_ORDER[:2]).mapInPandas(_greedy, f"view_id {kinds['view_id']}, id {kinds['id']}")
     chosen = rest if placed is None else placed.select("view_id", "id").unionByName(rest)
-    return labels.join(chosen, ["view_id", "id"], "left_semi")
+    return boxed.join(chosen, ["view_id", "id"], "left_semi").select(*labels.columns)
