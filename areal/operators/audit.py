@@ -61,15 +61,11 @@ def attributes(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 def references(pages: DataFrame, key: str, html: str, names: tuple[str, ...] = ("href", "src")) -> DataFrame:
     """(key, attribute, target) of href and src."""
-    found = F.concat(
-        *[
-            F.transform(
-                F.regexp_extract_all(html, F.lit(rf"""(?i){name}=["']([^"']+)["']"""), F.lit(1)),
-                lambda v, name=name: F.struct(F.lit(name).alias("attribute"), v.alias("target")),
-            )
-            for name in names
-        ]
-    )
+    def listed(name: str) -> Column:
+        values = F.regexp_extract_all(html, F.lit(rf"""(?i){name}=["']([^"']+)["']"""), F.lit(1))
+        return F.transform(values, lambda v: F.struct(F.lit(name).alias("attribute"), v.alias("target")))
+
+    found = F.concat(*[listed(name) for name in names])
     return pages.select(key, F.inline(found))
 
 

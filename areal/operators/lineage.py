@@ -174,10 +174,7 @@ def canonical_text(c) -> Column:
     return F.concat(unix, F.lit("\n"))
 
 
-@F.pandas_udf("string")
-def stable_json(values: pd.Series) -> pd.Series:
-    """JSON with keys sorted at every level; NULL where the text is no JSON."""
-
+def _sorted_json(values: pd.Series) -> pd.Series:
     def one(value):
         try:
             return None if value is None else json.dumps(json.loads(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"))
@@ -187,6 +184,11 @@ def stable_json(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
+def stable_json(c) -> Column:
+    """JSON with keys sorted at every level; NULL where the text is no JSON."""
+    return F.pandas_udf(_sorted_json, "string", F.PandasUDFType.SCALAR)(c)
+
+
 def report(df: DataFrame, name: str, errors: DataFrame) -> DataFrame:
     """One-row run report as JSON and Markdown: status, row count, error count."""
     marks = df.select(F.lit(1).alias("row"), F.lit(0).alias("error")).unionByName(errors.select(F.lit(0).alias("row"), F.lit(1).alias("error")))

@@ -224,22 +224,22 @@ def _walk(value, depth: int, found: dict) -> None:
         _walk(item, depth + 1, found)
 
 
-@F.pandas_udf("depth int, items int, forbidden boolean")
 def _structure(documents: pd.Series) -> pd.DataFrame:
     rows = []
     for document in documents:
         found = {"depth": 0, "items": 0, "forbidden": False}
         try:
             _walk(json.loads(document), 0, found)
-            rows.append(found)
         except (TypeError, ValueError, RecursionError):
-            rows.append({"depth": -1, "items": 0, "forbidden": False})
+            found["depth"] = -1
+        rows.append(found)
     return pd.DataFrame(rows, columns=["depth", "items", "forbidden"])
 
 
 def document_checks(projects: DataFrame) -> DataFrame:
     """(project_id, issues): safety verdict of each document, an array that is empty where it is fine."""
-    checked = parse(projects).withColumn("_s", _structure("document"))
+    structure = F.pandas_udf(_structure, "depth int, items int, forbidden boolean", F.PandasUDFType.SCALAR)
+    checked = parse(projects).withColumn("_s", structure("document"))
     sizes = F.from_json("document", "map<string,string>")
 
     def entries(name: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areal.functions import text
-from areal.plans.sizing import lookup_join
+from areal.plans.sizing import is_small, lookup_join
 
 LEVELS = ["salesRegion", "area", "branch", "territory"]  # fixed values, top first
 RINGS = ["core", "greater", "unassigned"]  # fixed values
@@ -22,7 +22,7 @@ def _rank(level) -> Column:
     return F.array_position(F.lit(LEVELS), level) - 1
 
 
-def validate(nodes: DataFrame) -> DataFrame:
+def validate(nodes: DataFrame, small: bool | None = None) -> DataFrame:
     """(scenario_id, id, issue): duplicate-id, orphan, illegal-parent, cycle, name-collision.
 
     Levels have a fixed depth of four, so a chain that has not ended after four
@@ -33,7 +33,8 @@ def validate(nodes: DataFrame) -> DataFrame:
     parents = nodes.select("scenario_id", F.col("id").alias("parent_id"), F.col("level").alias("_parent_level"), F.col("parent_id").alias("_next")).dropDuplicates(
         ["scenario_id", "parent_id"]
     )
-    linked = lookup_join(nodes, parents, ["scenario_id", "parent_id"], "left", spread=["id"])
+    small = is_small(parents) if small is None else small  # measured once: all lookups here are parts of it
+    linked = lookup_join(nodes, parents, ["scenario_id", "parent_id"], "left", spread=["id"], small=small)
     has_parent = text.text_of("parent_id") != ""
     orphan = linked.filter(has_parent & F.col("_parent_level").isNull()).select(*keys, F.lit("orphan").alias("issue"))
     wrong = (has_parent & F.col("_parent_level").isNotNull() & (_rank(F.col("_parent_level")) != _rank(F.col("level")) - 1)) | (
@@ -43,23 +44,24 @@ def validate(nodes: DataFrame) -> DataFrame:
     climbing = linked.select(*keys, F.col("_next").alias("_at"))
     step = parents.select("scenario_id", F.col("parent_id").alias("_at"), F.col("_next").alias("_up"))
     for _ in LEVELS:
-        climbing = lookup_join(climbing, step, ["scenario_id", "_at"], "inner", spread=["id"]).select(*keys, F.col("_up").alias("_at"))
+        climbing = lookup_join(climbing, step, ["scenario_id", "_at"], "inner", spread=["id"], small=small).select(*keys, F.col("_up").alias("_at"))
     cycle = climbing.filter(text.text_of("_at") != "").select(*keys, F.lit("cycle").alias("issue"))
     active = nodes.filter("status = 'active'").withColumn("_name", text.normalize_category("display_name"))
     siblings = ["scenario_id", "parent_id", "_name"]
     named = active.withColumn("parent_id", text.text_of("parent_id"))
     crowded = named.groupBy(*siblings).agg(F.count("*").alias("_n")).filter("_n > 1").select(*siblings)
-    collision = lookup_join(named, crowded, siblings, "left_semi", spread=["id"]).select(*keys, F.lit("name-collision").alias("issue"))
+    collision = lookup_join(named, crowded, siblings, "left_semi", spread=["id"], small=small).select(*keys, F.lit("name-collision").alias("issue"))
     return repeated.unionByName(orphan).unionByName(illegal).unionByName(cycle).unionByName(collision).distinct()
 
 
 def paths(nodes: DataFrame, assignments: DataFrame) -> DataFrame:
     """Assignments with branch, area and sales region of their leaf: three lookups."""
     up = nodes.select("scenario_id", F.col("id"), F.col("parent_id")).dropDuplicates(["scenario_id", "id"])
+    small = is_small(up)
     found = assignments.withColumn("territory_id", F.col("leaf_territory_id"))
     for child, parent in (("territory_id", "branch_id"), ("branch_id", "area_id"), ("area_id", "sales_region_id")):
         step = up.select("scenario_id", F.col("id").alias(child), F.col("parent_id").alias(parent))
-        found = lookup_join(found, step, ["scenario_id", child], "left", spread=["canonical_region_id"])
+        found = lookup_join(found, step, ["scenario_id", child], "left", spread=["canonical_region_id"], small=small)
     return found
 
 
@@ -84,15 +86,16 @@ def unassigned(scope: DataFrame, assignments: DataFrame) -> DataFrame:
 
 def exclusions(assignments: DataFrame, nodes: DataFrame, regions: DataFrame, scenarios: DataFrame) -> DataFrame:
     """Assignments with exclusion: the reason they stay out of totals, NULL where accepted."""
-    issues = validate(nodes).filter("issue = 'name-collision'").select("scenario_id", F.col("id").alias("leaf_territory_id"), F.lit(True).alias("_collision")).distinct()
+    small = is_small(nodes)
+    issues = validate(nodes, small).filter("issue = 'name-collision'").select("scenario_id", F.col("id").alias("leaf_territory_id"), F.lit(True).alias("_collision")).distinct()
     leaves = nodes.filter("level = 'territory'").select("scenario_id", F.col("id").alias("leaf_territory_id"), F.lit(True).alias("_leaf")).distinct()
     known = regions.select("canonical_region_id", F.lit(True).alias("_region")).distinct()
     plans = scenarios.select(F.col("id").alias("scenario_id"), F.lit(True).alias("_scenario")).distinct()
     spread = ["canonical_region_id"]
     found = lookup_join(assignments, plans, ["scenario_id"], "left", spread=spread)
     found = lookup_join(found, known, ["canonical_region_id"], "left", spread=["leaf_territory_id", "scenario_id"])
-    found = lookup_join(found, leaves, ["scenario_id", "leaf_territory_id"], "left", spread=spread)
-    found = lookup_join(found, issues, ["scenario_id", "leaf_territory_id"], "left", spread=spread)
+    found = lookup_join(found, leaves, ["scenario_id", "leaf_territory_id"], "left", spread=spread, small=small)
+    found = lookup_join(found, issues, ["scenario_id", "leaf_territory_id"], "left", spread=spread, small=small)
     reason = (
         F.when(F.col("_scenario").isNull(), "invalid-scenario")
         .when(F.col("_region").isNull(), "unresolved")
