@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from areal.catalog.registered import Tables, query
@@ -124,12 +128,8 @@ def _features(t: Tables):
     return registry.normalize_features(parsed)
 
 
-def _workbook_bytes(names, values, blocked):
+def _workbook_bytes(names: pd.Series, values: pd.Series, blocked: pd.Series) -> pd.Series:
     """A workbook per row: two sheets, the first one empty, cells of every kind."""
-    import io
-    import zipfile
-
-    import pandas as pd
 
     def book(labels, amounts, extra):
         lines = ['<row r="1"><c r="A1" t="inlineStr"><is><t>Name</t></is></c><c r="B1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>Day</t></is></c></row>']
@@ -159,7 +159,7 @@ def _workbook_bytes(names, values, blocked):
 def _workbooks(t: Tables):
     """One workbook file per order day."""
     days = t.order_lines.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "price"))).alias("l"))
-    make = F.pandas_udf(_workbook_bytes, "binary", F.PandasUDFType.SCALAR)
+    make = F.pandas_udf(_workbook_bytes, "binary")
     labels = F.transform("l", lambda x: F.concat(F.lit("Order "), x["o_orderkey"]))
     amounts = F.transform("l", lambda x: x["price"])
     files = days.select(F.concat(F.lit("/in/"), "day", F.lit(".xlsx")).alias("path"), make(labels, amounts, F.col("day").endswith("3")).alias("content"))
@@ -172,7 +172,7 @@ def _workbooks(t: Tables):
        FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY o_orderkey) AS n FROM {order_lines})""",
 )
 def s4(t):
-    rows = workbook.rows_of(workbook.select_sheet(workbook.cells(_workbooks(t))))
+    rows = workbook.rows_of(workbook.cells(_workbooks(t)))
     cell = lambda name: F.element_at("cells", F.lit(name))
     return rows.select("source_key", "row_number", cell("Name").alias("name"), cell("Amount").cast("double").alias("amount"), cell("Day").alias("day"), "mismatch")
 

@@ -82,15 +82,23 @@ def ring_area(points) -> Column:
 def area_centroid(points) -> Column:
     """Centroid by area, six decimals; the first vertex where the area is zero."""
     points = F.col(points) if isinstance(points, str) else points
-    after = _following(points)
-    area = F.nullif(ring_area(points), F.lit(0.0))
 
-    def along(axis: str) -> Column:
-        moment = _total(F.zip_with(points, after, lambda p, q: (p[axis] + q[axis]) * _cross(p, q)))
-        first = F.coalesce(F.get(points, F.lit(0))[axis], F.lit(0.0))
-        return F.coalesce(F.round(moment / (area * 6), 6), first).alias(axis)
+    def edge(p: Column, q: Column) -> Column:
+        cross = _cross(p, q)
+        return F.struct(cross.alias("area"), ((p["x"] + q["x"]) * cross).alias("x"), ((p["y"] + q["y"]) * cross).alias("y"))
 
-    return F.struct(along("x"), along("y"))
+    def add(total: Column, e: Column) -> Column:
+        return F.struct(*[(total[k] + e[k]).alias(k) for k in ("area", "x", "y")])
+
+    def center(total: Column) -> Column:
+        area = F.nullif(total["area"] / 2, F.lit(0.0))
+        first = F.get(points, F.lit(0))
+        return F.struct(
+            *[F.coalesce(F.round(total[k] / (area * 6), 6), F.coalesce(first[k], F.lit(0.0))).alias(k) for k in ("x", "y")]
+        )
+
+    zero = F.struct(*[F.lit(0.0).alias(k) for k in ("area", "x", "y")])
+    return F.aggregate(F.zip_with(points, _following(points), edge), zero, add, center)
 
 
 def largest_ring(polygons="polygons") -> Column:
@@ -117,8 +125,9 @@ def anchors(df: DataFrame) -> DataFrame:
         kind.alias("type"),
         text.text_of("province_name").alias("province"),
         priority.alias("priority"),
-        center.alias("_center"),
-    ).select("id", "name", "type", "province", "priority", F.col("_center.x").alias("lng"), F.col("_center.y").alias("lat"))
+        # A generator, so that filters on the anchor do not repeat the geometry work.
+        F.inline(F.array(center)).alias("lng", "lat"),
+    )
 
 
 def segments(df: DataFrame) -> DataFrame:

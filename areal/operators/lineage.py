@@ -186,7 +186,7 @@ def _sorted_json(values: pd.Series) -> pd.Series:
 
 def stable_json(c) -> Column:
     """JSON with keys sorted at every level; NULL where the text is no JSON."""
-    return F.pandas_udf(_sorted_json, "string", F.PandasUDFType.SCALAR)(c)
+    return F.pandas_udf(_sorted_json, "string")(c)
 
 
 def report(df: DataFrame, name: str, errors: DataFrame) -> DataFrame:

@@ -238,7 +238,7 @@ def _structure(documents: pd.Series) -> pd.DataFrame:
 
 def document_checks(projects: DataFrame) -> DataFrame:
     """(project_id, issues): safety verdict of each document, an array that is empty where it is fine."""
-    structure = F.pandas_udf(_structure, "depth int, items int, forbidden boolean", F.PandasUDFType.SCALAR)
+    structure = F.pandas_udf(_structure, "depth int, items int, forbidden boolean")
     checked = parse(projects).withColumn("_s", structure("document"))
     sizes = F.from_json("document", "map<string,string>")
 

@@ -29,21 +29,19 @@ def normalize_newlines(c) -> Column:
     return F.regexp_replace(F.regexp_replace(text.text_of(c), "^﻿", ""), "\r\n?", "\n")
 
 
-def detect_delimiter(c) -> Column:
-    """struct<delimiter, confidence, columns, consistency, score> of the best candidate."""
-    bare = F.regexp_replace(normalize_newlines(c), rf'{_QUOTED}(?:"|\z)', "")
-    lines = F.slice(F.split(bare, "\n"), 1, DETECTION_RECORDS)
+def _with(value: Column, body) -> Column:
+    """body(value) with the value computed once per row instead of once per use."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def candidate(name: str, mark: str) -> Column:
-        counts = F.filter(
-            F.transform(lines, lambda line: F.char_length(line) - F.char_length(F.replace(line, F.lit(mark), F.lit(""))) + 1),
-            lambda n: n > 1,
-        )
-        modes = F.transform(
-            counts,
-            lambda n, i: F.struct(F.size(F.filter(counts, lambda m: m == n)).alias("times"), (-i).alias("place"), n.alias("columns")),
-        )
-        mode = F.array_max(modes)
+
+def _score(counts: Column, name: str) -> Column:
+    """Score of one delimiter from the column counts of its usable records."""
+    modes = F.transform(
+        counts,
+        lambda n, i: F.struct(F.size(F.filter(counts, lambda m: m == n)).alias("times"), (-i).alias("place"), n.alias("columns")),
+    )
+
+    def scored(mode: Column) -> Column:
         used = F.size(counts)
         columns = F.coalesce(mode["columns"], F.lit(1))
         consistency = F.coalesce(mode["times"] / F.nullif(used, F.lit(0)), F.lit(0.0))
@@ -55,17 +53,36 @@ def detect_delimiter(c) -> Column:
             consistency.alias("consistency"),
         )
 
-    best = F.array_max(F.array(*[candidate(n, m) for n, m in DELIMITERS.items()]))
-    confidence = (
-        F.when((best["score"] >= 6) & (best["consistency"] >= 0.8), "high").when(best["score"] >= 3, "medium").otherwise("low")
-    )
-    return F.struct(
-        best["delimiter"].alias("delimiter"),
-        confidence.alias("confidence"),
-        best["columns"].alias("columns"),
-        best["consistency"].alias("consistency"),
-        best["score"].alias("score"),
-    )
+    return _with(F.array_max(modes), scored)
+
+
+def detect_delimiter(c) -> Column:
+    """struct<delimiter, confidence, columns, consistency, score> of the best candidate."""
+    bare = F.regexp_replace(normalize_newlines(c), rf'{_QUOTED}(?:"|\z)', "")
+
+    def counts(lines: Column, mark: str) -> Column:
+        found = F.transform(lines, lambda line: F.char_length(line) - F.char_length(F.replace(line, F.lit(mark), F.lit(""))) + 1)
+        return F.filter(found, lambda n: n > 1)
+
+    def best_of(lines: Column) -> Column:
+        def scored(name: str, mark: str) -> Column:
+            return _with(counts(lines, mark), lambda n: _score(n, name))
+
+        return F.array_max(F.array(*[scored(*item) for item in DELIMITERS.items()]))
+
+    def described(best: Column) -> Column:
+        confidence = (
+            F.when((best["score"] >= 6) & (best["consistency"] >= 0.8), "high").when(best["score"] >= 3, "medium").otherwise("low")
+        )
+        return F.struct(
+            best["delimiter"].alias("delimiter"),
+            confidence.alias("confidence"),
+            best["columns"].alias("columns"),
+            best["consistency"].alias("consistency"),
+            best["score"].alias("score"),
+        )
+
+    return _with(_with(F.slice(F.split(bare, "\n"), 1, DETECTION_RECORDS), best_of), described)
 
 
 def _field(mark: str) -> str:
@@ -113,17 +130,18 @@ def _not_blank(cells: Column) -> Column:
 
 def unique_names(headers: Column) -> Column:
     """Names of a header array: empty ones numbered, repeats suffixed with their count."""
+    def numbered(named: Column, forms: Column) -> Column:
+        def one(name: Column, i: Column) -> Column:
+            form = F.get(forms, i)
+            times = F.size(F.filter(F.slice(forms, F.lit(1), i + 1), lambda f: f == form))
+            return F.when(times > 1, F.concat(name, F.lit("__"), times.cast("string"))).otherwise(name)
+
+        return F.transform(named, one)
+
     named = F.transform(
         headers, lambda h, i: F.coalesce(F.nullif(text.trim(h), F.lit("")), F.concat(F.lit("Column "), (i + 1).cast("string")))
     )
-    forms = F.transform(named, text.normalize_header)
-    return F.transform(
-        F.arrays_zip(named.alias("name"), forms.alias("form")),
-        lambda h, i: F.when(
-            F.size(F.filter(F.slice(forms, 1, i + 1), lambda f: f == h["form"])) > 1,
-            F.concat(h["name"], F.lit("__"), F.size(F.filter(F.slice(forms, 1, i + 1), lambda f: f == h["form"])).cast("string")),
-        ).otherwise(h["name"]),
-    )
+    return _with(named, lambda n: _with(F.transform(n, text.normalize_header), lambda forms: numbered(n, forms)))
 
 
 def parse(sources: DataFrame, delimiter: str = "auto", budget: dict | None = None) -> tuple[DataFrame, DataFrame]:

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from areal.sources.delimited import unique_names
+
 # Limits and forbidden parts.
 BUDGET = {"compressed": 2097152, "uncompressed": 12582912, "entries": 256, "ratio": 80, "sheets": 20}
 BLOCKED_PARTS = [
@@ -197,40 +199,44 @@ def sheets(cell_rows: DataFrame) -> DataFrame:
     )
 
 
-def select_sheet(cell_rows: DataFrame, sheet: str | None = None) -> DataFrame:
-    """Cells of the named sheet, or of the first sheet with data where it is absent."""
-    listed = sheets(cell_rows).withColumn(
-        "_n", F.row_number().over(Window.partitionBy("path").orderBy((F.col("sheet") != F.lit(sheet or "")).cast("int"), "sheet_position"))
-    )
-    chosen = listed.filter("_n = 1").select("path", "sheet_position")
-    return cell_rows.join(chosen, ["path", "sheet_position"])
-
-
 def read(spark: SparkSession, path: str, sheet: str | None = None, budget: dict = BUDGET) -> tuple[DataFrame, DataFrame]:
     """Rows (source_key, sheet, row_number, headers, cells) of accepted workbooks, and the verdicts."""
     files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MAX_FILE_BYTES)
     verdicts = triage(entries(files), budget)
     accepted = files.join(verdicts.filter("verdict = 'ok'").select("path"), "path")
-    return rows_of(select_sheet(cells(accepted), sheet)), verdicts
-
-
-def rows_of(cell_rows: DataFrame) -> DataFrame:
-    """Header row and data rows; blank rows drop out before numbering."""
-    from areal.sources.delimited import unique_names
-
-    filled = cell_rows.filter(F.trim("value") != "")
-    per_row = cell_rows.join(filled.select("path", "row").distinct(), ["path", "row"]).groupBy("path", "sheet", "row").agg(
-        F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("_cells"), F.max("column").alias("_last")
+    return rows_of(cells(accepted), sheet), verdicts
+
+
+def rows_of(cell_rows: DataFrame, sheet: str | None = None) -> DataFrame:
+    """Rows of the named sheet, or of the first sheet with data where it is absent.
+
+    The first row is the header; blank rows drop out before numbering. All windows
+    run over one file, which is bounded by the size limit of the reader.
+    """
+    per_row = (
+        cell_rows.filter("sheet IS NOT NULL")
+        .groupBy("path", "sheet_position", "sheet", "row")
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("column", "value"))).alias("_cells"),
+            F.max("column").alias("_last"),
+            F.bool_or(F.trim("value") != "").alias("_filled"),
+        )
+    )
+    file = Window.partitionBy("path")
+    place = F.struct((F.col("sheet") != F.lit(sheet or "")).alias("other"), "sheet_position")
+    chosen = per_row.withColumns({"_place": place, "_first": F.min(place).over(file)}).filter("_place = _first AND _filled")
+    items = F.transform(
+        F.sequence(F.lit(0), F.col("_last")), lambda i: F.coalesce(F.try_element_at(F.col("_cells"), i), F.lit(""))
     )
-    # One sheet is one file part, read by one task already.
-    numbered = per_row.withColumn("row_number", F.row_number().over(Window.partitionBy("path").orderBy("row")))
-    width = F.sequence(F.lit(0), F.col("_last"))
-    items = F.transform(width, lambda i: F.coalesce(F.try_element_at(F.col("_cells"), i), F.lit("")))
-    listed = numbered.withColumn("_items", items)
-    headers = listed.filter("row_number = 1").select("path", unique_names(F.col("_items")).alias("headers"))
-    joined = listed.filter("row_number > 1").join(headers, "path")
+    numbered = chosen.withColumns({"_items": items, "row_number": F.row_number().over(file.orderBy("row"))})
+    headed = numbered.withColumn("_header", F.max(F.when(F.col("row_number") == 1, F.col("_items"))).over(file))
+    named = headed.filter("row_number > 1").withColumn("headers", unique_names(F.col("_header")))
     entries_ = F.transform("headers", lambda h, i: F.struct(h.alias("key"), F.coalesce(F.get("_items", i), F.lit("")).alias("value")))
-    return joined.select(
-        F.col("path").alias("source_key"), "sheet", "row_number", "headers", F.map_from_entries(entries_).alias("cells"),
+    return named.select(
+        F.col("path").alias("source_key"),
+        "sheet",
+        "row_number",
+        "headers",
+        F.map_from_entries(entries_).alias("cells"),
         (F.size("_items") != F.size("headers")).alias("mismatch"),
     )
