@@ -158,12 +158,12 @@ def f16(t):
 
 @query(
     "f17_label_text",
-    """SELECT row_id, concat_ws(' - ', nullif(region_name, ''), nullif(category, ''), nullif(numeric_value, '')) AS label,
+    """SELECT row_id, concat_ws(' - ', region_name, nullif(category, ''), nullif(numeric_value, '')) AS label,
        concat_ws(' - ', region_name, CASE WHEN province = '' THEN 'Province not linked' ELSE province END) AS place
-       FROM {messy} WHERE region_name <> ''""",
+       FROM {messy}""",
 )
 def f17(t):
-    return t.messy.filter("region_name <> ''").select(
+    return t.messy.select(
         "row_id",
         text.label_text("region_name", "category", "numeric_value").alias("label"),
         text.place_text("region_name", "province").alias("place"),

@@ -14,9 +14,9 @@ from areal.operators import geometry, headers, lineage, registry
 from areal.plans import inputs
 from areal.sources import delimited, features, sinks, workbook
 
-# One delimited text per order date, its lines the orders of the day; delimiter by day.
+# One delimited text per batch of 100 order numbers, its lines the orders of the batch.
 inputs.DERIVED["order_lines"] = """
-SELECT CAST(CAST(o_orderdate AS DATE) AS STRING) AS day, CASE extract(day FROM o_orderdate) % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS mark,
+SELECT CAST(CAST(floor(o_orderkey / 100) AS BIGINT) AS STRING) AS day, CASE CAST(floor(o_orderkey / 100) AS BIGINT) % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS mark,
        o_orderkey, o_orderpriority, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS STRING) AS price
 FROM {orders}"""
 inputs.DERIVED["text_lines"] = """
@@ -63,16 +63,17 @@ def s3(t):
 # Without quotes or line breaks in cells the scoring can be repeated in SQL.
 @query(
     "s3_detection_score",
-    """WITH head AS (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM {orders}),
+    """WITH head AS (SELECT o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM (SELECT CAST(floor(o_orderkey / 25) AS BIGINT) AS o_custkey, o_orderkey, o_orderpriority FROM {orders})),
     counts AS (SELECT o_custkey, mark, length(l) - length(replace(l, mark, '')) + 1 AS c, n FROM (SELECT o_custkey, n, CASE WHEN o_orderpriority = '5-LOW' THEN 'a,b;c,d' WHEN o_orderpriority = '2-HIGH' THEN 'plain' ELSE 'a;b;c,d' END AS l FROM head WHERE n <= 20), (SELECT unnest([',', ';']) AS mark)),
     modes AS (SELECT o_custkey, mark, c, count(*) AS f, min(n) AS first_n FROM counts WHERE c > 1 GROUP BY ALL),
     best AS (SELECT o_custkey, mark, c, f, sum(f) OVER (PARTITION BY o_custkey, mark) AS used, row_number() OVER (PARTITION BY o_custkey, mark ORDER BY f DESC, first_n) AS r FROM modes)
     SELECT k.o_custkey, coalesce(arg_max(CASE mark WHEN ',' THEN 'comma' ELSE 'semicolon' END, s), 'comma') AS delimiter, round(coalesce(max(s // 1e-9), 0) * 1e-9, 6) AS score
-    FROM (SELECT DISTINCT o_custkey FROM {orders}) k LEFT JOIN (SELECT o_custkey, mark, c * (f / used) * used + CASE mark WHEN ',' THEN 1e-12 ELSE 0 END AS s FROM best WHERE r = 1) b ON b.o_custkey = k.o_custkey GROUP BY 1""",
+    FROM (SELECT DISTINCT CAST(floor(o_orderkey / 25) AS BIGINT) AS o_custkey FROM {orders}) k LEFT JOIN (SELECT o_custkey, mark, c * (f / used) * used + CASE mark WHEN ',' THEN 1e-12 ELSE 0 END AS s FROM best WHERE r = 1) b ON b.o_custkey = k.o_custkey GROUP BY 1""",
 )
 def s3_score(t):
     line = F.when(F.col("o_orderpriority") == "5-LOW", "a,b;c,d").when(F.col("o_orderpriority") == "2-HIGH", "plain").otherwise("a;b;c,d")
-    texts = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("l"))
+    batched = t.orders.withColumn("o_custkey", F.floor(F.col("o_orderkey") / 25))
+    texts = batched.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("l"))
     body = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
     return texts.select("o_custkey", delimited.detect_delimiter(body).alias("d")).select("o_custkey", "d.delimiter", F.round("d.score", 6).alias("score"))
 
@@ -107,7 +108,7 @@ def s12(t):
 
 
 def _collections(t: Tables):
-    """One GeoJSON text per province, in several property spellings."""
+    """One GeoJSON text per batch of cells, in several property spellings."""
     key = F.col("region_id")
     properties = F.when(F.col("parts") == 2, F.to_json(F.struct(key.alias("shapeID"), F.col("display_name").alias("shapeName"), F.col("province_name").alias("province")))).otherwise(
         F.to_json(F.struct(key.alias("region_id"), F.lit("").alias("geometry_source_id"), F.col("region_type"), F.col("display_name").alias("name"), F.col("province_name")))
@@ -118,9 +119,10 @@ def _collections(t: Tables):
     feature = F.concat(
         F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":{"type":"'), kind, F.lit('","coordinates":'), coordinates, F.lit("}}")
     )
-    listed = shaped(t).select("province_name", feature.alias("feature"))
-    texts = listed.groupBy("province_name").agg(F.array_join(F.sort_array(F.collect_list("feature")), ",").alias("f"))
-    return texts.select(F.col("province_name").alias("source_key"), F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}")).alias("text"))
+    batch = F.floor(F.substring("region_id", 2, 20).cast("bigint") / 200).cast("string")
+    listed = shaped(t).select(batch.alias("source_key"), feature.alias("feature"))
+    texts = listed.groupBy("source_key").agg(F.array_join(F.sort_array(F.collect_list("feature")), ",").alias("f"))
+    return texts.select("source_key", F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}")).alias("text"))
 
 
 def _features(t: Tables):

@@ -73,12 +73,12 @@ def x5(t):
 
 _TOKENS = {"the-and": r"(?i)(?<![A-Za-z0-9_])(?:the|and)(?![A-Za-z0-9_])", "digits": r"\d{3,}"}
 _TOKEN_SQL = r"""(SELECT doc_id, i AS line, code, hit FROM (SELECT doc_id, i, 'the-and' AS code, unnest(regexp_extract_all(l, '(?i)\b(?:the|and)\b')) AS hit FROM lines UNION ALL SELECT doc_id, i, 'digits', unnest(regexp_extract_all(l, '\d{3,}')) FROM lines))"""
-_LINES = r"lines AS (SELECT doc_id, unnest(l) AS l, unnest(range(len(l))) + 1 AS i FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS l FROM {documents} WHERE lang = 'en'))"
+_LINES = r"lines AS (SELECT doc_id, unnest(l) AS l, unnest(range(len(l))) + 1 AS i FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS l  FROM {documents}))"
 
 
 @query("x6_token_scan", f"WITH {_LINES} SELECT doc_id, CAST(line AS INTEGER) AS line, code, hit AS match, count(*) AS times FROM {_TOKEN_SQL} GROUP BY ALL")
 def x6(t):
-    found = audit.tokens(t.documents.filter("lang = 'en'"), "doc_id", "text", _TOKENS)
+    found = audit.tokens(t.documents, "doc_id", "text", _TOKENS)
     return found.groupBy("doc_id", "line", "code", "match").agg(F.count("*").alias("times"))
 
 
@@ -87,7 +87,7 @@ def x6(t):
     f"""WITH {_LINES} SELECT doc_id, CAST(i AS INTEGER) AS line, CAST(length(regexp_extract(l, '^(?i)(.*?)\\b(?:the|and)\\b', 1)) + 1 AS INTEGER) AS first_column FROM lines WHERE regexp_matches(l, '(?i)\\b(?:the|and)\\b')""",
 )
 def x6_columns(t):
-    found = audit.tokens(t.documents.filter("lang = 'en'"), "doc_id", "text", {"the-and": _TOKENS["the-and"]})
+    found = audit.tokens(t.documents, "doc_id", "text", {"the-and": _TOKENS["the-and"]})
     return found.groupBy("doc_id", "line").agg(F.min("column").alias("first_column"))
 
 
@@ -96,7 +96,7 @@ def x6_columns(t):
     f"""WITH {_LINES} SELECT t.doc_id, code, CASE WHEN quality = 1 AND code = 'digits' THEN 'allowed' ELSE 'failure' END AS verdict, count(*) AS occurrences FROM {_TOKEN_SQL} t LEFT JOIN {{labels}} b ON b.doc_id = t.doc_id GROUP BY ALL""",
 )
 def a8(t):
-    found = audit.tokens(t.documents.filter("lang = 'en'"), "doc_id", "text", _TOKENS)
+    found = audit.tokens(t.documents, "doc_id", "text", _TOKENS)
     allowed = t.labels.filter("quality = 1").select("doc_id", F.lit("digits").alias("code"), F.lit("reviewed").alias("reason")).distinct()
     return audit.roll_up(audit.with_allowance(found, "doc_id", allowed), ["doc_id", "code", "verdict"])
 

@@ -59,14 +59,14 @@ def attributes(pages: DataFrame, key: str, html: str) -> DataFrame:
     return listed.filter("value <> ''")
 
 
-def references(pages: DataFrame, key: str, html: str, names: tuple[str, ...] = ("href", "src")) -> DataFrame:
-    """(key, attribute, target) of href and src."""
+def references(pages: DataFrame, key: str, html: str, names: tuple[str, ...] = ("href", "src"), keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, attribute, target) of href and src, with further page columns."""
     def listed(name: str) -> Column:
         values = F.regexp_extract_all(html, F.lit(rf"""(?i){name}=["']([^"']+)["']"""), F.lit(1))
         return F.transform(values, lambda v: F.struct(F.lit(name).alias("attribute"), v.alias("target")))
 
     found = F.concat(*[listed(name) for name in names])
-    return pages.select(key, F.inline(found))
+    return pages.select(key, *keep, F.inline(found))
 
 
 def banned(docs: DataFrame, key: str, visible, phrases: list[str]) -> DataFrame:
@@ -138,8 +138,7 @@ def links(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
 
     A relative target is resolved against its page and looked up among the pages.
     """
-    listed = references(pages.select(key, url, html), key, html)
-    located = listed.join(pages.select(key, F.col(url).alias("_page")), key)
+    located = references(pages.withColumn("_page", F.col(url)), key, html, keep=("_page",))
     target = _without_query(F.col("target"))
     origin = F.regexp_extract("_page", r"\A([a-z]+://[^/]+)", 1)
     resolved = F.when(target.startswith("/"), F.concat(origin, target)).otherwise(F.concat(_folder(F.col("_page")), target))

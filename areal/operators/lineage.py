@@ -108,8 +108,8 @@ UNCLEAR = "(?i)unknown|unclear|pending"  # fixed value
 
 def source_issues(inventory: DataFrame, snapshots: DataFrame, required: list[str] = SOURCE_FIELDS) -> DataFrame:
     """(id, issue) of source records: missing fields, repeated ids, missing or changed snapshots."""
-    repeated = inventory.groupBy("id").agg(F.count("*").alias("_n"))
-    seen = inventory.join(repeated, "id")
+    repeated = inventory.groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1")
+    seen = lookup_join(inventory, repeated, ["id"], "left")
     found = lookup_join(seen, snapshots.select(F.col("path").alias("localSnapshotPath"), F.col("sha256").alias("_actual")), ["localSnapshotPath"], "left")
     has_path = text.text_of("localSnapshotPath") != ""
     checks = [F.when(text.text_of(f) == "", F.concat(F.lit("missing:"), F.lit(f))) for f in required]
@@ -123,8 +123,8 @@ def source_issues(inventory: DataFrame, snapshots: DataFrame, required: list[str
 
 def license_gate(assets: DataFrame, files: DataFrame, lock: DataFrame, required_paths: DataFrame) -> DataFrame:
     """(id, issue) of licence records; required paths without a record come last."""
-    repeated = assets.groupBy("id").agg(F.count("*").alias("_n"))
-    joined = assets.join(repeated, "id")
+    repeated = assets.groupBy("id").agg(F.count("*").alias("_n")).filter("_n > 1")
+    joined = lookup_join(assets, repeated, ["id"], "left")
     joined = lookup_join(joined, files.select("path", F.col("sha256").alias("_actual")), ["path"], "left")
     joined = lookup_join(joined, lock.select(F.col("package").alias("lockfilePackage"), F.col("license").alias("_locked")), ["lockfilePackage"], "left")
 
