@@ -12,11 +12,12 @@ from areal.plans import inputs
 inputs.DERIVED["nodes"] = """
 SELECT 'current' AS scenario_id, concat('S', CAST(r_regionkey AS STRING)) AS id, 'salesRegion' AS level, r_name AS display_name, CASE WHEN r_regionkey = 4 THEN 'A1' ELSE '' END AS parent_id, 'active' AS status FROM {region}
 UNION ALL SELECT 'current', concat('A', CAST(n_nationkey AS STRING)), 'area', CASE WHEN n_nationkey IN (5, 10) THEN ' Same  näme' ELSE n_name END, concat('S', CAST(n_regionkey AS STRING)), 'active' FROM {nation}
-UNION ALL SELECT 'current', concat('B', CAST(n_nationkey AS STRING), '-', b), 'branch', concat(n_name, b), CASE WHEN n_nationkey = 7 THEN 'S1' ELSE concat('A', CAST(n_nationkey AS STRING)) END, 'active' FROM {nation}, (SELECT 'x' AS b UNION ALL SELECT 'y') AS bb
+UNION ALL SELECT 'current', concat('B', CAST(n_nationkey AS STRING), '-x'), 'branch', concat(n_name, 'x'), CASE WHEN n_nationkey = 7 THEN 'S1' ELSE concat('A', CAST(n_nationkey AS STRING)) END, 'active' FROM {nation}
+UNION ALL SELECT 'current', concat('B', CAST(n_nationkey AS STRING), '-y'), 'branch', concat(n_name, 'y'), CASE WHEN n_nationkey = 7 THEN 'S1' ELSE concat('A', CAST(n_nationkey AS STRING)) END, 'active' FROM {nation}
 UNION ALL SELECT 'current', concat('T', CAST(s_suppkey AS STRING)), 'territory', s_name, CASE WHEN s_acctbal < -500 THEN 'B99-x' ELSE concat('B', CAST(s_nationkey AS STRING), '-', CASE WHEN s_acctbal > 4000 THEN 'x' ELSE 'y' END) END, CASE WHEN s_acctbal > 9000 THEN 'archived' ELSE 'active' END FROM {supplier}
 UNION ALL SELECT 'current', concat('T', CAST(s_suppkey AS STRING)), 'territory', concat(s_name, ' twin'), concat('B', CAST(s_nationkey AS STRING), '-x'), 'active' FROM {supplier} WHERE s_acctbal > 9500
-UNION ALL SELECT 'loop', 'L1', 'area', 'l1', 'L2', 'active' FROM {region} WHERE r_regionkey = 0
-UNION ALL SELECT 'loop', 'L2', 'branch', 'l2', 'L1', 'active' FROM {region} WHERE r_regionkey = 0"""
+UNION ALL SELECT 'loop', concat('L', CAST(r_regionkey AS STRING)), 'area', concat('left ', r_name), concat('M', CAST(r_regionkey AS STRING)), 'active' FROM {region}
+UNION ALL SELECT 'loop', concat('M', CAST(r_regionkey AS STRING)), 'branch', concat('right ', r_name), concat('L', CAST(r_regionkey AS STRING)), 'active' FROM {region}"""
 
 # A customer is a region; its leaf is a supplier of the same number range.
 inputs.DERIVED["placements"] = """
@@ -84,7 +85,7 @@ def t4(t):
 )
 def t5(t):
     regions = t.customer.filter("c_mktsegment <> 'MACHINERY' OR c_acctbal < 9000").select(F.concat(F.lit("r"), "c_custkey").alias("canonical_region_id"))
-    scenarios = t.region.select(F.lit("current").alias("id")).distinct()
+    scenarios = t.nodes.select(F.col("scenario_id").alias("id")).distinct()
     out = territory.exclusions(t.placements, t.nodes, regions, scenarios)
     return out.select("canonical_region_id", "leaf_territory_id", "ring", "exclusion")
 
