@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from areal.functions import text
-from areal.plans.sizing import lookup_join
+from areal.plans.sizing import checkpoint, lookup_join
 
 DELIMITERS = {"comma": ",", "semicolon": ";", "tab": "\t"}
 DETECTION_RECORDS = 20  # fixed value
@@ -204,20 +204,24 @@ def parse(sources: DataFrame, delimiter: str = "auto", budget: dict | None = Non
     return summary, _finish_rows(rows)
 
 
-def _finish_rows(rows: DataFrame) -> DataFrame:
-    """Cells as a map by header, row id and the mismatch flag."""
+def _finish_rows(rows: DataFrame, row_id: Column | None = None) -> DataFrame:
+    """Cells as a map by header, row id and the mismatch flag.
+
+    The default row id is the compatibility hash; give a wider one for large inputs.
+    """
     entries = F.transform("headers", lambda h, i: F.struct(h.alias("key"), F.coalesce(F.get("_items", i), F.lit("")).alias("value")))
     last = F.filter(
         entries, lambda e, i: ~F.exists(F.slice(F.col("headers"), i + 2, F.size("headers")), lambda later: later == e["key"])
     )
+    distinct = F.size(F.array_distinct("headers")) == F.size("headers")
     identity = F.concat_ws("|", "source_id", F.col("row_number").cast("string"), F.array_join("_items", "\x1f"))
     return rows.select(
         "source_key",
         "source_id",
-        F.concat(F.lit("row_"), text.fnv1a36(identity)).alias("row_id"),
+        (F.concat(F.lit("row_"), text.fnv1a36(identity)) if row_id is None else row_id).alias("row_id"),
         "row_number",
         "headers",
-        F.map_from_entries(last).alias("cells"),
+        F.map_from_entries(F.when(distinct, entries).otherwise(last)).alias("cells"),
         (F.size("_items") != F.size("headers")).alias("mismatch"),
     )
 
@@ -320,6 +324,8 @@ def read_large(spark: SparkSession, path: str, delimiter: str) -> tuple[DataFram
     in_split = Window.partitionBy("source_key", "_block").orderBy("_line")
     placed = placed.withColumn("_ends", state).withColumn("_begins", F.coalesce(F.lag("_ends").over(in_split), F.col("_start")))
     placed = placed.withColumn("_record", F.sum((F.col("_begins") == 0).cast("int")).over(so_far))
+    # Read several times below: written once instead of composed again each time.
+    placed = checkpoint(placed.select("source_key", "_block", "_line", "_value", "_begins", "_ends", "_record"))
     whole = placed.filter("_begins = 0 AND _ends = 0").select("source_key", "_block", "_line", "_value")
     # Only lines of multi-line records are gathered, one group per record.
     parts = placed.filter("NOT (_begins = 0 AND _ends = 0)")
@@ -330,8 +336,10 @@ def read_large(spark: SparkSession, path: str, delimiter: str) -> tuple[DataFram
     assembled = joined.select(
         "source_key", F.col("_first_block").alias("_block"), "_line", F.array_join(F.transform("_lines", lambda x: x["_value"]), "\n").alias("_value")
     )
-    records = whole.unionByName(assembled).withColumn("_items", cells_of(F.col("_value"), F.lit(delimiter)))
-    records = records.filter(_not_blank(F.col("_items")))
+    # Most records show a plain character; only the others are cut into cells to see.
+    shown = F.col("_value").rlike(f'[^{text.SPACE}{mark}"]')
+    full = F.when(shown, True).otherwise(_not_blank(cells_of(F.col("_value"), F.lit(delimiter))))
+    records = whole.unionByName(assembled).filter(full)
     within = F.row_number().over(in_split)
     counts = records.groupBy("source_key", "_block").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("source_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
@@ -339,10 +347,13 @@ def read_large(spark: SparkSession, path: str, delimiter: str) -> tuple[DataFram
     ordered = lookup_join(
         records.withColumn("_place", within), offsets, ["source_key", "_block"], "inner", spread=["_line"]
     ).withColumn("row_number", (F.col("_place") + F.col("_before")).cast("int"))
-    headers = ordered.filter("row_number = 1").select("source_key", unique_names(F.col("_items")).alias("headers"))
+    first_cells = cells_of(F.col("_value"), F.lit(delimiter))
+    headers = ordered.filter("row_number = 1").select("source_key", unique_names(first_cells).alias("headers"))
     rows = lookup_join(ordered.filter("row_number > 1"), headers, ["source_key"], "inner", spread=["_line"])
+    rows = rows.withColumn("_items", cells_of(F.col("_value"), F.lit(delimiter)))
     keyed = rows.withColumn("source_id", F.concat(F.lit("src_"), F.substring(text.row_key("source_key"), 1, 16)))
-    return rejected, _finish_rows(keyed)
+    row_id = F.concat(F.lit("row_"), F.substring(text.row_key("source_id", "row_number", "_value"), 1, 32))
+    return rejected, _finish_rows(keyed, row_id)
 
 
 def _carry_over(parts: DataFrame, splits: DataFrame) -> DataFrame:
