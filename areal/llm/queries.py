@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal.llm import chat, sharding
-from areal.llm.common import table
-from areal.plans.sizing import literal_table
+from areal.llm import chat, quality, sharding
+from areal.llm.common import fold, table
+from areal.plans.sizing import checkpoint, literal_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +56,19 @@ def chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(rows))
 
 
+@query("op8_quality_discriminant")
+def quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 3) == 1
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # the statistics are short rows, made once and read by the fit and by the scores
+    described = checkpoint(docs.select("doc_id", quality.features_of(F.col("text")).alias("features")))
+    model = quality.fit_labelled(described, table(spark, sf_dir, "labels").filter(~held_out), "quality")
+    scored = described.select("doc_id", quality.score_of(F.col("features"), model).alias("score"))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query("op9_two_pass_shuffle")
 def two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
