@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal.llm import chat, quality, sharding
+from areal.llm import chat, quality, sharding, toxicity
 from areal.llm.common import fold, table
 from areal.plans.sizing import checkpoint, literal_table
 
@@ -25,6 +25,17 @@ def query(name: str, oracle: str | None = None) -> Callable:
     return add
 
 
+@query("op1_toxicity_kneser_ney")
+def toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 5) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~held_out), "toxic")
+    scored = docs.select("doc_id", toxicity.score_of(docs, model).alias("score"))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 @query(
     "op7_chat_round_trip",
     r"""
