@@ -22,8 +22,9 @@ from areal.llm.common import free_name
 
 SHARDS = 16
 SEED = 20240229
-#: Text held at once by a task of the second pass.
-BUCKET_BYTES = 16 << 20
+#: Text held at once by a task of the second pass, and the least number of buckets, for even work on small tables.
+BUCKET_BYTES = 64 << 20
+LEAST_BUCKETS = 256
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -51,12 +52,12 @@ def shuffle_into_shards(
     equal in all of them are interchangeable and share a bucket. Null texts count
     as empty, null ids are one more value. Columns named shard or slot are
     replaced. An empty table gives no rows. The driver holds one count for each
-    bucket (100 TB in buckets of 128 MB: 800,000 numbers).
+    bucket (100 TB in buckets of 64 MB: 1.6 million numbers).
     """
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")])
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + 64
     total = kept.agg(F.sum(size.cast("long"))).first()[0] or 0
-    buckets = max(1, math.ceil(total / bucket_bytes))
+    buckets = max(LEAST_BUCKETS, math.ceil(total / bucket_bytes))
     hash_name, bucket_name = free_name("_hash", kept.columns), free_name("_bucket", kept.columns)
     hashed = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in record])
     scattered = kept.withColumn(hash_name, hashed).withColumn(bucket_name, F.pmod(hash_name, F.lit(buckets)).cast("int"))
