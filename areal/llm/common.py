@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +20,18 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds)).cast("int")
 
 
+def portions(texts: list[str | None], chars: int = 1 << 20) -> Iterator[slice]:
+    """Slices of about so many characters in all, or of one longer text; bounds what a task unfolds at once."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text) if text else 0
+        if size >= chars:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def free_name(wanted: str, taken: Iterable[str]) -> str:
     """A column name that no column has, in any case of its letters."""
     lower = {c.lower() for c in taken}

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal.llm import chat, quality, sharding, toxicity
+from areal.llm import bpe, chat, quality, sharding, toxicity
 from areal.llm.common import fold, table
 from areal.plans.sizing import checkpoint, literal_table
 
@@ -15,6 +16,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file of op10 and the pipeline."""
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def query(name: str, oracle: str | None = None) -> Callable:
     def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[name] = function
@@ -93,3 +99,15 @@ def two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op10_bpe_round_trip")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = docs.select("doc_id", bpe.round_trip_of(docs, tokenizer_path()).alias("coded"))
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("coded.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("coded.ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("coded.text").cast("binary"), 256).alias("decoded_sha256"),
+    )

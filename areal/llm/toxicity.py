@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areal.llm.common import fold, labels_of
+from areal.llm.common import fold, labels_of, portions
 from areal.plans.sizing import checkpoint
 
 #: Bound on the labelled texts of a class that the fit reads.
@@ -99,13 +99,14 @@ def count_pairs(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places, sizes, levels = words_of(batch["text"].to_pylist())
-            words = levels[places]
-            label = np.repeat(np.asarray(batch["label"], dtype=np.int64), sizes)
-            columns = {"before": _before(words[:, 0], sizes), "label": label}
-            columns |= {name: words[:, i] for i, name in enumerate(LEVELS)}
-            frame = pd.DataFrame(columns).groupby(list(columns), as_index=False).size()
-            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+            texts, labels = batch["text"].to_pylist(), np.asarray(batch["label"], dtype=np.int64)
+            for part in portions(texts):
+                places, sizes, levels = words_of(texts[part])
+                words = levels[places]
+                columns = {"before": _before(words[:, 0], sizes), "label": np.repeat(labels[part], sizes)}
+                columns |= {name: words[:, i] for i, name in enumerate(LEVELS)}
+                frame = pd.DataFrame(columns).groupby(list(columns), as_index=False).size()
+                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
     names = ["before", "label", *LEVELS, "size"]
     counted = texts.select("text", "label").mapInArrow(count, ", ".join(f"{n} long" for n in names))
@@ -125,6 +126,11 @@ class Model:
 
     def compare(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Mean log-likelihood ratio and number of words of each text; 0 for texts without words."""
+        found = [self._compare(texts[part]) for part in portions(texts)] or [self._compare([])]
+        ratio, words = zip(*found, strict=True)
+        return np.concatenate(ratio), np.concatenate(words)
+
+    def _compare(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         places, sizes, levels = words_of(texts)
         if not len(places):
             return np.zeros(len(sizes)), sizes
