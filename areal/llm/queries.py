@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal.llm import bpe, chat, quality, sharding, toxicity
+from areal.llm import bpe, chat, pii, quality, sharding, toxicity
 from areal.llm.common import fold, table
 from areal.plans.sizing import checkpoint, literal_table
 
@@ -18,6 +17,8 @@ ORACLES: dict[str, str] = {}
 
 def tokenizer_path() -> str:
     """The vocabulary file of op10 and the pipeline."""
+    import public_tokenizers
+
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -42,6 +43,19 @@ def toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_pii_boosted_spans")
+def pii_boosted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = docs.select("doc_id", pii.spans_of(docs, pii.fit(docs)).alias("found"))
+    count = lambda kind: F.size(F.filter("found.base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(pii.listed(F.col("found.base")).cast("binary"), 256).alias("base_sha256"),
+        pii.listed(F.col("found.spans")).alias("spans"),
+    )
+
+
 @query(
     "op7_chat_round_trip",
     r"""
