@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal.llm import bpe, chat, pii, quality, sharding, toxicity
+from areal.llm import bpe, chat, fingerprints, pii, quality, sharding, toxicity
 from areal.llm.common import fold, table
 from areal.plans.sizing import checkpoint, literal_table
 
@@ -43,6 +43,11 @@ def toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_merkle_fingerprints")
+def merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 @query("op3_pii_boosted_spans")
 def pii_boosted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
