@@ -49,3 +49,28 @@ def labels_of(labels: DataFrame, label: str) -> DataFrame:
         .filter(F.col("label") == F.col("_most"))
         .drop("_most")
     )
+
+
+#: Rows of a few numbers each that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def keyed(docs: DataFrame, name: str = "_text_hash") -> DataFrame:
+    """docs with a hash of the text: with doc_id it tells documents apart, also where ids repeat."""
+    return docs.withColumn(name, F.xxhash64("text"))
+
+
+def join_few(left: DataFrame, right: DataFrame, on: list[str], how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join (null keys match) to a written or checkpointed table of short rows.
+
+    Counted first: up to most rows are broadcast, so left does not move; more are
+    joined by a shuffle, where AQE splits partitions of frequent keys. The rows are
+    the same either way. how is inner, left, left_semi or left_anti.
+    """
+    renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in on else F.col(c) for c in right.columns])
+    small = right.limit(most + 1).count() <= most
+    matches = [left[c].eqNullSafe(renamed[f"_right_{c}"]) for c in on]
+    condition = matches[0]
+    for match in matches[1:]:
+        condition = condition & match
+    return left.join(F.broadcast(renamed) if small else renamed, condition, how).drop(*[f"_right_{c}" for c in on])

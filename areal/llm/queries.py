@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal.llm import bpe, chat, fingerprints, pii, quality, sharding, toxicity
+from areal.llm import bpe, chat, decontamination, fingerprints, pii, quality, sharding, toxicity
 from areal.llm.common import fold, table
 from areal.plans.sizing import checkpoint, literal_table
 
@@ -61,6 +61,36 @@ def pii_boosted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op6_decontamination",
+    r"""
+    WITH doc_words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+        FROM documents
+    ), item_words AS (
+        SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w
+        FROM benchmark
+    ), doc_shingles AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS shingle
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM doc_words WHERE len(w) > 0)
+    ), item_shingles AS (
+        SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS shingle
+        FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)
+    ), sizes AS (
+        SELECT item_id, count(*) AS n_shingles FROM item_shingles GROUP BY item_id
+    ), shared AS (
+        SELECT doc_id, item_id, count(*) AS n_shared FROM doc_shingles JOIN item_shingles USING (shingle) GROUP BY ALL
+    )
+    SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+    FROM shared JOIN sizes USING (item_id)
+    WHERE n_shared >= 0.8 * n_shingles - 1e-9
+    """,
+)
+def decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_shared", "containment")
+
+
 @query(
     "op7_chat_round_trip",
     r"""
