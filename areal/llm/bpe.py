@@ -41,7 +41,7 @@ PRETOKEN = regex.compile(
 )
 #: Bounds on memory: pretokens and pairs remembered by a worker, characters of a pretoken worth remembering.
 KNOWN_PRETOKENS, KNOWN_PAIRS, KNOWN_CHARS = 400_000, 1_000_000, 48
-#: Pretokens or tokens taken at a time.
+#: Characters, pretokens or tokens taken at a time.
 BLOCK = 50_000
 #: Key of a token's id in the trie, beside the bytes.
 TOKEN = -1
@@ -185,6 +185,9 @@ class Transducer:
         """Tokens of one pretoken, each as soon as it is stable."""
         window = 4 * (self.lookahead + self.longest)
         fits, fit, root, n = self.fits, self.fit, self.trie, len(data)
+        if (token := self.ids.get(data)) is not None and fit(-1, token):
+            yield token
+            return
         start, last = 0, [-1]  # last[i]: last token of the bytes from start to start + i, or of all before
         open_ends = deque([] for _ in range(min(self.longest, n) + 1))  # of the next ends: (beginning, token), longest first
         for at in range(n + 1):
@@ -265,6 +268,9 @@ class Codec:
             if i % 2:
                 out.append(self.added[part].to_bytes(4, "little"))
                 continue
+            if len(part) <= BLOCK:
+                out.append(b"".join([get(p) or other(p) for p in PRETOKEN.findall(part)]))
+                continue
             found = map(operator.itemgetter(0), PRETOKEN.finditer(part))
             while block := [get(p) or other(p) for p in islice(found, BLOCK)]:
                 out.append(b"".join(block))
