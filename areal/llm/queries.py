@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal.llm import bpe, chat, decontamination, fingerprints, line_dedup, pii, quality, sharding, toxicity
+from areal.llm import bpe, chat, decontamination, fingerprints, jaccard_join, line_dedup, pii, quality, sharding, toxicity
 from areal.llm.common import fold, table
 from areal.plans.sizing import checkpoint, literal_table
 
@@ -61,6 +61,17 @@ def pii_boosted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.near_copies(table(spark, sf_dir, "documents"))
+    return found.select(
+        jaccard_join.id_of("_place").alias("doc_id"),
+        jaccard_join.id_of("class_place").alias("class_id"),
+        "n_links",
+        "n_copies",
+    )
+
+
 @query("op5_line_dedup_winnowing")
 def line_dedup_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
