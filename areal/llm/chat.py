@@ -62,14 +62,14 @@ def render(turns: Column, escaped: bool) -> Column:
 def parse(formatted: Column) -> Column:
     """Read a formatted conversation back: an array of (role, text, loss).
 
-    A piece that does not begin with an opening marker has a null role.
+    A piece that does not begin with an opening marker, or holds a further one, has a null role.
     """
     pieces = F.split(formatted, r"\[/INST\]|</s>", -1)
 
     def one(piece: Column) -> Column:
         loss = piece.startswith(LOSS_OPEN)
-        known = loss | piece.startswith(OPEN)
         body = F.substr(piece, F.when(loss, len(LOSS_OPEN) + 1).otherwise(len(OPEN) + 1))
+        known = (loss | piece.startswith(OPEN)) & ~body.contains(LOSS_OPEN) & ~body.contains(OPEN)
         head = F.substring_index(body, "\n", 1)
         return F.struct(
             F.when(known, _unpack_role(unescape(head))).alias("role"),

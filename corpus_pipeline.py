@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from areal.llm import bpe, decontamination, jaccard_join, line_dedup, quality
 from areal.llm.common import fold, table
 from areal.llm.queries import tokenizer_path
+from areal.plans.sizing import checkpoint
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table; what a stage keeps is written before the next one reads it, often more than once."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
