@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from areal.catalog.registered import query
@@ -10,7 +9,7 @@ from areal.catalog.scalars import sql_coerce, sql_format
 from areal.functions import number
 from areal.operators import classify, legend
 from areal.plans import inputs
-from areal.plans.sizing import values_at
+from areal.plans.sizing import lookup_join, values_at
 
 inputs.DERIVED["usable"] = f"""SELECT *, {sql_coerce('numeric_value')} AS value,
   CASE WHEN trim(category) = '' THEN 'TANPA KATEGORI' ELSE upper(trim(category)) END AS cat
@@ -245,7 +244,8 @@ def w4(t):
     "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM {orders}",
 )
 def w1(t):
-    return t.orders.select("o_orderkey", F.count("*").over(Window.partitionBy("o_custkey")).alias("n"))
+    counts = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return lookup_join(t.orders.select("o_orderkey", "o_custkey"), counts, ["o_custkey"], "inner").select("o_orderkey", "n")
 
 
 inputs.DERIVED["legend_classes"] = "SELECT CAST(c_custkey AS STRING) AS map_id, 0 AS position, concat('class ', c_mktsegment) AS label, '#08306B' AS color FROM {customer} WHERE c_mktsegment = 'BUILDING'"

@@ -200,7 +200,7 @@ def _detail(t: Tables):
 )
 def j11(t):
     base = t.base_regions.withColumn("polygons", F.lit(None).cast(geometry.GEOMETRY_TYPE))
-    merged = geometry.merge_detail(base, _detail(t), min_matched=5)
+    merged = geometry.merge_detail(base, _detail(t), min_share=0.1)
     corner = F.get(F.get(F.get("polygons", F.lit(0)), F.lit(0)), F.lit(1))["x"]
     return merged.select("region_id", "detailed", corner.alias("size"))
 

@@ -62,9 +62,9 @@ def x4(t):
 
 @query(
     "x5_mixed_language",
-    rf"""SELECT page_id, substr(trim(s), 1, 140) AS sentence FROM (SELECT page_id, s, row_number() OVER (PARTITION BY page_id ORDER BY i) AS n
-        FROM (SELECT page_id, unnest(l) AS s, unnest(range(len(l))) AS i FROM (SELECT page_id, string_split_regex({_VISIBLE}, '[.!?]') AS l FROM {{marked}}))
-        WHERE regexp_matches(s, '(?i)\b(create|map|match|upload|export|save|open|fix|continue|cancel)\b') AND regexp_matches(s, '(?i)\b(dan|yang|untuk|dari|dengan|tidak|pilih|wilayah|peta|proyek)\b')) WHERE n <= 4""",
+    rf"""SELECT page_id, trim(s) AS sentence FROM (SELECT page_id, s
+        FROM (SELECT page_id, unnest(l) AS s FROM (SELECT page_id, string_split_regex({_VISIBLE}, '[.!?]') AS l FROM {{marked}}))
+        WHERE regexp_matches(s, '(?i)\b(create|map|match|upload|export|save|open|fix|continue|cancel)\b') AND regexp_matches(s, '(?i)\b(dan|yang|untuk|dari|dengan|tidak|pilih|wilayah|peta|proyek)\b'))""",
 )
 def x5(t):
     found = audit.mixed_language(t.marked, "page_id", audit.visible_text("html"), audit.ENGLISH_WORDS, audit.INDONESIAN_WORDS)
@@ -118,6 +118,16 @@ def x7(t):
     return audit.secrets(t.leaky, "doc_id", "text", ["token"])
 
 
+@query(
+    "x7_secret_scan_long",
+    f"""WITH k AS ({_KEYS}) SELECT k.doc_id, k.kind FROM k JOIN {{leaky}} l ON l.doc_id = k.doc_id WHERE octet_length(encode(l.text)) <= 3000
+        UNION ALL SELECT doc_id, 'not-scanned' FROM {{leaky}} WHERE octet_length(encode(text)) > 3000""",
+)
+def x7_long(t):
+    """With a limit, what is refused is told."""
+    return audit.secrets(t.leaky, "doc_id", "text", ["token"], max_bytes=3000)
+
+
 @query(
     "x8_link_check",
     r"""WITH refs AS (SELECT page_id, url, 'href' AS attribute, unnest(regexp_extract_all(html, '(?i)href=["'']([^"'']+)["'']', 1)) AS target FROM {marked}

@@ -70,13 +70,21 @@ def parse_number(c, locale: str = "auto") -> Column:
     """Strict reading of a cell as struct<kind, value, percent, format>.
 
     kind is blank, number, percentage, ambiguous or invalid; only number and
-    percentage carry a value.
+    percentage carry a value. The cell without blanks and its digits are made once
+    for all rules.
     """
     raw = text.text_of(c)
     cell = F.regexp_replace(raw, f"[{text.SPACE}]+", "")
     # (amount), -amount and amount% in one pass; brackets do not span lines.
     digits = F.regexp_replace(cell, r"(?s)\A(?:\(-?(.*?)%?\)|-?(.*?)%?)\z", "$1$2")
-    percent = cell.rlike(r"(?s)\A\(.*%\)\z|%\z")
+    broken = raw.contains("(") & raw.rlike(rf"(?s)\A[{text.SPACE}]*\(.*[\n\r\u2028\u2029].*\)[{text.SPACE}]*\z")
+    parts = F.struct(cell.alias("cell"), digits.alias("digits"), broken.alias("broken"))
+    return F.get(F.transform(F.array(parts), lambda p: _classified(p, locale)), F.lit(0))
+
+
+def _classified(parts: Column, locale: str) -> Column:
+    cell, digits = parts["cell"], parts["digits"]
+    percent = cell.contains("%") & cell.rlike(r"(?s)\A\(.*%\)\z|%\z")
     negative = cell.rlike(r"(?s)\A(\((?!-).*\)|-.*)\z")
     nothing, no = F.lit(None).cast("double"), F.lit(False)
 
@@ -93,10 +101,7 @@ def parse_number(c, locale: str = "auto") -> Column:
     parsed = (
         F.when(cell == "", _result(F.lit("blank"), nothing, no, "blank"))
         .when(cell.rlike(r"\A[=+@]"), _result(F.lit("invalid"), nothing, no, "formula-like"))
-        .when(
-            raw.rlike(rf"(?s)\A[{text.SPACE}]*\(.*[\n\r  ].*\)[{text.SPACE}]*\z"),
-            _result(F.lit("invalid"), nothing, no, "not-numeric"),
-        )
+        .when(parts["broken"], _result(F.lit("invalid"), nothing, no, "not-numeric"))
     )
     for condition, name, mark in rules:
         if mark is not None:

@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from areal.functions import text
 from areal.plans.sizing import lookup_join
 
-SENTENCES_PER_PAGE = 4  # fixed value
-SENTENCE_LENGTH = 140  # fixed value
-SECRET_SCAN_BYTES = 2_000_000  # fixed value: longer texts are not scanned for secrets
-
 # Shapes of secrets.
 SECRET_PATTERNS = {
     "api-key": r"sk-[A-Za-z0-9_-]{20,}",
@@ -19,8 +15,8 @@ SECRET_PATTERNS = {
     "three-part-token": r"[A-Za-z0-9_-]{32,}\.[A-Za-z0-9_-]{32,}\.[A-Za-z0-9_-]{32,}",
 }
 # Words that tell the two languages of an interface apart.
-ENGLISH_WORDS = "create map match upload export save open fix continue cancel".split()
-INDONESIAN_WORDS = "dan yang untuk dari dengan tidak pilih wilayah peta proyek".split()
+ENGLISH_WORDS = ["create", "map", "match", "upload", "export", "save", "open", "fix", "continue", "cancel"]
+INDONESIAN_WORDS = ["dan", "yang", "untuk", "dari", "dengan", "tidak", "pilih", "wilayah", "peta", "proyek"]
 
 _DROPPED = [r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"(?s)<!--.*?-->"]
 
@@ -76,32 +72,42 @@ def banned(docs: DataFrame, key: str, visible, phrases: list[str]) -> DataFrame:
     return docs.select(key, F.explode(hits).alias("phrase"))
 
 
-def mixed_language(docs: DataFrame, key: str, visible, first: list[str], second: list[str]) -> DataFrame:
-    """(key, position, sentence): sentences with a word of either list, the first four per page."""
+def mixed_language(
+    docs: DataFrame, key: str, visible, first: list[str], second: list[str], most: int | None = None, length: int | None = None
+) -> DataFrame:
+    """(key, position, sentence): sentences with a word of either list.
+
+    most and length cut the sentences of a page and their characters, for short reports.
+    """
     both = F.filter(F.split(visible, "[.!?]"), lambda s: s.rlike(_word(first)) & s.rlike(_word(second)))
-    shown = F.transform(F.slice(both, 1, SENTENCES_PER_PAGE), lambda s: F.substring(text.trim(s), 1, SENTENCE_LENGTH))
+    shown = both if most is None else F.slice(both, 1, most)
+    shown = F.transform(shown, lambda s: text.trim(s) if length is None else F.substring(text.trim(s), 1, length))
     return docs.select(key, F.posexplode(shown).alias("position", "sentence"))
 
 
 def tokens(docs: DataFrame, key: str, body: str, patterns: dict[str, str]) -> DataFrame:
     """(key, line, column, code, match) of every regex hit, lines and columns from 1."""
     lines = docs.select(key, F.posexplode(F.split(body, "\r?\n")).alias("_i", "_line"))
-    opened, closed = "\x01", "\x02"
-    found = None
-    for code, pattern in patterns.items():
-        hits = lines.filter(F.col("_line").rlike(pattern))
-        # Markers around the hits give their places: a piece starts at each hit.
-        pieces = F.split(F.regexp_replace("_line", f"({pattern})", f"{opened}$1{closed}"), opened)
-        listed = hits.withColumn("_pieces", pieces).select(
-            key,
-            (F.col("_i") + 1).alias("line"),
-            "_pieces",
-            F.posexplode(F.slice("_pieces", F.lit(2), F.size("_pieces"))).alias("_n", "_piece"),
-        )
-        before = F.aggregate(F.slice("_pieces", F.lit(1), F.col("_n") + 1), F.lit(0), lambda n, p: n + F.char_length(p)) - F.col("_n")
-        part = listed.select(key, "line", (before + 1).alias("column"), F.lit(code).alias("code"), F.substring_index("_piece", closed, 1).alias("match"))
-        found = part if found is None else found.unionByName(part)
-    return found
+
+    def placed(code: str, pattern: str) -> Column:
+        # The text between the hits and the hits themselves, by turns, give the places.
+        hits = F.regexp_extract_all("_line", F.lit(pattern), F.lit(0))
+        gaps = F.split("_line", pattern, -1)
+
+        def step(done: Column, part: Column) -> Column:
+            column = done["next"] + F.char_length(part["gap"])
+            hit = F.struct(column.alias("column"), F.lit(code).alias("code"), part["hit"].alias("match"))
+            return F.struct((column + F.char_length(part["hit"])).alias("next"), F.array_append(done["hits"], hit).alias("hits"))
+
+        none = F.array().cast("array<struct<column:int,code:string,match:string>>")
+        parts = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
+        return F.when(
+            F.col("_line").rlike(pattern),
+            F.aggregate(parts, F.struct(F.lit(1).alias("next"), none.alias("hits")), step, lambda done: done["hits"]),
+        ).otherwise(none)
+
+    every = F.concat(*[placed(code, pattern) for code, pattern in patterns.items()])
+    return lines.select(key, (F.col("_i") + 1).alias("line"), F.inline(every))
 
 
 def with_allowance(found: DataFrame, key: str, allowed: DataFrame) -> DataFrame:
@@ -118,11 +124,16 @@ def in_failure_order(found: DataFrame, key: str) -> DataFrame:
     return found.orderBy(key, "line", "column", "code")
 
 
-def secrets(docs: DataFrame, key: str, body: str, token_names: list[str]) -> DataFrame:
-    """(key, kind) of possible secrets; token_names are assignments to look for."""
+def secrets(docs: DataFrame, key: str, body: str, token_names: list[str], max_bytes: int | None = None) -> DataFrame:
+    """(key, kind) of possible secrets; token_names are assignments to look for.
+
+    With max_bytes, a longer text has the one kind 'not-scanned'.
+    """
     patterns = {f"assignment:{n}": rf"(?i){n}\s*=\s*['\"][^'\"]+" for n in token_names} | SECRET_PATTERNS
     kinds = F.array_compact(F.array(*[F.when(F.col(body).rlike(p), k) for k, p in patterns.items()]))
-    return docs.filter(F.octet_length(body) <= SECRET_SCAN_BYTES).select(key, F.explode(kinds).alias("kind"))
+    if max_bytes is not None:
+        kinds = F.when(F.octet_length(body) > max_bytes, F.array(F.lit("not-scanned"))).otherwise(kinds)
+    return docs.select(key, F.explode(kinds).alias("kind"))
 
 
 def _without_query(url) -> Column:

@@ -356,11 +356,13 @@ def match_keys(df: DataFrame) -> Column:
     return F.filter(ranked, lambda k: ~k["key"].endswith(":"))
 
 
-def merge_detail(base: DataFrame, detail: DataFrame, min_matched: int = 450) -> DataFrame:
+def merge_detail(base: DataFrame, detail: DataFrame, min_share: float = 0.5) -> DataFrame:
     """Base regions with the detailed geometry of their best shared key.
 
-    Applied only if more than min_matched regions find one, else base is kept.
-    detail needs an ordinal: the first feature of a key wins.
+    Applied only if more than min_share of the regions find one, else base is kept.
+    kept_because tells why a region has its base geometry: 'no-match', or
+    'too-few-matches' for all of them. detail needs an ordinal: the first feature
+    of a key wins.
     """
     keyed = detail.filter("polygons IS NOT NULL").select("ordinal", "region_id", F.inline(match_keys(detail)))
     first = keyed.groupBy("key").agg(F.min_by("ordinal", "ordinal").alias("_detail"))
@@ -370,13 +372,14 @@ def merge_detail(base: DataFrame, detail: DataFrame, min_matched: int = 450) ->
         .groupBy("region_id")
         .agg(F.min_by("_detail", "rank").alias("_detail"))
     )
-    if best.count() <= min_matched:
-        return base.withColumn("detailed", F.lit(False))
+    if best.count() <= min_share * base.count():
+        return base.withColumns({"detailed": F.lit(False), "kept_because": F.lit("too-few-matches")})
     shapes = detail.select(F.col("ordinal").alias("_detail"), F.col("polygons").alias("_polygons"))
     found = best.join(shapes, "_detail").select("region_id", "_polygons")
     return (
         base.join(found, "region_id", "left")
         .withColumn("detailed", F.col("_polygons").isNotNull())
+        .withColumn("kept_because", F.when(F.col("_polygons").isNull(), "no-match"))
         .withColumn("polygons", F.coalesce("_polygons", "polygons"))
         .drop("_polygons")
     )

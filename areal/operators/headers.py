@@ -64,8 +64,8 @@ def duplicates(headers: DataFrame) -> DataFrame:
 def infer_roles(named: DataFrame, role_aliases: DataFrame | None = None) -> DataFrame:
     """(source_id, role, name, confidence): an equal header is high, containment either way medium.
 
-    named is the output of unique(). The aliases are a fixed list, so the tests
-    are written out as one expression per role instead of a join.
+    named is the output of unique(). The aliases are a fixed list of any length:
+    each role looks through an array of its own instead of a join.
     """
     if role_aliases is None:
         grouped = {
@@ -73,16 +73,13 @@ def infer_roles(named: DataFrame, role_aliases: DataFrame | None = None) -> Data
         }
     else:
         grouped = {}
-        for row in role_aliases.limit(1000).collect():
+        for row in role_aliases.select("role", "alias").distinct().orderBy("role", "alias").collect():
             grouped.setdefault(row["role"], []).append(row["alias"])
     header = text.normalize_header("name")
     tested = named.withColumn("_header", header)
     tiers = []
     for role, names in grouped.items():
-        held = None
-        for alias in names:
-            test = F.col("_header").contains(alias) | F.lit(alias).contains(F.col("_header"))
-            held = test if held is None else held | test
+        held = F.exists(F.lit(names), lambda alias: F.col("_header").contains(alias) | alias.contains(F.col("_header")))
         tier = F.when(F.col("_header").isin(names), 0).when(held, 1)
         tiers.append(F.struct(F.lit(role).alias("role"), tier.alias("tier")))
     return (

@@ -10,7 +10,6 @@ from areal.operators import registry
 from areal.plans.sizing import lookup_join
 
 FALLBACK_COLOR = "#087F73"  # fixed value
-CONTEXT_LABELS = 100  # fixed value: context labels kept per map
 
 # Names of the colours people pick most.
 GROUP_NAMES = {

@@ -98,11 +98,11 @@ def simplification_gate(measured: DataFrame, pinned: DataFrame) -> DataFrame:
 
 
 # Fields a source record must fill.
-SOURCE_FIELDS = (
-    "datasetId title publisherOwner sourceUrl retrievedAccessDate effectivePeriodVersion sha256 mediaType licenseId "
-    "commercialUseStatus modificationStatus redistributionStatus attributionRequirementText transformationList "
-    "reviewerStatusDate productionApprovalStatus"
-).split()
+SOURCE_FIELDS = [
+    "datasetId", "title", "publisherOwner", "sourceUrl", "retrievedAccessDate", "effectivePeriodVersion",
+    "sha256", "mediaType", "licenseId", "commercialUseStatus", "modificationStatus", "redistributionStatus",
+    "attributionRequirementText", "transformationList", "reviewerStatusDate", "productionApprovalStatus",
+]
 UNCLEAR = "(?i)unknown|unclear|pending"  # fixed value
 
 

@@ -6,13 +6,15 @@ and others, see ROLE_COLUMNS); an optional source_id keeps several inputs apart.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areal.functions import number, text
 from areal.operators import registry
 from areal.operators.registry import INDEX_VERSION, REGISTRY_VERSION, TIERS
-from areal.plans.sizing import is_small, lookup_join
+from areal.plans.sizing import lookup_join
 
 ROLE_COLUMNS = ["region_code", "region_name", "province", "numeric_value", "category", "source", "period", "color"]
 
@@ -97,15 +99,27 @@ def _best_by_broadcast(keyed: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def _best_by_shuffle(keyed: DataFrame, index: DataFrame) -> DataFrame:
-    """Index large: one salted join over all keys, strongest tier per row by aggregate."""
+    """Index large: the distinct key sets of the rows are joined, the strongest tier of each set goes back to its rows.
+
+    The keys alone decide, so rows that share an id cannot mix.
+    """
+    names = [f"k{t}" for t in TIERS]
+    sets = keyed.select(*names).distinct()
     candidates = F.filter(
         F.array(*[F.struct(F.lit(t).alias("tier"), F.col(f"k{t}").alias("key")) for t in TIERS]),
         lambda k: k["key"].isNotNull(),
     )
-    exploded = keyed.select("row_id", F.inline(candidates))
-    hits = lookup_join(exploded, index, ["tier", "key"], "inner", spread=["row_id"], small=False)
-    best = hits.groupBy("row_id").agg(F.min(F.struct("tier", "key", "n_candidates", "candidates")).alias("best"))
-    return keyed.drop(*[f"k{t}" for t in TIERS]).join(best, "row_id", "left")
+    exploded = sets.select(*names, F.inline(candidates))
+    hits = lookup_join(exploded, index, ["tier", "key"], "inner")
+    best = hits.groupBy(*names).agg(F.min(F.struct("tier", "key", "n_candidates", "candidates")).alias("best"))
+    best = best.select(*[F.col(n).alias(f"_{n}") for n in names], "best")
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names])
+    return keyed.join(best, same, "left").drop(*names, *[f"_{n}" for n in names])
+
+
+def _id_columns(df: DataFrame) -> list[str]:
+    """What identifies a row: its source, where there are several, and its id."""
+    return [c for c in ("source_id",) if c in df.columns] + ["row_id"]
 
 
 def _decisions(
@@ -120,7 +134,7 @@ def _decisions(
     found = lookup_join(resolutions, names, ["target_id"], "left", small=small)
     found = lookup_join(found, canon, ["target_id"], "left", small=small)
     return found.select(
-        "row_id",
+        *_id_columns(resolutions),
         F.col("action").alias("_action"),
         F.when(
             (F.col("action") == "resolve") & (F.col("registry_version") == registry_version),
@@ -161,7 +175,8 @@ def match_rows(
     if decisions is None:
         best = best.withColumns({"_action": F.lit(None).cast("string"), "_decided": F.lit(None).cast("string")})
     else:
-        best = lookup_join(best, decisions, ["row_id"], "left")
+        shared = [c for c in _id_columns(best) if c in _id_columns(decisions)]
+        best = lookup_join(best, decisions, shared, "left")
 
     one, tier = F.col("best.n_candidates") == 1, F.col("best.tier")
     by_tier = F.when(~one | (tier == 50), "ambiguous")
@@ -241,7 +256,7 @@ def _permissive(rows: DataFrame, regions: DataFrame, on_duplicate: str) -> DataF
 
     by_place = unique(F.concat("_place", F.lit("|"), "_name"), names.filter("_placed"), "_pair")
     by_name = unique(F.col("_name"), names, "_only")
-    small = is_small(base)
+    small = None
     named = (F.col("province") != "") & (F.col("region_name") != "")
     found = lookup_join(rows.withColumn("_k", text.normalize_code("region_code", "import")), by_code, ["_k"], small=small).drop("_k")
     pair = F.when(named, F.concat(normalized("province"), F.lit("|"), normalized("region_name")))
@@ -371,7 +386,7 @@ def mapping_report(
     described = registry.records(regions).select(
         "region_id", text.place_text("display_name", "province").alias("_shown")
     )
-    small = is_small(described)
+    small = None
     classes = assignments.select("region_id", F.col("class_key").alias("_class"), F.col("color").alias("_class_color"))
     joined = lookup_join(matched, described, ["region_id"], "left", spread=["row_id"], small=small)
     joined = lookup_join(joined, classes, ["region_id"], "left", spread=["row_id"], small=small)

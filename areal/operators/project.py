@@ -31,12 +31,13 @@ COLLECTION_LIMITS = {
 }
 FORBIDDEN_KEYS = ["__proto__", "constructor", "prototype"]
 # Known fields of a project document.
-KNOWN_FIELDS = (
-    "appVersion schemaVersion boundaryProviderId boundaryVersion registryVersion sourceVersion title highlights "
-    "manualHighlights regionRefs unresolvedHighlights legend legendVisible legendPosition groupNames groupMeta "
-    "importCorrections workflowStage uiMode importRows visualization exportMeta exportSettings migrationReport "
-    "brandMigrationReport storageMigrationReport savedAt"
-).split()
+KNOWN_FIELDS = [
+    "appVersion", "schemaVersion", "boundaryProviderId", "boundaryVersion", "registryVersion",
+    "sourceVersion", "title", "highlights", "manualHighlights", "regionRefs", "unresolvedHighlights",
+    "legend", "legendVisible", "legendPosition", "groupNames", "groupMeta", "importCorrections",
+    "workflowStage", "uiMode", "importRows", "visualization", "exportMeta", "exportSettings",
+    "migrationReport", "brandMigrationReport", "storageMigrationReport", "savedAt",
+]
 # Longest text kept per field of an imported row and of a highlight.
 ROW_LENGTHS = {
     "row_id": 120, "region_code": 120, "province": 120, "region_name": 160, "numeric_value": 120, "category": 120,
@@ -236,6 +237,11 @@ def _structure(documents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["depth", "items", "forbidden"])
 
 
+def _version() -> Column:
+    """Schema version read by a pattern, as nesting too deep for a parser must not hide it."""
+    return F.regexp_extract("document", r'"schemaVersion"\s*:\s*"([^"]*)"', 1)
+
+
 def document_checks(projects: DataFrame) -> DataFrame:
     """(project_id, issues): safety verdict of each document, an array that is empty where it is fine."""
     structure = F.pandas_udf(_structure, "depth int, items int, forbidden boolean")
@@ -254,7 +260,7 @@ def document_checks(projects: DataFrame) -> DataFrame:
         "too-many-items": F.col("_s.items") > LIMITS["items"],
         "forbidden-key": F.col("_s.forbidden"),
         "too-large": F.octet_length("document") > LIMITS["bytes"],
-        "schema-version": ~F.coalesce(F.col("doc.schemaVersion"), F.lit("")).isin(SUPPORTED_SCHEMAS),
+        "schema-version": ~_version().isin(SUPPORTED_SCHEMAS),
         "color": F.exists(styles, lambda s: ~text.is_color(s["color"])),
         **{f"too-many-{n}": entries(n) > limit for n, limit in COLLECTION_LIMITS.items()},
     }

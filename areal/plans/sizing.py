@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
-SALTS = 32
 RANK_BUCKET_ROWS = 1_000_000
 RANK_BUCKETS_MAX = 1_000
 
@@ -45,20 +45,14 @@ def lookup_join(
 ) -> DataFrame:
     """Join a large left side to a lookup table.
 
-    A lookup measured small is broadcast, so the left side does not move. Else
-    both sides shuffle; the left side is salted over the spread columns (default:
-    all its columns), so a key that holds a third of the rows is split over
-    SALTS tasks. how is inner, left, left_semi or left_anti.
+    small tells that the caller has measured the lookup: it is broadcast, and the
+    left side does not move. Else no side is run twice to measure it: Spark
+    broadcasts what its statistics, or those of a finished shuffle, show to be
+    small, and splits the partitions of keys that turn out heavy over as many
+    tasks as their size needs. how is inner, left, left_semi or left_anti. spread
+    names columns that tell rows apart; the plan does not need it any more.
     """
-    if small is None:
-        small = is_small(right)
-    if small:
-        return left.join(F.broadcast(right), on, how)
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in (spread or left.columns)]), F.lit(SALTS))
-    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(
-        "_salt", F.col("_salt").cast("bigint")
-    )
-    return left.withColumn("_salt", salt).join(salted_right.hint("shuffle_merge"), [*on, "_salt"], how).drop("_salt")
+    return left.join(F.broadcast(right) if small else right, on, how)
 
 
 def _cuts(distinct: DataFrame, order: str, count: int) -> list:
@@ -140,7 +134,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         if folder is None:
-            if not context.master.startswith("local"):
+            if not re.match(r"local(\[.*\])?\Z", context.master):
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = os.path.join(tempfile.mkdtemp(prefix="areal-"), "checkpoints")
         context.setCheckpointDir(folder)

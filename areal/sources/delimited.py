@@ -16,7 +16,6 @@ from areal.plans.sizing import checkpoint, lookup_join
 
 DELIMITERS = {"comma": ",", "semicolon": ";", "tab": "\t"}
 DETECTION_RECORDS = 20  # fixed value
-MAX_FILE_BYTES = 64 << 20  # beyond this a file goes through read_large()
 
 # Budgets of the reference; parse() applies none unless told to.
 REFERENCE_BUDGET = {"bytes": 1048576, "rows": 5000, "columns": 50, "cells": 100000, "cell_length": 2000}
@@ -188,10 +187,9 @@ def parse(sources: DataFrame, delimiter: str = "auto", budget: dict | None = Non
         if name in limits:
             status = status.when(checks[name] > limits[name], f"too-many-{name}" if name != "cell_length" else "cell-too-long")
     status = status.otherwise("ok")
-    identity = F.concat_ws(
-        "|", text.text_of("source_type"), "_delimiter", F.substring("_text", 1, 4096), F.size("_records").cast("string"), F.col("n_columns").cast("string")
-    )
-    described = counted.withColumns({"status": status, "source_id": F.concat(F.lit("src_"), text.fnv1a36(identity))})
+    # Wide ids over the whole text: two sources share one only if they are equal.
+    identity = F.concat_ws("|", text.text_of("source_type"), "_delimiter", "_text")
+    described = counted.withColumns({"status": status, "source_id": F.concat(F.lit("src_"), F.sha2(identity, 256))})
     summary = described.select(
         "source_key", "source_type", "source_id", "status", F.col("_delimiter").alias("delimiter"), F.col("_detected.confidence").alias("confidence"),
         F.when(F.col("text").startswith("﻿"), "utf-8-bom").otherwise("utf-8").alias("encoding"), "headers", "n_rows", "n_columns", "n_cells",
@@ -204,24 +202,31 @@ def parse(sources: DataFrame, delimiter: str = "auto", budget: dict | None = Non
     return summary, _finish_rows(rows)
 
 
+def cells_by_header(headers: str, items: str) -> Column:
+    """Map from header to cell; of equal headers the last one counts, missing cells are empty."""
+    entries = F.transform(headers, lambda h, i: F.struct(h.alias("key"), F.coalesce(F.get(items, i), F.lit("")).alias("value")))
+    last = F.filter(
+        entries, lambda e, i: ~F.exists(F.slice(F.col(headers), i + 2, F.size(headers)), lambda later: later == e["key"])
+    )
+    distinct = F.size(F.array_distinct(headers)) == F.size(headers)
+    return F.map_from_entries(F.when(distinct, entries).otherwise(last))
+
+
 def _finish_rows(rows: DataFrame, row_id: Column | None = None) -> DataFrame:
     """Cells as a map by header, row id and the mismatch flag.
 
-    The default row id is the compatibility hash; give a wider one for large inputs.
+    row_id is wide; short_id is the 32-bit hash kept for compatibility, which
+    rows can share.
     """
-    entries = F.transform("headers", lambda h, i: F.struct(h.alias("key"), F.coalesce(F.get("_items", i), F.lit("")).alias("value")))
-    last = F.filter(
-        entries, lambda e, i: ~F.exists(F.slice(F.col("headers"), i + 2, F.size("headers")), lambda later: later == e["key"])
-    )
-    distinct = F.size(F.array_distinct("headers")) == F.size("headers")
     identity = F.concat_ws("|", "source_id", F.col("row_number").cast("string"), F.array_join("_items", "\x1f"))
     return rows.select(
         "source_key",
         "source_id",
-        (F.concat(F.lit("row_"), text.fnv1a36(identity)) if row_id is None else row_id).alias("row_id"),
+        (F.concat(F.lit("row_"), F.sha2(identity, 256)) if row_id is None else row_id).alias("row_id"),
+        F.concat(F.lit("row_"), text.fnv1a36(identity)).alias("short_id"),
         "row_number",
         "headers",
-        F.map_from_entries(F.when(distinct, entries).otherwise(last)).alias("cells"),
+        cells_by_header("headers", "_items").alias("cells"),
         (F.size("_items") != F.size("headers")).alias("mismatch"),
     )
 
@@ -264,12 +269,23 @@ def strict_rows(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.col("mismatch"))
 
 
-def read_files(spark: SparkSession, path: str, delimiter: str = "auto", budget: dict | None = None, max_bytes: int = MAX_FILE_BYTES):
-    """Parse every file up to max_bytes under a path, one file per row."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= max_bytes)
+def read_files(spark: SparkSession, path: str, delimiter: str = "auto", budget: dict | None = None, max_bytes: int | None = None):
+    """Parse every file under a path, one file per row.
+
+    With max_bytes, larger files are not opened: their source row has the status
+    'too-many-bytes' and no rows follow; read_large takes files of any size.
+    """
+    listed = spark.read.format("binaryFile").load(path)
+    files = listed if max_bytes is None else listed.filter(F.col("length") <= max_bytes)
     kind = F.when(F.lower("path").endswith(".tsv"), "tsv").otherwise("csv")
     texts = files.select(F.col("path").alias("source_key"), kind.alias("source_type"), F.decode("content", "UTF-8").alias("text"))
-    return parse(texts, delimiter, budget)
+    summary, rows = parse(texts, delimiter, budget)
+    if max_bytes is not None:
+        refused = listed.filter(F.col("length") > max_bytes).select(
+            F.col("path").alias("source_key"), kind.alias("source_type"), F.lit("too-many-bytes").alias("status")
+        )
+        summary = summary.unionByName(refused, allowMissingColumns=True)
+    return summary, rows
 
 
 def read_large(spark: SparkSession, path: str, delimiter: str) -> tuple[DataFrame, DataFrame]:

@@ -37,10 +37,12 @@ def with_properties(features: DataFrame, names: list[str]) -> DataFrame:
     return features.withColumns({n: F.try_element_at("properties", F.lit(n)) for n in names}).drop("properties")
 
 
-PROPERTIES = (
-    "region_id stable_region_id id geometry_source_id shapeID shape_id region_name name geometry_source_name shapeName "
-    "province_name province region_type type_name display_name official_code alternative_names match_status area_sqkm"
-).split()
+# Properties that are read.
+PROPERTIES = [
+    "region_id", "stable_region_id", "id", "geometry_source_id", "shapeID", "shape_id", "region_name", "name",
+    "geometry_source_name", "shapeName", "province_name", "province", "region_type", "type_name",
+    "display_name", "official_code", "alternative_names", "match_status", "area_sqkm",
+]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from areal.sources.delimited import unique_names
+from areal.sources.delimited import cells_by_header, unique_names
 
 # Limits and forbidden parts.
 BUDGET = {"compressed": 2097152, "uncompressed": 12582912, "entries": 256, "ratio": 80, "sheets": 20}
@@ -31,7 +31,6 @@ BLOCKED_PARTS = [
     r"^encryptedpackage$",
 ]
 REQUIRED_PARTS = ["[content_types].xml", "xl/workbook.xml"]
-MAX_FILE_BYTES = 64 << 20
 
 ENTRY_SCHEMA = "path string, length bigint, name string, compressed bigint, uncompressed bigint, method int, problem string"
 CELL_SCHEMA = "path string, sheet_position int, sheet string, row int, column int, value string, problem string"
@@ -92,8 +91,15 @@ def triage(entry_rows: DataFrame, budget: dict = BUDGET) -> DataFrame:
 
 
 def inspect(spark: SparkSession, path: str, budget: dict = BUDGET) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MAX_FILE_BYTES)
-    return triage(entries(files), budget)
+    opened, refused = _by_size(spark, path, budget)
+    return triage(entries(opened), budget).unionByName(refused, allowMissingColumns=True)
+
+
+def _by_size(spark: SparkSession, path: str, budget: dict) -> tuple[DataFrame, DataFrame]:
+    """Files within the limit of bytes, and verdicts of the others, which are not opened."""
+    files = spark.read.format("binaryFile").load(path)
+    refused = files.filter(F.col("length") > budget["compressed"]).select("path", "length", F.lit("too-large").alias("verdict"))
+    return files.filter(F.col("length") <= budget["compressed"]), refused
 
 
 def _tag(element) -> str:
@@ -178,13 +184,12 @@ def _sheet_cells(content: bytes):
 def _read_cells(batches):
     columns = ["path", "sheet_position", "sheet", "row", "column", "value", "problem"]
     for batch in batches:
-        rows = []
         for path, content in zip(batch["path"], batch["content"], strict=True):
             try:
-                rows += [(path, *cell, None) for cell in _sheet_cells(content)]
+                rows = [(path, *cell, None) for cell in _sheet_cells(content)]
             except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError, IndexError):
-                rows.append((path, None, None, None, None, None, "unreadable"))
-        yield pd.DataFrame(rows, columns=columns)
+                rows = [(path, None, None, None, None, None, "unreadable")]
+            yield pd.DataFrame(rows, columns=columns)
 
 
 def cells(files: DataFrame) -> DataFrame:
@@ -200,11 +205,23 @@ def sheets(cell_rows: DataFrame) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, sheet: str | None = None, budget: dict = BUDGET) -> tuple[DataFrame, DataFrame]:
-    """Rows (source_key, sheet, row_number, headers, cells) of accepted workbooks, and the verdicts."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MAX_FILE_BYTES)
+    """Rows (source_key, sheet, row_number, headers, cells) of accepted workbooks, and a verdict for every file.
+
+    A file that passes the triage and cannot be read, or has more sheets than the
+    budget, has the verdict 'unreadable' or 'too-many-sheets' and gives no rows.
+    """
+    files, refused = _by_size(spark, path, budget)
     verdicts = triage(entries(files), budget)
     accepted = files.join(verdicts.filter("verdict = 'ok'").select("path"), "path")
-    return rows_of(cells(accepted), sheet), verdicts
+    found = cells(accepted)
+    problems = found.groupBy("path").agg(
+        F.when(F.max("problem").isNotNull(), "unreadable")
+        .when(F.max("sheet_position") >= budget["sheets"], "too-many-sheets")
+        .alias("_problem")
+    ).filter("_problem IS NOT NULL")
+    told = verdicts.join(problems, "path", "left").withColumn("verdict", F.coalesce("_problem", "verdict")).drop("_problem")
+    rows = rows_of(found.join(problems.select("path"), "path", "left_anti"), sheet)
+    return rows, told.unionByName(refused, allowMissingColumns=True)
 
 
 def rows_of(cell_rows: DataFrame, sheet: str | None = None) -> DataFrame:
@@ -231,12 +248,11 @@ def rows_of(cell_rows: DataFrame, sheet: str | None = None) -> DataFrame:
     numbered = chosen.withColumns({"_items": items, "row_number": F.row_number().over(file.orderBy("row"))})
     headed = numbered.withColumn("_header", F.max(F.when(F.col("row_number") == 1, F.col("_items"))).over(file))
     named = headed.filter("row_number > 1").withColumn("headers", unique_names(F.col("_header")))
-    entries_ = F.transform("headers", lambda h, i: F.struct(h.alias("key"), F.coalesce(F.get("_items", i), F.lit("")).alias("value")))
     return named.select(
         F.col("path").alias("source_key"),
         "sheet",
         "row_number",
         "headers",
-        F.map_from_entries(entries_).alias("cells"),
+        cells_by_header("headers", "_items").alias("cells"),
         (F.size("_items") != F.size("headers")).alias("mismatch"),
     )
