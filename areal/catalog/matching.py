@@ -132,6 +132,17 @@ def j7(t):
     return _matched(t, on_duplicate="aggregate").select("row_id", "status", "region_id")
 
 
+@query("j6_match_cascade_shuffled", "SELECT row_id, tier_status AS status, found AS region_id, CAST(CASE WHEN tier_status = 'ambiguous' THEN n ELSE 0 END AS BIGINT) AS n_candidates FROM {tiered}")
+def j6_shuffled(t):
+    out = match.match_rows(t.messy.drop("true_region", "amount"), t.regions, on_duplicate="aggregate", small=False)
+    return out.select("row_id", "status", "region_id", F.col("n_candidates").cast("bigint"))
+
+
+@query("j7_resolution_overlay_shuffled", "SELECT row_id, s0 AS status, region AS region_id FROM {decided}")
+def j7_shuffled(t):
+    return _matched(t, on_duplicate="aggregate", small=False).select("row_id", "status", "region_id")
+
+
 @query("j8_duplicate_target", "SELECT row_id, status, region AS region_id FROM {matched}")
 def j8(t):
     return _matched(t).select("row_id", "status", "region_id")
@@ -172,6 +183,16 @@ def j10(t):
     return rows.select("row_id", "candidate_id", "canonical_region_id", "display_name", "region_type", "official_code")
 
 
+@query(
+    "j10_all_candidates",
+    """SELECT DISTINCT m.row_id, k.region_id AS candidate_id FROM {matched} m
+       JOIN {keys} k ON k.key = m.key AND k.tier = CASE WHEN m.tier = 11 THEN 10 ELSE m.tier END WHERE m.s0 = 'ambiguous'""",
+)
+def j10_all(t):
+    """Every candidate, where the list of a row is cut."""
+    return match.all_candidates(_matched(t), t.regions).select("row_id", "candidate_id")
+
+
 @query(
     "j17_feature_by_id",
     "SELECT region_id, display_name FROM {regions} WHERE region_id = 'gb-B7'",

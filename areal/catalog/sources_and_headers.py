@@ -262,6 +262,23 @@ def h4(t):
     return headers.infer_roles(headers.unique(t.header_cells))
 
 
+# More aliases than any fixed list has: one per order, and a few that the headers hold.
+inputs.DERIVED["many_aliases"] = """
+SELECT 'category' AS role, concat('produk ', CAST(o_orderkey AS STRING)) AS alias FROM {orders}
+UNION ALL SELECT 'period', concat('tahun ', CAST(o_orderkey AS STRING)) FROM {orders} UNION ALL SELECT 'regionName', 'wilayah'"""
+
+
+@query(
+    "h4_infer_roles_many",
+    f"""SELECT source_id, role, arg_min(name, tier * 1000 + position) AS name, CASE min(tier) WHEN 0 THEN 'high' ELSE 'medium' END AS confidence FROM
+    (SELECT n.source_id, n.position, n.name, a.role, a.tier FROM (SELECT *, {_NORM.format(c='name')} AS h FROM {{named_headers}}) n
+     JOIN (SELECT h, role, min(CASE WHEN h = alias THEN 0 ELSE 1 END) AS tier FROM (SELECT DISTINCT {_NORM.format(c='name')} AS h FROM {{named_headers}}) JOIN {{many_aliases}}
+           ON contains(h, alias) OR contains(alias, h) GROUP BY ALL) a ON a.h = n.h) GROUP BY source_id, role""",
+)
+def h4_many(t):
+    return headers.infer_roles(headers.unique(t.header_cells), t.many_aliases)
+
+
 @query("h4_ignored_columns", "SELECT source_id, name FROM {named_headers} n WHERE NOT EXISTS (SELECT 1 FROM {roles} r WHERE r.source_id = n.source_id AND r.name = n.name)")
 def h4_ignored(t):
     named = headers.unique(t.header_cells)

@@ -294,15 +294,15 @@ def candidate_rows(matched: DataFrame, regions: DataFrame) -> DataFrame:
     described = registry.records(regions).select(
         F.col("region_id").alias("candidate_id"), "canonical_region_id", "display_name", F.col("province").alias("candidate_province"), "region_type", "official_code"
     )
-    listed = matched.select("row_id", F.posexplode("candidates").alias("position", "candidate_id"))
+    listed = matched.select(*_id_columns(matched), F.posexplode("candidates").alias("position", "candidate_id"))
     return lookup_join(listed, described, ["candidate_id"], "inner")
 
 
 def all_candidates(matched: DataFrame, regions: DataFrame) -> DataFrame:
     """Every candidate of the ambiguous rows, beyond the listed first twenty as well."""
     keys = registry.build_keys(regions).select("key_type", F.col("key").alias("match_key"), F.col("region_id").alias("candidate_id"))
-    unsure = matched.filter("status = 'ambiguous'").select("row_id", "key_type", "match_key")
-    return lookup_join(unsure, keys, ["key_type", "match_key"], "inner", spread=["row_id"])
+    unsure = matched.filter("status = 'ambiguous'").select(*_id_columns(matched), "key_type", "match_key")
+    return lookup_join(unsure, keys, ["key_type", "match_key"], "inner")
 
 
 def validate(matched: DataFrame, locale: str = "auto") -> DataFrame:

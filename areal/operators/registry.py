@@ -151,8 +151,8 @@ def build_keys(regions: DataFrame) -> DataFrame:
     return long.select(key_type.alias("key_type"), "tier", "key", "region_id")
 
 
-def lookup_index(keys: DataFrame) -> DataFrame:
-    """One row per key: how many regions it names and the first of them.
+def lookup_index(keys: DataFrame, listed: int = CANDIDATE_LIMIT) -> DataFrame:
+    """One row per key: how many regions it names and the first listed ones (match.all_candidates gives every one).
 
     The exact count comes from a plain aggregate; the list is cut by a ranked
     window, which Spark limits before the shuffle, so no key is gathered whole.
@@ -160,7 +160,7 @@ def lookup_index(keys: DataFrame) -> DataFrame:
     counts = keys.groupBy("tier", "key").agg(F.count("*").alias("n_candidates"))
     first = (
         keys.withColumn("_n", F.row_number().over(Window.partitionBy("tier", "key").orderBy("region_id")))
-        .filter(F.col("_n") <= CANDIDATE_LIMIT)
+        .filter(F.col("_n") <= listed)
         .groupBy("tier", "key")
         .agg(F.sort_array(F.collect_list("region_id")).alias("candidates"))
     )
