@@ -45,7 +45,8 @@ def toxicity_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_merkle_fingerprints")
 def merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+    found = fingerprints.compare_neighbours(table(spark, sf_dir, "documents"))
+    return found.withColumn("edited_paragraphs", F.array_join("edited_paragraphs", ","))
 
 
 @query("op3_pii_boosted_spans")
@@ -75,7 +76,8 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_line_dedup_winnowing")
 def line_dedup_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs, detail=True)
+    found = line_dedup.dedup_lines(docs, detail=True)
+    return found.withColumns({c: F.array_join(c, ",") for c in ("removed_lines", "copied_from")})
 
 
 @query(
