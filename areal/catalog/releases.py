@@ -46,17 +46,17 @@ def r2(t):
     return registry.crosswalk(t.old_registry)
 
 
-inputs.DERIVED["province_rows"] = """SELECT concat('prov-', CAST(s_suppkey AS STRING)) AS canonical_province_id, concat('Provinsi ', s_name) AS official_display_name, concat('Old ', CAST(s_suppkey AS STRING), '|Daerah ', s_name, ' Baru|') AS aliases_legacy_names FROM {supplier}"""
+inputs.DERIVED["province_rows"] = """SELECT concat('prov-', CAST(s_suppkey AS STRING)) AS canonical_province_id, concat('Provinsi ', s_name) AS official_display_name, concat('Old ', CAST(s_suppkey AS STRING), '|Daerah ', s_name, ' Baru|') AS aliases_legacy_names, CASE WHEN s_suppkey % 10 = 4 THEN '31' ELSE '' END AS official_code_verified, CASE WHEN s_suppkey % 10 = 3 THEN 'former' ELSE '' END AS status, CASE WHEN s_suppkey % 10 = 3 THEN '2024-01-01' ELSE '' END AS valid_to, concat('note ', s_name) AS notes FROM {supplier}"""
 _NAME = r"trim(regexp_replace(regexp_replace(lower(strip_accents({c})), '\b(daerah|provinsi|province)\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query(
     "r3_province_registry",
-    f"""SELECT canonical_province_id, official_display_name, {_NAME.format(c='official_display_name')} AS normalized_name, aliases_legacy_names, '' AS official_code_verified, '2025-04-25' AS valid_from, '' AS valid_to, 'current' AS status,
-        '{registry.PROVINCE_SOURCE_VERSION}' AS source_version, '2026-07-12' AS source_access_date FROM {{province_rows}}""",
+    f"""SELECT canonical_province_id, official_display_name, {_NAME.format(c='official_display_name')} AS normalized_name, aliases_legacy_names, official_code_verified, '2025-04-25' AS valid_from, valid_to, CASE WHEN status = '' THEN 'current' ELSE status END AS status,
+        '{registry.PROVINCE_SOURCE_VERSION}' AS source_version, 'https://example.org/decree' AS source_url, '2026-07-12' AS source_access_date, notes FROM {{province_rows}}""",
 )
 def r3(t):
-    return registry.provinces(t.province_rows)
+    return registry.provinces(t.province_rows, "https://example.org/decree")
 
 
 @query(
@@ -127,6 +127,8 @@ _ENDS = "ends_with(geometry_source_id, '{}')"
       UNION ALL SELECT 'canonical.reason-missing', internal_id FROM o WHERE u AND kept AND {_ENDS.format('3')}
       UNION ALL SELECT 'canonical.code-without-evidence', internal_id FROM o WHERE u AND kept AND {_ENDS.format('7')}
       UNION ALL SELECT 'crosswalk.review-flag', internal_id FROM o WHERE u AND ends_with(internal_id, '8')
+      UNION ALL SELECT 'province.not-current', canonical_province_id FROM {{province_rows}} WHERE status <> ''
+      UNION ALL SELECT 'province.code-filled', canonical_province_id FROM {{province_rows}} WHERE official_code_verified <> ''
       UNION ALL SELECT 'region.duplicate-code', official_code FROM o GROUP BY official_code HAVING count(*) > 1
       UNION ALL SELECT 'canonical.lost-legacy-id', region_id FROM o WHERE NOT kept
       UNION ALL SELECT 'crosswalk.unknown-canonical-id', concat('idn-adm2-gb-', lower(geometry_source_id)) FROM o WHERE NOT kept

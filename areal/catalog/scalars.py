@@ -116,7 +116,13 @@ def f9(t):
     return t.orders.select("o_orderkey", text.canonical_region_id(source, F.concat(F.lit("GB-"), "o_custkey")).alias("v"))
 
 
-@query("f10_stable_hash")
+@query(
+    "f10_stable_hash",
+    """SELECT doc_id, lower(to_base(list_reduce(list_prepend(CAST(2166136261 AS BIGINT), units), lambda h, u: (xor(h, u) * 16777619) & 4294967295), 36, 7)) AS v
+       FROM (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE flatten(list_transform(string_split(text, ''), lambda c:
+           CASE WHEN unicode(c) < 65536 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(55232 + (unicode(c) >> 10) AS BIGINT), CAST(56320 + (unicode(c) & 1023) AS BIGINT)] END)) END AS units
+       FROM {documents})""",
+)
 def f10(t):
     return t.documents.select("doc_id", text.fnv1a36("text").alias("v"))
 

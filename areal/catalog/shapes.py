@@ -139,7 +139,18 @@ def g14(t):
     return shaped(t).withColumns(page).select("region_id", geometry.path().alias("path"))
 
 
-@query("g14_compact_path")
+def _tenth(v: str) -> str:
+    return rf"regexp_replace(CAST(floor(({v}) * 10 + 0.5e0) / 10 AS VARCHAR), '\.0$', '')"
+
+
+@query(
+    "g14_compact_path",
+    f"""WITH placed AS (SELECT region_id, polygon, ring, pos,
+            concat({_tenth("25 + (x - 94.7e0) / (141.1e0 - 94.7e0) * 800")}, ' ', {_tenth("25 + (6.2e0 - y) / (6.2e0 - -11.2e0) * 340")}) AS p FROM {{vertices}}),
+        stepped AS (SELECT *, lag(p) OVER ({_W}) AS q FROM placed)
+        SELECT region_id, polygon, CASE WHEN count(*) < 3 THEN '' ELSE concat('M', string_agg(p, 'L' ORDER BY pos), 'Z') END AS path
+        FROM stepped WHERE q IS NULL OR p <> q GROUP BY region_id, polygon, ring""",
+)
 def g14_compact(t):
     ring_rows = geometry.rings(shaped(t).select("region_id", "polygons"))
     return ring_rows.select("region_id", "polygon", geometry.compact_path("points", 25, 25, 800, 340).alias("path"))

@@ -329,19 +329,26 @@ FROM {orders} GROUP BY o_custkey, o_orderkey % 40"""
 
 @query(
     "k3_project_documents",
-    """SELECT CAST(c_custkey AS VARCHAR) AS project_id, coalesce(string_agg(concat('"', region_id, '":{"color":"', color, '","category":"', category, '","value":"', value, '"}'), ',' ORDER BY region_id), '') AS highlights, substr(concat(c_name, ' ', c_mktsegment), 1, 90) AS title
+    """SELECT CAST(c_custkey AS VARCHAR) AS project_id, coalesce(string_agg(concat('"', region_id, '":{"color":"', color, '","category":"', category, '","value":"', value, '"}'), ',' ORDER BY region_id), '') AS highlights, substr(concat(c_name, ' ', c_mktsegment), 1, 90) AS title,
+       CASE WHEN c_custkey % 3 > 0 THEN concat('[{"label":"', c_mktsegment, '"}]') END AS legend,
+       CASE WHEN c_custkey % 3 = 1 THEN concat('{"r":"', c_mktsegment, '"}') ELSE '{}' END AS unresolved, '[]' AS import_rows
        FROM {customer} LEFT JOIN {project_rows} ON project_id = CAST(c_custkey AS VARCHAR) GROUP BY c_custkey, c_name, c_mktsegment""",
 )
 def k3(t):
     projects = t.customer.select(
-        F.col("c_custkey").cast("string").alias("project_id"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("title"), F.lit("match").alias("workflow_stage"), F.lit("basic").alias("ui_mode")
+        F.col("c_custkey").cast("string").alias("project_id"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("title"), F.lit("match").alias("workflow_stage"), F.lit("basic").alias("ui_mode"),
+        F.when(F.col("c_custkey") % 3 > 0, F.concat(F.lit('[{"label":"'), "c_mktsegment", F.lit('"}]'))).alias("legend"),
+        F.when(F.col("c_custkey") % 3 == 1, F.concat(F.lit('{"r":"'), "c_mktsegment", F.lit('"}'))).otherwise("no json").alias("unresolved_highlights"),
     )
     rows = t.project_rows.withColumns({"canonical_region_id": F.concat(F.lit("idn-adm2-gb-"), F.lower("region_id")), "migration_status": F.lit("mapped")})
     provider = {"boundaryProviderId": "areal-local", "boundaryVersion": registry.BOUNDARY_VERSION, "registryVersion": registry.REGISTRY_VERSION}
     documents = sinks.project_documents(projects, rows, provider, "Region map")
-    parts = F.from_json("document", "struct<title:string,highlights:string>")
+    parts = F.from_json("document", "struct<title:string,highlights:string,legend:string,unresolvedHighlights:string,importRows:string>")
     inner = F.regexp_replace(parts["highlights"], r"\A\{|\}\z", "")
-    return documents.select("project_id", inner.alias("highlights"), parts["title"].alias("title"))
+    return documents.select(
+        "project_id", inner.alias("highlights"), parts["title"].alias("title"), parts["legend"].alias("legend"),
+        parts["unresolvedHighlights"].alias("unresolved"), parts["importRows"].alias("import_rows"),
+    )
 
 
 @query("k6_label_anchor_table", "SELECT * FROM {anchored}")

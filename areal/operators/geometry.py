@@ -338,17 +338,29 @@ def inside(df: DataFrame, min_x: float, min_y: float, max_x: float, max_y: float
     return df.filter(F.col("lng").between(min_x, max_x) & F.col("lat").between(min_y, max_y))
 
 
+# Spellings of the properties that identify a region, the first filled one counts.
+SPELLINGS = {
+    "region": ["region_id", "id", "ID"],
+    "shape": ["geometry_source_id", "shapeID", "shapeId", "shape_id", "ShapeID"],
+    "code": ["official_code", "official_code_normalized", "ADM2_PCODE", "ADM2_CODE", "kode", "KODE"],
+    "province": ["province_name", "ADM1_EN", "ADM1_ID", "PROVINSI", "Province", "province"],
+    "name": [
+        "region_name", "display_name", "shapeName", "ShapeName", "ADM2_EN", "ADM2_ID", "KAB_KOTA", "NAME_2", "name", "NAME",
+    ],
+}
+
+
 def match_keys(df: DataFrame) -> Column:
     """Ranked keys under which two geometry sources recognise a region."""
     from areal.operators.registry import optional
 
-    source = F.regexp_replace(optional(df, "geometry_source_id", "shapeID", "shape_id"), "(?i)^gb-", "")
-    place = text.normalize_text(optional(df, "province_name", "province"), "import")
-    name = text.normalize_text(optional(df, "region_name", "display_name", "shapeName", "name"), "import")
+    source = F.regexp_replace(optional(df, *SPELLINGS["shape"]), "(?i)^gb-", "")
+    place = text.normalize_text(optional(df, *SPELLINGS["province"]), "import")
+    name = text.normalize_text(optional(df, *SPELLINGS["name"]), "import")
     keys = [
-        ("region:", optional(df, "region_id", "id")),
+        ("region:", optional(df, *SPELLINGS["region"])),
         ("shape:", source),
-        ("code:", text.normalize_code(optional(df, "official_code", "official_code_normalized"), "import")),
+        ("code:", text.normalize_code(optional(df, *SPELLINGS["code"]), "import")),
         ("name:", F.concat(place, F.lit("|"), name)),
         ("region-name:", name),
     ]

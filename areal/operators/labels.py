@@ -152,14 +152,14 @@ def _greedy(batches):
 
 
 def thin(labels: DataFrame, rounds: int = 1) -> DataFrame:
-    """Labels that fit without overlap, placed greedily by rank, then name, then id.
+    """Labels that fit without overlap, placed greedily by rank, then name in locale order, then id.
 
     labels: view_id, id, text, x, y, font_size, rank. Rounds of grid aggregates
     settle most labels of crowded views in parallel; what stays open is placed in
     rank order by one pass per view that streams its rows and holds placed boxes
     only.
     """
-    boxed = checkpoint(_boxed(labels).withColumns({"_rank": -F.col("rank"), "_text": F.col("text")}))
+    boxed = checkpoint(_boxed(labels).withColumns({"_rank": -F.col("rank"), "_text": F.collate("text", "id")}))
     placed, still_open = None, boxed
     for _ in range(rounds):
         fixed, left_over = _settle(still_open)

@@ -225,19 +225,22 @@ def crosswalk(df: DataFrame) -> DataFrame:
     )
 
 
-def provinces(df: DataFrame) -> DataFrame:
-    """Province registry from (canonical_province_id, official_display_name, aliases_legacy_names)."""
+def provinces(df: DataFrame, source_url: str = "") -> DataFrame:
+    """Province registry from (canonical_province_id, official_display_name, aliases_legacy_names) and, where they
+    are there, official_code_verified, valid_from, valid_to, status and notes."""
     return df.select(
         "canonical_province_id",
         "official_display_name",
         text.normalize_name("official_display_name").alias("normalized_name"),
         "aliases_legacy_names",
-        F.lit("").alias("official_code_verified"),
-        F.lit("2025-04-25").alias("valid_from"),
-        F.lit("").alias("valid_to"),
-        F.lit("current").alias("status"),
+        optional(df, "official_code_verified").alias("official_code_verified"),
+        F.coalesce(F.nullif(optional(df, "valid_from"), F.lit("")), F.lit("2025-04-25")).alias("valid_from"),
+        optional(df, "valid_to").alias("valid_to"),
+        F.coalesce(F.nullif(optional(df, "status"), F.lit("")), F.lit("current")).alias("status"),
         F.lit(PROVINCE_SOURCE_VERSION).alias("source_version"),
+        F.lit(source_url).alias("source_url"),
         F.lit(ACCESS_DATE).alias("source_access_date"),
+        optional(df, "notes").alias("notes"),
     )
 
 

@@ -35,10 +35,42 @@ TITLE_LENGTH = 90
 STAGES = ["input", "match", "visualize", "export"]
 
 
+# Further fields of a saved project; the column of projects with their JSON text, and what stands for a
+# missing or unreadable one (None: the field is left out).
+FURTHER_FIELDS = {
+    "manualHighlights": ("manual_highlights", "{}"),
+    "unresolvedHighlights": ("unresolved_highlights", "{}"),
+    "legend": ("legend", None),
+    "legendVisible": ("legend_visible", None),
+    "legendPosition": ("legend_position", None),
+    "groupNames": ("group_names", "{}"),
+    "groupMeta": ("group_meta", "{}"),
+    "importCorrections": ("import_corrections", "{}"),
+    "importRows": ("import_rows", "[]"),
+    "visualization": ("visualization", None),
+    "exportMeta": ("export_meta", None),
+    "exportSettings": ("export_settings", None),
+    "migrationReport": ("migration_report", "null"),
+    "savedAt": ("saved_at", None),
+}
+
+
+def _with_further(document: Column, columns: list[str]) -> Column:
+    """Document text with the further fields behind its own."""
+    parts = []
+    for name, (column, default) in FURTHER_FIELDS.items():
+        value = F.lit(default)
+        if column in columns:
+            value = F.when(F.try_parse_json(column).isNotNull(), F.col(column)).otherwise(value)
+        parts.append(F.coalesce(F.concat(F.lit(f',"{name}":'), value.cast("string")), F.lit("")))
+    return F.concat(F.substr(document, F.lit(1), F.char_length(document) - 1), *parts, F.lit("}"))
+
+
 def project_documents(projects: DataFrame, highlights: DataFrame, provider: dict[str, str], default_title: str) -> DataFrame:
     """(project_id, document): project state as JSON text.
 
-    projects: project_id, title, workflow_stage, ui_mode. highlights: project_id,
+    projects: project_id, title, workflow_stage, ui_mode, and the columns of
+    FURTHER_FIELDS that it has. highlights: project_id,
     region_id, canonical_region_id, migration_status, color, category, value. A
     project's highlights are one document value, so they are gathered by project.
     """
@@ -69,4 +101,4 @@ def project_documents(projects: DataFrame, highlights: DataFrame, provider: dict
         F.when(F.col("workflow_stage").isin(STAGES), F.col("workflow_stage")).otherwise("input").alias("workflowStage"),
         F.when(F.col("ui_mode") == "advanced", "advanced").otherwise("basic").alias("uiMode"),
     )
-    return joined.select("project_id", F.to_json(document).alias("document"))
+    return joined.select("project_id", _with_further(F.to_json(document), projects.columns).alias("document"))
