@@ -228,10 +228,9 @@ def _flag_duplicates(tagged: DataFrame, regions_small: bool) -> DataFrame:
     shared = (
         tagged.filter("region_id IS NOT NULL").groupBy(*group).agg(F.count("*").alias("_rows")).filter("_rows > 1")
     ).select(*group, F.lit(True).alias("_shared"))
-    # One source: no more groups than regions, which were measured. Several
-    # sources: unbounded, so the salted shuffle; measuring would match twice more.
+    # One source: no more groups than regions, which were measured.
     bounded = regions_small and "source_id" not in tagged.columns
-    joined = lookup_join(tagged, shared, group, "left", spread=["row_id"], small=bounded)
+    joined = lookup_join(tagged, shared, group, "left", small=bounded)
     return joined.withColumn("status", F.when(F.col("_shared"), "duplicate-target").otherwise(F.col("status"))).drop("_shared")
 
 
@@ -256,13 +255,12 @@ def _permissive(rows: DataFrame, regions: DataFrame, on_duplicate: str) -> DataF
 
     by_place = unique(F.concat("_place", F.lit("|"), "_name"), names.filter("_placed"), "_pair")
     by_name = unique(F.col("_name"), names, "_only")
-    small = None
     named = (F.col("province") != "") & (F.col("region_name") != "")
-    found = lookup_join(rows.withColumn("_k", text.normalize_code("region_code", "import")), by_code, ["_k"], small=small).drop("_k")
+    found = lookup_join(rows.withColumn("_k", text.normalize_code("region_code", "import")), by_code, ["_k"]).drop("_k")
     pair = F.when(named, F.concat(normalized("province"), F.lit("|"), normalized("region_name")))
-    found = lookup_join(found.withColumn("_k", pair), by_place, ["_k"], small=small).drop("_k")
+    found = lookup_join(found.withColumn("_k", pair), by_place, ["_k"]).drop("_k")
     only = F.when((F.col("region_name") != "") & (F.col("province") == ""), normalized("region_name"))
-    found = lookup_join(found.withColumn("_k", only), by_name, ["_k"], small=small).drop("_k")
+    found = lookup_join(found.withColumn("_k", only), by_name, ["_k"]).drop("_k")
     count = F.coalesce("_pair_n", "_only_n", F.lit(0))
     region = F.when(F.col("_code_id").isNotNull(), F.col("_code_id")).when(count == 1, F.coalesce("_pair_id", "_only_id"))
     missing = (F.col("region_code") == "") & (F.col("region_name") == "")
@@ -283,8 +281,7 @@ def _permissive(rows: DataFrame, regions: DataFrame, on_duplicate: str) -> DataF
         .groupBy(*group)
         .agg(F.min(F.struct("row_number", "row_id")).alias("_first"))
     )
-    bounded = small and "source_id" not in tagged.columns
-    joined = lookup_join(tagged, first, group, "left", spread=["row_id"], small=bounded)
+    joined = lookup_join(tagged, first, group, "left")
     later = F.col("_first").isNotNull() & (F.struct("row_number", "row_id") != F.col("_first"))
     return joined.withColumn("status", F.when(later, "duplicate-target").otherwise(F.col("status"))).drop("_first")
 
@@ -386,10 +383,9 @@ def mapping_report(
     described = registry.records(regions).select(
         "region_id", text.place_text("display_name", "province").alias("_shown")
     )
-    small = None
     classes = assignments.select("region_id", F.col("class_key").alias("_class"), F.col("color").alias("_class_color"))
-    joined = lookup_join(matched, described, ["region_id"], "left", spread=["row_id"], small=small)
-    joined = lookup_join(joined, classes, ["region_id"], "left", spread=["row_id"], small=small)
+    joined = lookup_join(matched, described, ["region_id"], "left")
+    joined = lookup_join(joined, classes, ["region_id"], "left")
 
     def cell(value) -> Column:
         value = text.text_of(value)

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from areal.plans.sizing import literal_table
+
 
 @dataclass(frozen=True)
 class RowRule:
@@ -49,10 +51,33 @@ def _row_rules(df: DataFrame, rules: list[RowRule]) -> DataFrame:
     return df.agg(*measures).select(F.inline(results))
 
 
-def _counted(failing: DataFrame, name: str, key: str) -> DataFrame:
-    return failing.agg(F.count("*").alias("failures"), F.min(F.col(key).cast("string")).alias("sample")).select(
-        F.lit(name).alias("rule"), "failures", "sample"
+def _key_rules(tables: dict[str, DataFrame], rules: list[UniqueRule | CoverRule]) -> DataFrame:
+    """All rules about keys: every table is read once, and all keys are counted in one grouping."""
+    marks: dict[str, list[Column]] = {}
+
+    def mark(table: str, rule: str, column: str, used: bool) -> None:
+        value = F.coalesce(F.col(column).cast("string"), F.lit(""))
+        marks.setdefault(table, []).append(F.struct(F.lit(rule).alias("rule"), value.alias("value"), F.lit(used).alias("used")))
+
+    for rule in rules:
+        if isinstance(rule, UniqueRule):
+            mark(rule.table, rule.name, rule.key, used=True)
+        else:
+            mark(rule.table, rule.name, rule.column, used=True)
+            mark(rule.other, rule.name, rule.other_column, used=False)
+    marked = reduce(DataFrame.unionByName, [tables[t].select(F.inline(F.array(*m))) for t, m in marks.items()])
+    values = (
+        marked.filter("value <> ''")
+        .groupBy("rule", "value")
+        .agg(F.count_if("used").alias("times"), F.bool_or(~F.col("used")).alias("held"))
+    )
+    unique = F.col("rule").isin([r.name for r in rules if isinstance(r, UniqueRule)])
+    failing = F.when(unique, F.col("times") > 1).otherwise((F.col("times") > 0) & ~F.col("held"))
+    measured = values.groupBy("rule").agg(
+        F.count_if(failing).alias("failures"), F.min(F.when(failing, F.col("value"))).alias("sample")
     )
+    names = literal_table(next(iter(tables.values())).sparkSession, ["rule"], [(r.name,) for r in rules])
+    return names.join(measured, "rule", "left").select("rule", F.coalesce("failures", F.lit(0)).alias("failures"), "sample")
 
 
 def duplicates(df: DataFrame, key: str) -> DataFrame:
@@ -72,12 +97,9 @@ def run_rules(tables: dict[str, DataFrame], rules: list) -> DataFrame:
     parts = []
     for name in dict.fromkeys(r.table for r in rules if isinstance(r, RowRule)):
         parts.append(_row_rules(tables[name], [r for r in rules if isinstance(r, RowRule) and r.table == name]))
-    for rule in rules:
-        if isinstance(rule, UniqueRule):
-            parts.append(_counted(duplicates(tables[rule.table], rule.key), rule.name, rule.key))
-        elif isinstance(rule, CoverRule):
-            lacking = orphans(tables[rule.table], rule.column, tables[rule.other], rule.other_column)
-            parts.append(_counted(lacking, rule.name, rule.column))
+    keys = [r for r in rules if not isinstance(r, RowRule)]
+    if keys:
+        parts.append(_key_rules(tables, keys))
     return reduce(DataFrame.unionByName, parts)
 
 
