@@ -242,9 +242,11 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, block_bytes: int
     node = F.xxhash64("set_key")
     banded = classes.select(node.alias("a"), F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.min("a").alias("b"), F.count("*").alias("n")).filter("n > 1")
-    edges = checkpoint(
-        join_few(banded, checkpoint(buckets.select("band", "b")), ["band"], "inner").filter("a <> b").select("a", "b").distinct()
-    )
+    met = join_few(banded, checkpoint(buckets.select("band", "b")), ["band"], "inner").filter("a <> b")
+    # a class and the least members of its buckets, at most one for each band, all hang on the least of these:
+    # as connected as before, with about one edge for each class instead of one for each band
+    stars = met.groupBy("a").agg(F.collect_set("b").alias("least")).withColumn("b", F.array_min("least"))
+    edges = stars.select(F.explode(F.array_append("least", F.col("a"))).alias("a"), "b").filter("a <> b").distinct()
     groups = components(edges).toDF("node", "group")
     grouped = classes.select(*KEY, "set_key", "size", node.alias("node")).join(groups, "node")
     sizes = grouped.groupBy("group").agg(F.ceil(F.sum("size") * 8 / block_bytes).cast("int").alias("blocks"))
