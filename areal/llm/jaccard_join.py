@@ -7,10 +7,11 @@ computed from the recall wanted at the threshold. Each class is shuffled on its
 band hashes, and every bucket gives one edge from each member to its least one, so
 its size grows with the members, not with their pairs. The components of these
 edges hold every candidate pair. Within a component all pairs are verified on the
-full shingle sets, in blocks of bounded size, each block against each other one in
-a task of its own; a task returns the number of links of each text and a spanning
-forest of the links it found, so neither candidates nor links are ever written out
-as pairs. The components of the forests are the groups.
+full shingle sets, in blocks of bounded bytes and bounded sets, each block against
+each other one in a task of its own; a task works in strips of rows and returns the
+number of links of each text and a spanning forest of the links it found, so neither
+candidates nor links are ever written out as pairs. The components of the forests are
+the groups.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ from areal.plans.sizing import checkpoint
 THRESHOLD = SIMILARITY
 #: Share of pairs at the threshold itself that may be missed, and the most hashes of a signature.
 MISSED, MOST_HASHES = 1e-4, 192
-#: Bytes of shingle sets in a block.
-BLOCK_BYTES = 4 << 20
+#: Bytes of shingle sets in a block, and sets in it; cells of a matrix of pairs that are held at once.
+BLOCK_BYTES, BLOCK_SETS = 4 << 20, 2000
+STRIP_CELLS = 2 << 20
 SEED = 7
 KEY = ["_place", "_text_hash"]
 NO_ID = -(2**63)
@@ -124,8 +126,11 @@ def _signed(bands: int, rows: int):  # noqa: ANN202
     return sign
 
 
-def _linked(rows: list[np.ndarray], others: list[np.ndarray] | None, threshold: float) -> np.ndarray:
-    """Which rows and others are linked, as a matrix; without others the rows with each other, each pair once."""
+def _linked(
+    rows: list[np.ndarray], others: list[np.ndarray] | None, threshold: float
+) -> Iterator[tuple[int, np.ndarray]]:
+    """Which rows and others are linked, as strips of a matrix, each with the number of its first row; without others
+    the rows with each other, each pair once."""
     every = rows if others is None else [*rows, *others]
     values = np.concatenate(every)
     distinct, codes, counts = np.unique(values, return_inverse=True, return_counts=True)
@@ -135,18 +140,27 @@ def _linked(rows: list[np.ndarray], others: list[np.ndarray] | None, threshold:
     owner, column = owner[shared], place[codes[shared]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    first = len(rows)
-    common = np.zeros((first, len(every) - first if others is not None else first), dtype=np.float32)
-    width = max(256, (4 << 20) // max(1, len(every)))
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        low, high = np.searchsorted(column, [start, start + width])
-        held = np.zeros((len(every), width), dtype=np.float32)
-        held[owner[low:high], column[low:high] - start] = 1
-        common += held[:first] @ (held if others is None else held[first:]).T
     size = np.array([len(s) for s in every], dtype=np.float64)
-    whole = size[:first, None] + (size[None, :] if others is None else size[None, first:]) - common
-    linked = common >= threshold * whole - 1e-6
-    return np.triu(linked, 1) if others is None else linked
+    behind = 0 if others is None else len(rows)
+    n = len(every) - behind
+    width = max(256, (4 << 20) // max(1, len(every)))
+    strip = max(1, STRIP_CELLS // max(1, n))
+    for first in range(0, len(rows), strip):
+        last = min(first + strip, len(rows))
+        common = np.zeros((last - first, n), dtype=np.float32)
+        for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            low, high = np.searchsorted(column, [start, start + width])
+            own, at = owner[low:high], column[low:high] - start
+            left, right = (own >= first) & (own < last), own >= behind
+            if not left.any():
+                continue
+            held, facing = np.zeros((last - first, width), dtype=np.float32), np.zeros((n, width), dtype=np.float32)
+            held[own[left] - first, at[left]] = 1
+            facing[own[right] - behind, at[right]] = 1
+            common += held @ facing.T
+        whole = size[first:last, None] + size[None, behind:] - common
+        linked = common >= threshold * whole - 1e-6
+        yield first, np.triu(linked, first + 1) if others is None else linked
 
 
 def _verified(threshold: float):  # noqa: ANN202
@@ -154,31 +168,27 @@ def _verified(threshold: float):  # noqa: ANN202
 
     def block(keys: list[bytes], sides: list[int], sets: list[bytes], same: bool) -> pa.RecordBatch:
         arrays = [np.frombuffer(s, dtype=np.uint64) for s in sets]
-        if same:
-            left = right = list(range(len(keys)))
-            linked = _linked(arrays, None, threshold) if len(keys) > 1 else np.zeros((1, 1), dtype=bool)
-        else:
-            left, right = [i for i, s in enumerate(sides) if s == 0], [i for i, s in enumerate(sides) if s == 1]
-            if not left or not right:
-                return pa.RecordBatch.from_pylist([], schema)
-            linked = _linked([arrays[i] for i in left], [arrays[i] for i in right], threshold)
+        side = np.array(sides)
+        left, right = (np.arange(len(keys)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        if not len(left) or not len(right):
+            return pa.RecordBatch.from_pylist([], schema)
+        strips = _linked([arrays[i] for i in left], None if same else [arrays[i] for i in right], threshold)
         links = np.zeros(len(keys), dtype=np.int64)
-        np.add.at(links, left, linked.sum(axis=1))
-        np.add.at(links, right, linked.sum(axis=0))
-        root = list(range(len(keys)))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
-
+        tree = np.arange(len(keys))
+        forest = []
+        for first, linked in strips:
+            own = left[first : first + len(linked)]
+            links[own] += linked.sum(axis=1)
+            links[right] += linked.sum(axis=0)
+            for i, row in zip(own, linked, strict=True):
+                mates = right[row]
+                trees, at = np.unique(tree[mates], return_index=True)
+                new = trees != tree[i]
+                if new.any():
+                    forest += [{"a": keys[i], "b": keys[j], "links": 0} for j in mates[at[new]]]
+                    tree[np.isin(tree, trees[new])] = tree[i]
         out = [{"a": keys[i], "b": None, "links": int(links[i])} for i in np.flatnonzero(links)]
-        for i, j in zip(*np.nonzero(linked), strict=True):
-            a, b = top(left[i]), top(right[j])
-            if a != b:
-                root[a] = b
-                out.append({"a": keys[left[i]], "b": keys[right[j]], "links": 0})
-        return pa.RecordBatch.from_pylist(out, schema)
+        return pa.RecordBatch.from_pylist(out + forest, schema)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come ordered by task; the rows of one are taken together."""
@@ -217,7 +227,9 @@ def _placed(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_copies(docs: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def near_copies(
+    docs: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES, block_sets: int = BLOCK_SETS
+) -> DataFrame:
     """(_place, _text_hash, class_place, class_text_hash, n_links, n_copies) for every document.
 
     The class is named by its first document, by doc_id (a null id comes first) and
@@ -249,7 +261,8 @@ def near_copies(docs: DataFrame, threshold: float = THRESHOLD, block_bytes: int
     edges = stars.select(F.explode(F.array_append("least", F.col("a"))).alias("a"), "b").filter("a <> b").distinct()
     groups = components(edges).toDF("node", "group")
     grouped = classes.select(*KEY, "set_key", "size", node.alias("node")).join(groups, "node")
-    sizes = grouped.groupBy("group").agg(F.ceil(F.sum("size") * 8 / block_bytes).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.sum("size") * 8 / block_bytes), F.ceil(F.count("*") / block_sets)).cast("int")
+    sizes = grouped.groupBy("group").agg(blocks.alias("blocks"))
     suspects = checkpoint(grouped.join(sizes, "group").select(*KEY, "set_key", "group", "blocks"))
 
     sets = join_few(texts, suspects, KEY, "inner").dropDuplicates(["set_key"]).select("group", "set_key", "blocks", "text")

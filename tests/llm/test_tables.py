@@ -3,8 +3,10 @@
 import collections
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +144,58 @@ def test_jaccard_join_by_brute_force(spark, block_bytes):
     assert {r["_place"]: (r["class_place"], r["n_links"], r["n_copies"]) for r in found} == brute_classes(docs)
 
 
+@pytest.mark.parametrize("block_sets", [7, 50])
+def test_jaccard_join_in_blocks_of_few_sets(spark, block_sets):
+    docs = near_fixture()
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    found = jaccard_join.near_copies(table.repartition(4), block_sets=block_sets).collect()
+    assert {r["_place"]: (r["class_place"], r["n_links"], r["n_copies"]) for r in found} == brute_classes(docs)
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_jaccard_block_of_many_short_sets_stays_small(sides):
+    draw, n = np.random.default_rng(5), 4000
+    base = draw.integers(0, 2**63, 20, dtype=np.uint64)
+    sets = [np.append(base, own).tobytes() for own in np.arange(n, dtype=np.uint64)]
+    batch = pa.RecordBatch.from_pydict({
+        "group": [1] * n, "i": [0] * n, "j": [sides - 1] * n, "side": [k % sides for k in range(n)],
+        "set_key": [str(k).encode() for k in range(n)], "shingles": sets,
+    })
+    tracemalloc.start()
+    try:
+        rows = [r for b in jaccard_join._verified(0.8)(iter([batch])) for r in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 150e6  # a matrix of all pairs in double precision alone has 128 MB, or 32 MB for two sides
+    wanted = n - 1 if sides == 1 else n // 2
+    assert [r["links"] for r in rows if r["b"] is None] == [wanted] * n
+    assert sum(r["b"] is not None for r in rows) == n - 1
+
+
+def test_jaccard_blocks_are_bounded_in_sets(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    docs = [(k, " ".join([*words, f"own{k}"])) for k in range(4100)]
+    seen = spark.sparkContext.accumulator(0)
+    verified = jaccard_join._verified
+
+    def counted(threshold):
+        inner = verified(threshold)
+
+        def verify(batches):
+            held = [b for b in batches]
+            for task in {(r["i"], r["j"]) for b in held for r in b.to_pylist()}:
+                seen.add(1)
+            yield from inner(iter(held))
+
+        return verify
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    found = jaccard_join.near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(8)).collect()
+    assert {(r["class_place"], r["n_links"]) for r in found} == {(0, 4099)}
+    assert seen.value == 6  # three blocks, each with each
+
+
 def test_jaccard_join_of_odd_tables(spark):
     same = "five words are one shingle"
     rows = [(None, same), (1, same), (2, None), (3, ""), (3, ""), (4, "a b"), (4, "c d"), (5, same), (5, same)]
