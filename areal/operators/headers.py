@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areal.functions import text
-from areal.plans.sizing import literal_table
+from areal.plans.sizing import checkpoint, is_small, literal_table, lookup_join
 
 # Header spellings of the seven roles.
 ROLE_ALIASES = {
@@ -61,31 +61,49 @@ def duplicates(headers: DataFrame) -> DataFrame:
     )
 
 
+def _pieces(table: DataFrame, column: str, others: DataFrame, other: str) -> DataFrame:
+    """table with each part of the text of a column, of the lengths that the texts of others have; parts may repeat."""
+    lengths = others.select(F.length(other).alias("_length")).filter("_length IS NOT NULL").distinct()
+    fitting = table.withColumn("_length", F.explode(F.sequence(F.lit(0), F.length(column))))
+    # As many lengths as the longest text has letters, at most.
+    sized = fitting.join(F.broadcast(lengths), "_length")
+    at = sized.withColumn("_at", F.explode(F.sequence(F.lit(1), F.length(column) - F.col("_length") + 1)))
+    return at.withColumn("piece", F.substring(column, F.col("_at"), F.col("_length"))).drop("_at", "_length")
+
+
+def _tiers(heads: DataFrame, role_aliases: DataFrame) -> DataFrame:
+    """(header, role, tier) of distinct headers and a table of aliases: one holds the other if a part of it is equal."""
+    names = role_aliases.select("role", "alias").distinct()
+    held = _pieces(heads, "header", names, "alias").distinct()
+    inside = lookup_join(names.withColumnRenamed("alias", "piece"), held, ["piece"], "inner", small=is_small(held))
+    inside = inside.select("header", "role", F.when(F.col("piece") == F.col("header"), 0).otherwise(1).alias("tier"))
+    parts = _pieces(names, "alias", heads, "header").withColumnRenamed("piece", "header")
+    around = lookup_join(parts, heads, ["header"], "inner", small=is_small(heads)).select("header", "role", F.lit(1).alias("tier"))
+    return inside.union(around).groupBy("header", "role").agg(F.min("tier").alias("tier"))
+
+
 def infer_roles(named: DataFrame, role_aliases: DataFrame | None = None) -> DataFrame:
     """(source_id, role, name, confidence): an equal header is high, containment either way medium.
 
-    named is the output of unique(). The aliases are a fixed list of any length:
-    each role looks through an array of its own instead of a join.
+    named is the output of unique(). The built-in aliases are looked through in an
+    array for each role. A table of aliases (role, alias) of any length stays a
+    table: the parts of each distinct header and alias meet the other side by equality.
     """
+    tested = named.withColumn("_header", text.normalize_header("name"))
     if role_aliases is None:
-        grouped = {
-            role: sorted({" ".join(a.replace("_", " ").split()) for a in names}) for role, names in ROLE_ALIASES.items()
-        }
+        tiers = []
+        for role, spelled in ROLE_ALIASES.items():
+            names = sorted({" ".join(a.replace("_", " ").split()) for a in spelled})
+            held = F.exists(F.lit(names), lambda alias: F.col("_header").contains(alias) | alias.contains(F.col("_header")))
+            tier = F.when(F.col("_header").isin(names), 0).when(held, 1)
+            tiers.append(F.struct(F.lit(role).alias("role"), tier.alias("tier")))
+        found = tested.select("source_id", "position", "name", F.inline(F.array(*tiers))).filter("tier IS NOT NULL")
     else:
-        grouped = {}
-        for row in role_aliases.select("role", "alias").distinct().orderBy("role", "alias").collect():
-            grouped.setdefault(row["role"], []).append(row["alias"])
-    header = text.normalize_header("name")
-    tested = named.withColumn("_header", header)
-    tiers = []
-    for role, names in grouped.items():
-        held = F.exists(F.lit(names), lambda alias: F.col("_header").contains(alias) | alias.contains(F.col("_header")))
-        tier = F.when(F.col("_header").isin(names), 0).when(held, 1)
-        tiers.append(F.struct(F.lit(role).alias("role"), tier.alias("tier")))
+        heads = checkpoint(tested.select(F.col("_header").alias("header")).filter("header IS NOT NULL").distinct())
+        told = checkpoint(_tiers(heads, role_aliases).withColumnRenamed("header", "_header"))
+        found = lookup_join(tested, told, ["_header"], "inner", small=is_small(told))
     return (
-        tested.select("source_id", "position", "name", F.inline(F.array(*tiers)))
-        .filter("tier IS NOT NULL")
-        .groupBy("source_id", "role")
+        found.groupBy("source_id", "role")
         .agg(F.min(F.struct("tier", "position", "name")).alias("best"))
         .select(
             "source_id", "role", "best.name", F.when(F.col("best.tier") == 0, "high").otherwise("medium").alias("confidence")

@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from areal.operators import audit, match
+from areal.operators import audit, headers, match
 from areal.plans import sizing
 from areal.sources import delimited, workbook
 
@@ -110,3 +110,26 @@ assert set(entry.oracle_sql()) <= set(names)
 """
     done = subprocess.run([sys.executable, "-c", program], cwd=root, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+def test_long_alias_tables_stay_tables(spark, monkeypatch):
+    spelled = ["wilayah", "Kode-BPS", "total penjualan", "produk 17", "###", "tahun", "x", None]
+    rows = [(source, place, spelled[(source + place) % len(spelled)]) for source in range(9) for place in range(1, 5)]
+    named = headers.unique(spark.createDataFrame(rows, "source_id long, position int, header string")).cache()
+    held = [("category", f"produk {i}") for i in range(300)] + [("category", "produk"), ("period", "tahun"), ("period", "tahun")]
+    held += [("odd", ""), ("regionName", "nama wilayah"), ("regionCode", "bps"), ("regionCode", "kode"), ("numericValue", None)]
+    table = spark.createDataFrame(held, "role string, alias string")
+    frame, sizes = type(named), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: sizes.append(len(out := collect(self))) or out)
+    found = headers.infer_roles(named, table)
+    assert max(sizes, default=0) <= 1  # counts only, no table of aliases
+    monkeypatch.undo()
+    best = {}
+    for row in named.withColumn("h", headers.text.normalize_header("name")).collect():
+        for role, alias in held:
+            if alias is not None and (alias in row["h"] or row["h"] in alias):
+                tier = (0 if alias == row["h"] else 1, row["position"], row["name"])
+                best[row["source_id"], role] = min(tier, best.get((row["source_id"], role), tier))
+    wanted = {(*key, name, "medium" if tier else "high") for key, (tier, _, name) in best.items()}
+    assert {tuple(r) for r in found.collect()} == wanted and len(wanted) == found.count() > 20
