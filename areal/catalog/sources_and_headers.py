@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -12,6 +13,7 @@ from areal.catalog.registered import Tables, query
 from areal.catalog.shapes import shaped
 from areal.operators import geometry, headers, lineage, registry
 from areal.plans import inputs
+from areal.plans.sizing import shared_folder
 from areal.sources import delimited, features, sinks, workbook
 
 # One delimited text per batch of 100 order numbers, its lines the orders of the batch.
@@ -210,7 +212,12 @@ def a7(t):
 
 @query("s10_province_scan", "SELECT region_id FROM {cells} WHERE province_name = '5-LOW'")
 def s10(t):
-    return shaped(t).filter(F.col("province_name") == "5-LOW").select("region_id")
+    code = F.concat(F.lit("P"), F.substring("province_name", 1, 1)).alias("province_code")
+    cells = shaped(t).select("region_id", code, "province_name", "polygons")
+    folder = f"{shared_folder(t.spark)}/provinces-{uuid.uuid4()}"
+    geometry.write_partitioned(cells.drop("province_name"), folder)
+    provinces = cells.select("province_code", "province_name").distinct()
+    return geometry.read_province(t.spark, folder, "5-LOW", provinces).select("region_id")
 
 
 @query("s11_checksum_scan", "SELECT doc_id AS path, CASE WHEN source = 'src0' THEN 'changed' WHEN source = 'src1' THEN 'unlisted' ELSE 'ok' END AS status FROM {documents}")

@@ -123,13 +123,12 @@ def ranked(distinct: DataFrame, order: str, rank: str, collation: str | None = N
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage into the checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the cluster.
 
-    The folder comes from spark.checkpoint.dir; a temporary one is used only
-    where none is set on a local master.
+    It comes from spark.checkpoint.dir; a temporary one is used only where none is
+    set on a local master.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -138,4 +137,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = os.path.join(tempfile.mkdtemp(prefix="areal-"), "checkpoints")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage into the checkpoint folder of the cluster."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

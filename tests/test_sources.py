@@ -5,8 +5,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from areal.catalog import QUERIES
 from areal.operators import geometry
 from areal.sources import delimited, features, sinks, workbook
+from conftest import SF_DIR
 
 
 def parse(spark, text, delimiter="auto", budget=None):
@@ -119,6 +121,11 @@ def test_feature_collection_and_partition_pruning(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(province_code" in one._jdf.queryExecution().toString()
 
 
+def test_province_query_reads_one_written_partition(spark):
+    plan = QUERIES["s10_province_scan"](spark, SF_DIR)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(province_code" in plan and "(province_code" in plan and "= P5)" in plan
+
+
 def test_written_registry_reads_back(spark, tmp_path):
     df = spark.createDataFrame([("a,b", 'q"x', "")], "x string, y string, z string").coalesce(1)
     sinks.write_registry(df, str(tmp_path / "r"))
