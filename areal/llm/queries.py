@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areal.llm import bpe, chat, decontamination, fingerprints, jaccard_join, line_dedup, pii, quality, sharding, toxicity
+from areal.llm import (
+    alignment,
+    bpe,
+    chat,
+    decontamination,
+    distinct_bpe,
+    fingerprints,
+    jaccard_join,
+    line_dedup,
+    periodic,
+    pii,
+    quality,
+    sharding,
+    toxicity,
+)
 from areal.llm.common import fold, table
 from areal.plans.sizing import checkpoint, literal_table
 
@@ -179,3 +193,46 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("coded.ids", 256).alias("ids_sha256"),
         F.sha2(F.col("coded.text").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op11_cross_tokenizer_alignment")
+def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    aligned = alignment.align(docs, *paths, public_tokenizers.PATTERN, digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op12_distinct_word_bpe")
+def distinct_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = distinct_bpe.encode(docs, path, public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id",
+        F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(distinct_bpe.decode_of(coded, path), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.find_runs(docs.withColumn("text", periodic.planted(F.col("doc_id"), F.col("text"))))
+    runs = F.col("runs")
+    ahead = lambda best, run: F.when(run["length"] * best["period"] > best["length"] * run["period"], run).otherwise(best)
+    found = found.withColumn("top", F.aggregate(runs, F.get(runs, F.lit(0)), ahead))
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        *[F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("(1000 * top.length) div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(runs, line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
