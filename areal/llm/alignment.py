@@ -36,6 +36,8 @@ from areal.plans.sizing import checkpoint
 
 #: Result columns; other columns of the same names win and these get underscores behind.
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "groups", "n_best", "count_sum")
+#: Bytes of text of a block.
+BLOCK_BYTES = 6 << 20
 PAIR_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -312,12 +314,14 @@ def align(docs: DataFrame, path_a: str, path_b: str, pattern: str, text: str = "
     kinds = {n: StringType() if n == "groups" else LongType() for n in COLUMNS}
     fields = [f for f in docs.schema.fields if f.name != text]
     schema = StructType([*fields, *[StructField(names[n], kinds[n]) for n in COLUMNS]])
-    made = blocks.make(docs, text, _described(context.broadcast(vocabularies), blocks.buckets_for(docs), names, digest))
-    totals = checkpoint(blocks.settle(made, _add_up))
+    # read by two jobs: written once instead of aligned again
+    described = _described(context.broadcast(vocabularies), blocks.buckets_for(docs), names, digest)
+    made = checkpoint(blocks.make(docs, text, described, BLOCK_BYTES))
+    totals = checkpoint(blocks.settle(made.filter("place < 0"), _add_up))
     # at most one row for each id of the vocabulary
     highest = totals.select("payload").mapInArrow(_highest, "a long, most long").groupBy("a").agg(F.max("most").alias("most"))
     rows = highest.collect()
     most = np.zeros(max([r["a"] for r in rows], default=-1) + 1, dtype=np.int64)
     for row in rows:
         most[row["a"]] = row["most"]
-    return blocks.finish(made, totals, _composed(context.broadcast(most), names["n_best"], names["count_sum"]), schema)
+    return blocks.finish(made.filter("place >= 0"), totals, _composed(context.broadcast(most), names["n_best"], names["count_sum"]), schema)

@@ -21,13 +21,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from areal.plans.sizing import checkpoint
-
-#: Bytes of text of a block, or one longer text.
-BLOCK_BYTES = 16 << 20
+#: Bytes of text of a block, or one longer text; bounds the memory of a task.
+BLOCK_BYTES = 4 << 20
 #: Buckets for each shuffle partition.
 PER_PARTITION = 4
 #: Entries of flat arrays that are unfolded at a time.
@@ -156,18 +154,23 @@ def buckets_for(docs: DataFrame) -> int:
     return PER_PARTITION * max(4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def make(docs: DataFrame, text: str, describe: Callable[[pa.RecordBatch, list], tuple[bytes, dict[int, bytes]]]) -> DataFrame:
-    """Rows of MADE, written to the checkpoint folder. describe gets the rows of a block without their text, and the
-    texts; it gives the block's payload and a payload of entries for each bucket."""
+def make(
+    docs: DataFrame,
+    text: str,
+    describe: Callable[[pa.RecordBatch, list], tuple[bytes, dict[int, bytes]]],
+    size: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Rows of MADE. describe gets the rows of a block without their text, and the texts; it gives the block's payload
+    and a payload of entries for each bucket. size: bytes of text of a block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+        task, made, held, filled = TaskContext.get().partitionId(), 0, [], 0
 
         def block() -> pa.RecordBatch:
-            nonlocal made, held, size
+            nonlocal made, held, filled
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             texts = whole[text].to_pylist()
-            number, made, held, size = task << 32 | made, made + 1, [], 0
+            number, made, held, filled = task << 32 | made, made + 1, [], 0
             payload, entries = describe(whole.drop_columns([text]), texts)
             places = [number, *[-1 - bucket for bucket in entries]]
             return pa.record_batch([places, [number] * len(places), [payload, *entries.values()]], schema=MADE)
@@ -176,8 +179,8 @@ def make(docs: DataFrame, text: str, describe: Callable[[pa.RecordBatch, list],
             lengths = pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             start = 0
             for i, length in enumerate(lengths.tolist()):
-                size += length + 1
-                if size >= BLOCK_BYTES:
+                filled += length + 1
+                if filled >= size:
                     held.append(batch.slice(start, i + 1 - start))
                     start = i + 1
                     yield block()
@@ -186,29 +189,36 @@ def make(docs: DataFrame, text: str, describe: Callable[[pa.RecordBatch, list],
         if held:
             yield block()
 
-    return checkpoint(docs.mapInArrow(rows, "place long, block long, payload binary"))
+    return docs.mapInArrow(rows, "place long, block long, payload binary")
 
 
 def settle(made: DataFrame, solve: Callable[[list[bytes]], Iterator[bytes]]) -> DataFrame:
-    """Rows of VALUES. solve gets the payloads of a bucket, one for each block that has entries in it, and gives as many back."""
+    """Rows of VALUES. solve gets the payloads of a bucket, one for each block that has entries in it, and gives as many back.
+
+    Blocks themselves pass by unread: like this, settle and finish read one and the same
+    exchange of made, which is computed once.
+    """
 
     def bucket(table: pa.Table) -> pa.Table:
         place = table["place"][0].as_py()
+        if place >= 0:
+            return VALUES.empty_table()
         found = list(solve(table["payload"].to_pylist()))
         return pa.table([table["block"], [-1 - place] * len(found), found], schema=VALUES)
 
-    entries = made.filter(F.col("place") < 0)
-    return entries.groupBy("place").applyInArrow(bucket, "block long, bucket long, payload binary")
+    return made.groupBy("place").applyInArrow(bucket, "block long, bucket long, payload binary")
 
 
 def finish(
     made: DataFrame, values: DataFrame, compose: Callable[[list[bytes], list[list[bytes]]], pa.Table], schema: StructType
 ) -> DataFrame:
     """The rows that compose makes of a block's payload and the payloads of its buckets in ascending order."""
+    empty = to_arrow_schema(schema).empty_table()
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or left["place"][0].as_py() < 0:
+            return empty
         found = sorted(zip(right["bucket"].to_pylist(), right["payload"].to_pylist(), strict=True))
         return compose(unpack(left["payload"][0].as_py()), [unpack(p) for _, p in found])
 
-    whole = made.filter(F.col("place") >= 0)
-    return whole.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(block, schema)
+    return made.groupBy("place").cogroup(values.groupBy("block")).applyInArrow(block, schema)

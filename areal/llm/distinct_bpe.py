@@ -155,12 +155,35 @@ def _solved(shared):  # noqa: ANN001, ANN202  a broadcast of ranks
     return solve
 
 
-def _composed(name: str):  # noqa: ANN202
+Table = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def token_table(ranks: dict[bytes, int]) -> Table:
+    """The token-byte table: bytes of all tokens, where each one's begin, and how many they are."""
+    tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 2)  # the last one stands for all unknown ids
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    sizes = np.array(list(map(len, tokens)), dtype=np.int64)
+    return np.frombuffer(b"".join(tokens), dtype=np.uint8), blocks.begins(sizes), sizes
+
+
+def decode(packed: bytes, table: Table) -> bytes:
+    """Bytes of ids given as little-endian unsigned 32-bit numbers: ids meet the table by their number; one without a
+    token gives nothing."""
+    joined, starts, sizes = table
+    numbers, out = np.frombuffer(packed, dtype="<u4"), []
+    for at in range(0, len(numbers), DECODED):
+        own = np.minimum(numbers[at : at + DECODED].astype(np.int64), len(sizes) - 1)
+        out.append(blocks.unfold(joined, starts[own], sizes[own]).tobytes())
+    return b"".join(out)
+
+
+def _composed(names: list[str], shared):  # noqa: ANN001, ANN202  a broadcast of a token table
     def compose(block: list[bytes], found: list[list[bytes]]) -> pa.Table:
         others, (per_text, positions, dealt) = blocks.from_ipc(block[0]), map(blocks.from_planes, block[1:])
         none = np.zeros(0, dtype=np.int64)
         by_bucket = np.concatenate([none, *[blocks.from_planes(sizes) for sizes, _ in found]])
-        ids = np.concatenate([none, *[blocks.from_planes(i) for _, i in found]])
+        known = np.concatenate([none, *[blocks.from_planes(ids) for _, ids in found]])
         order = np.argsort(dealt, kind="stable")
         starts, sizes = np.empty_like(by_bucket), np.empty_like(by_bucket)
         starts[order], sizes[order] = blocks.begins(by_bucket), by_bucket
@@ -168,58 +191,48 @@ def _composed(name: str):  # noqa: ANN202
         for part in blocks.strips(per_text):
             first = int(ends[part.start] - per_text[part.start])
             own = positions[first : int(ends[part.stop - 1])]
-            packed = blocks.unfold(ids, starts[own], sizes[own]).astype("<u4").tobytes()
+            packed = blocks.unfold(known, starts[own], sizes[own]).astype("<u4").tobytes()
             cuts = 4 * np.concatenate([[0], np.cumsum(sizes[own])])[np.concatenate([[0], ends[part] - first])]
             out += [packed[a:b] for a, b in zip(cuts.tolist(), cuts.tolist()[1:])]
-        return others.append_column(name, pa.array(out, pa.binary()))
+        made = [others.append_column(names[0], pa.array(out, pa.binary()))]
+        for name in names[1:]:
+            made.append(made[-1].append_column(name, pa.array([decode(ids, shared.value) for ids in out], pa.binary())))
+        return made[-1]
 
     return compose
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """docs with a column ids in place of its text: ids as little-endian unsigned 32-bit numbers.
 
-    path is a file of ranks, pattern the one that cuts pretokens. A null or empty text
-    has no ids. Rows stay apart, also where they repeat; other columns are kept as
-    they are, and where one is called ids, the new one gets underscores behind
-    (see ids_name). An empty table gives no rows.
+    path is a file of ranks, pattern the one that cuts pretokens. decoded adds a column
+    decoded: the ids' bytes again, in the same pass. A null or empty text has no ids.
+    Rows stay apart, also where they repeat; other columns are kept as they are, and
+    where one is called like a new column, the new one gets underscores behind. An empty
+    table gives no rows.
     """
-    spark = docs.sparkSession
+    context, ranks = docs.sparkSession.sparkContext, read_ranks(path)
     fields = [f for f in docs.schema.fields if f.name != text]
-    schema = StructType([*fields, StructField(ids_name(docs, text), BinaryType())])
-    shared = spark.sparkContext.broadcast(read_ranks(path))
+    names: list[str] = []
+    for name in ["ids", "decoded"][: 1 + decoded]:
+        names.append(free_name(name, [*[f.name for f in fields], *names]))
+    schema = StructType([*fields, *[StructField(name, BinaryType()) for name in names]])
     made = blocks.make(docs, text, _described(pattern, blocks.buckets_for(docs)))
-    return blocks.finish(made, blocks.settle(made, _solved(shared)), _composed(schema.fields[-1].name), schema)
-
-
-def ids_name(docs: DataFrame, text: str = "text") -> str:
-    return free_name("ids", [c for c in docs.columns if c != text])
+    values = blocks.settle(made, _solved(context.broadcast(ranks)))
+    return blocks.finish(made, values, _composed(names, context.broadcast(token_table(ranks))), schema)
 
 
 def decode_of(coded: DataFrame, path: str, ids: str = "ids") -> Column:
     """Binary column of the bytes of a column made by encode.
 
-    Ids meet the token-byte table, which has as many rows as the vocabulary and goes
-    to every worker, by their number; one that has no token gives nothing. Null counts as no ids.
+    The token-byte table has as many rows as the vocabulary and goes to every worker.
+    Null counts as no ids.
     """
-    ranks = read_ranks(path)
-    tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 2)  # the last one stands for all unknown ids
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    sizes = np.array(list(map(len, tokens)), dtype=np.int64)
-    shared = coded.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(tokens), dtype=np.uint8), blocks.begins(sizes), sizes))
-
-    def text_of(packed: bytes) -> bytes:
-        joined, starts, sizes = shared.value
-        numbers, out = np.frombuffer(packed, dtype="<u4"), []
-        for at in range(0, len(numbers), DECODED):
-            own = np.minimum(numbers[at : at + DECODED].astype(np.int64), len(sizes) - 1)
-            out.append(blocks.unfold(joined, starts[own], sizes[own]).tobytes())
-        return b"".join(out)
+    shared = coded.sparkSession.sparkContext.broadcast(token_table(read_ranks(path)))
 
     @F.pandas_udf("binary")
     def rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(text_of)
+            yield batch.map(lambda ids: decode(ids, shared.value))
 
     return rows(F.coalesce(F.col(f"`{ids}`"), F.lit(b"")))
