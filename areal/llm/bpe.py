@@ -1,6 +1,7 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead, and its decoder.
 
-Encoding reads a pretoken's bytes once, from left to right. For each prefix it
+Encoding reads a pretoken's bytes once, from left to right; an automaton over the
+vocabulary tells at each byte which tokens end there. For each prefix the transducer
 keeps the last token of that prefix's encoding: the token that ends there and is
 compatible with the last token of what precedes it (two tokens are compatible if
 the merge list encodes their joined bytes as just these two; a sequence is the
@@ -21,9 +22,9 @@ from __future__ import annotations
 
 import codecs
 import functools
+import itertools
 import json
 import operator
-from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -34,17 +35,18 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from areal.llm.common import portions
+
 #: Pretokens of byte-level BPE (fixed by the vocabulary files).
 SPACE = r"\t-\r \x85\xa0  -     　"
 PRETOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-#: Bounds on memory: pretokens and pairs remembered by a worker, characters of a pretoken worth remembering.
-KNOWN_PRETOKENS, KNOWN_PAIRS, KNOWN_CHARS = 400_000, 1_000_000, 48
+#: Bounds on memory: pieces, pretokens and pairs remembered by a worker, some 50 MB each; characters of a piece or
+#: pretoken worth remembering.
+KNOWN_PIECES, KNOWN_PRETOKENS, KNOWN_PAIRS, KNOWN_CHARS = 200_000, 300_000, 400_000, 48
 #: Characters, pretokens or tokens taken at a time.
 BLOCK = 50_000
-#: Key of a token's id in the trie, beside the bytes.
-TOKEN = -1
 
 
 def _byte_signs() -> dict[str, int]:
@@ -99,6 +101,63 @@ def sufficient_lookahead(tokens: dict[int, bytes], merged: Iterable[tuple[int, i
     return most
 
 
+class Recent(dict):
+    """A memory of bounded size: the older half goes when the younger one is full."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__()
+        self.most, self.older = most // 2, {}
+
+    def keep(self, key, value):  # noqa: ANN001, ANN201
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+    def again(self, key):  # noqa: ANN001, ANN201
+        """The value of a key that is only in the older half, kept once more; None if it is not there."""
+        value = self.older.get(key)
+        return value if value is None else self.keep(key, value)
+
+
+class Automaton:
+    """Which tokens end at a byte: one step for each byte, along failure links where no longer token goes on.
+
+    A state is the longest beginning of a token that the bytes so far end in. children
+    are keyed by state and byte, ends has the tokens that end in a state, longest first.
+    """
+
+    def __init__(self, ids: dict[bytes, int]) -> None:
+        self.children: dict[int, int] = {}
+        own: list[int] = [-1]
+        level = [(0, sorted(ids))]
+        self.fail: list[int] = [0]
+        self.ends: list[tuple[int, ...]] = [()]
+        depth = 0
+        while level:  # states level by level, so links lead to states that are there
+            deeper = []
+            for state, tokens in level:
+                for byte, group in itertools.groupby(tokens, lambda token, at=depth: token[at]):
+                    found, child = list(group), len(own)
+                    link = self.step(self.fail[state], byte) if state else 0
+                    self.children[state << 8 | byte] = child
+                    whole = ids[found[0]] if len(found[0]) == depth + 1 else -1
+                    own.append(whole)
+                    self.fail.append(link)
+                    self.ends.append((whole, *self.ends[link]) if whole >= 0 else self.ends[link])
+                    if rest := found[whole >= 0 :]:
+                        deeper.append((child, rest))
+            level, depth = deeper, depth + 1
+
+    def step(self, state: int, byte: int) -> int:
+        while (child := self.children.get(state << 8 | byte)) is None:
+            if not state:
+                return 0
+            state = self.fail[state]
+        return child
+
+
 class Transducer:
     """Encoder of bytes by a merge list."""
 
@@ -107,25 +166,23 @@ class Transducer:
         ordinary = {i: b for i, b in vocabulary.tokens.items() if i not in vocabulary.added.values()}
         self.ids = {b: i for i, b in ordinary.items()}
         self.longest = max(map(len, ordinary.values()))
+        self.size = [len(self.tokens.get(i, b"")) for i in range(max(self.tokens) + 1)]
         self.rank: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (left, right) in enumerate(vocabulary.merges):
             self.rank.setdefault((left, right), (rank, self.ids[ordinary[left] + ordinary[right]]))
         self.parts: dict[int, tuple[int, int]] = {}
         for pair, (_, result) in self.rank.items():
             self.parts.setdefault(result, pair)
-        self.spines: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         by_rank = [(left, right, result) for (left, right), (_, result) in self.rank.items()]
         self.lookahead = sufficient_lookahead(ordinary, by_rank)
+        # rank of the merge that makes a token; -1 for single bytes
+        self.formed = [self.rank[self.parts[i]][0] if i in self.parts else -1 for i in range(len(self.size))]
         self.proper = all(
-            self._formed(left) < rank and self._formed(right) < rank for (left, right), (rank, _) in self.rank.items()
+            self.formed[left] < rank and self.formed[right] < rank for (left, right), (rank, _) in self.rank.items()
         )
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.trie: dict[int, dict] = {}
-        for data, i in self.ids.items():
-            node = self.trie
-            for byte in data:
-                node = node.setdefault(byte, {})
-            node[TOKEN] = i
+        self.alone: dict[int, bool] = {}
+        self.fits = Recent(KNOWN_PAIRS)
+        self.automaton = Automaton(self.ids)
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply the merge list to a short sequence; serves to compare neighbouring tokens."""
@@ -139,84 +196,118 @@ class Transducer:
 
     def fit(self, first: int, second: int) -> bool:
         """Whether two tokens can stand side by side; first -1: whether second can begin."""
-        if (known := self.fits.get((first, second))) is None:
-            if first < 0 or not self.proper:
-                joined = (self.tokens[first] if first >= 0 else b"") + self.tokens[second]
-                wanted = [first, second] if first >= 0 else [second]
-                known = self.merge([self.ids[joined[i : i + 1]] for i in range(len(joined))]) == wanted
-            else:
-                known = self.fit(-1, second) and not self._crossed(first, second)
-            if len(self.fits) >= KNOWN_PAIRS:
-                self.fits.clear()
-            self.fits[first, second] = known
-        return known
-
-    def _formed(self, token: int) -> int:
-        """Rank of the merge that makes a token; -1 for single bytes."""
-        return self.rank[self.parts[token]][0] if token in self.parts else -1
-
-    def _spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
-        """Tokens at one end (0: left, 1: right) while a token is built: (token, rank that makes it, that uses it up)."""
-        if (spine := self.spines.get((token, side))) is None:
-            spine, at, used = [], token, len(self.rank)
-            while at is not None:
-                spine.append((at, self._formed(at), used))
-                used = self._formed(at)
-                at = self.parts[at][side] if at in self.parts else None
-            self.spines[token, side] = spine
-        return spine
+        if first < 0:
+            if (known := self.alone.get(second)) is None:
+                data = self.tokens[second]
+                known = self.alone[second] = self.merge([self.ids[data[i : i + 1]] for i in range(len(data))]) == [second]
+            return self.fits.keep(second, known)
+        if (known := self.fits.again((first + 1) << 20 | second)) is not None:
+            return known
+        if self.proper:
+            known = self.fit(-1, second) and not self._crossed(first, second)
+        else:
+            joined = self.tokens[first] + self.tokens[second]
+            known = self.merge([self.ids[joined[i : i + 1]] for i in range(len(joined))]) == [first, second]
+        return self.fits.keep((first + 1) << 20 | second, known)
 
     def _crossed(self, first: int, second: int) -> bool:
         """Whether a merge joins the two before both are complete.
 
-        A merge over the border needs both its parts there at its rank. Of equal
-        ranks the one further left comes first: the first token's own merge
+        Goes back in time from the complete tokens: of the two parts at the border, the
+        one made later is taken apart, so each pair of parts that stand there together
+        is met once. A merge over the border needs both its parts there at its rank. Of
+        equal ranks the one further left comes first: the first token's own merge
         precedes one over the border, the second token's own follows it.
         """
-        for left, made, used in self._spine(first, 1):
-            for right, made_right, used_right in self._spine(second, 0):
-                if (found := self.rank.get((left, right))) is not None:
-                    rank = found[0]
-                    if made < rank < used and made_right < rank <= used_right:
-                        return True
-        return False
+        formed, parts, rank = self.formed, self.parts, self.rank
+        used_left = used_right = len(rank)
+        while True:
+            made_left, made_right = formed[first], formed[second]
+            found = rank.get((first, second))
+            if found is not None and made_left < found[0] < used_left and made_right < found[0] <= used_right:
+                return True
+            if made_left > made_right:
+                used_left, first = made_left, parts[first][1]
+            elif made_right >= 0:
+                used_right, second = made_right, parts[second][0]
+            else:
+                return False
+
+    def _read(self, data: bytes, begin: int, stop: int, start: int, state: int, last: list[int]) -> int:
+        """Read bytes of a pretoken and append the last token of each prefix to last, which begins at start; the state after them."""
+        fits, fit, size = self.fits.get, self.fit, self.size
+        step, fail, ends = self.automaton.children.get, self.automaton.fail, self.automaton.ends
+        for at in range(begin, stop):
+            byte = data[at]
+            while (child := step(state << 8 | byte)) is None and state:
+                state = fail[state]
+            state = child or 0
+            beyond = at + 1 - start
+            for token in ends[state]:
+                before = last[beyond - size[token]]
+                known = fits(before + 1 << 20 | token)
+                if known or known is None and fit(before, token):
+                    last.append(token)
+                    break
+        return state
 
     def encode(self, data: bytes) -> Iterator[int]:
         """Tokens of one pretoken, each as soon as it is stable."""
-        window = 4 * (self.lookahead + self.longest)
-        fits, fit, root, n = self.fits, self.fit, self.trie, len(data)
-        if (token := self.ids.get(data)) is not None and fit(-1, token):
-            yield token
-            return
-        start, last = 0, [-1]  # last[i]: last token of the bytes from start to start + i, or of all before
-        open_ends = deque([] for _ in range(min(self.longest, n) + 1))  # of the next ends: (beginning, token), longest first
-        for at in range(n + 1):
-            for begun, token in open_ends.popleft():
-                before = last[begun - start]
-                if fits.get((before, token)) or fit(before, token):
-                    last.append(token)
-                    break
-            open_ends.append([])
-            if at - start >= window:
+        window, n = 4 * (self.lookahead + self.longest), len(data)
+        start, state, last = 0, 0, [-1]  # last[i]: last token of the bytes from start to start + i, or of all before
+        for begin in range(0, n, window):
+            state = self._read(data, begin, min(n, begin + window), start, state, last)
+            if begin + window < n:
                 path, shared = self._shared(last)
                 yield from path
                 start += shared
                 last = last[shared:]
-            node, end = root, at
-            while end < n and (byte := data[end]) in node:
-                node = node[byte]
-                if TOKEN in node:
-                    open_ends[end - at].append((at, node[TOKEN]))
-                end += 1
         yield from self._path(last, len(last) - 1)[0]
 
+    def encode_short(self, data: bytes) -> list[int]:
+        """The same at once, for a pretoken of few bytes: last tokens are looked up from the end, so only prefixes that
+        end with a token in question are."""
+        if (token := self.ids.get(data)) is not None and self.fit(-1, token):
+            return [token]
+        step, fail = self.automaton.children.get, self.automaton.fail
+        state, states = 0, [0]
+        for byte in data:
+            while (child := step(state << 8 | byte)) is None and state:
+                state = fail[state]
+            state = child or 0
+            states.append(state)
+        end = len(data)
+        last: list[int | None] = [None] * (end + 1)
+        last[0] = -1
+        self._last(states, last, end)
+        size, tokens = self.size, []
+        while end > 0:
+            token = last[end]
+            tokens.append(token)
+            end -= size[token]
+        tokens.reverse()
+        return tokens
+
+    def _last(self, states: list[int], last: list[int | None], end: int) -> int:
+        """The last token of a prefix; last has those known."""
+        size, fits = self.size, self.fits
+        for token in self.automaton.ends[states[end]]:
+            begin = end - size[token]
+            if (before := last[begin]) is None:
+                before = self._last(states, last, begin)
+            known = fits.get(before + 1 << 20 | token)
+            if known or known is None and self.fit(before, token):
+                last[end] = token
+                return token
+        raise ValueError("the vocabulary lacks a byte")
+
     def _path(self, last: list[int], end: int) -> tuple[list[int], list[int]]:
         """Tokens up to a place, and the places where they end."""
         tokens, ends = [], []
         while end > 0:
             tokens.append(last[end])
             ends.append(end)
-            end -= len(self.tokens[last[end]])
+            end -= self.size[last[end]]
         return tokens[::-1], ends[::-1]
 
     def _shared(self, last: list[int]) -> tuple[list[int], int]:
@@ -230,7 +321,7 @@ class Transducer:
 
 
 class Codec:
-    """Texts to ids and back, with a bounded memory of pretokens."""
+    """Texts to ids and back, with a bounded memory of pieces and pretokens."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.transducer = Transducer(vocabulary)
@@ -240,17 +331,59 @@ class Codec:
         size = max(vocabulary.tokens) + 1
         self.bytes_of = [vocabulary.tokens.get(i, b"") for i in range(size)]
         self.packed = [i.to_bytes(4, "little") for i in range(size)]
-        self.known: dict[str, bytes] = {}
+        self.pieces, self.known = Recent(KNOWN_PIECES), Recent(KNOWN_PRETOKENS)
 
     def _pretoken(self, pretoken: str) -> bytes:
         """Ids of a pretoken as little-endian 32-bit numbers."""
-        ids = b"".join(map(self.packed.__getitem__, self.transducer.encode(pretoken.encode())))
-        if len(pretoken) <= KNOWN_CHARS:
-            if len(self.known) >= KNOWN_PRETOKENS:
-                self.known.clear()
-            self.known[pretoken] = ids
+        if (ids := self.known.again(pretoken)) is not None:
+            return ids
+        short = len(pretoken) <= KNOWN_CHARS
+        tokens = (self.transducer.encode_short if short else self.transducer.encode)(pretoken.encode())
+        ids = b"".join(map(self.packed.__getitem__, tokens))
+        return self.known.keep(pretoken, ids) if short else ids
+
+    def _pretokens(self, text: str) -> bytes:
+        get, other = self.known.get, self._pretoken
+        if len(text) <= BLOCK:
+            return b"".join([get(p) or other(p) for p in PRETOKEN.findall(text)])
+        out, found = [], map(operator.itemgetter(0), PRETOKEN.finditer(text))
+        while block := [get(p) or other(p) for p in islice(found, BLOCK)]:
+            out.append(b"".join(block))
+        return b"".join(out)
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece with the space before it; empty for one that belongs to what follows it."""
+        if (ids := self.pieces.again(piece)) is None:
+            if not piece or piece[-1].isspace():
+                return b""
+            ids = self._pretokens(" " + piece)
+            if len(piece) <= KNOWN_CHARS:
+                self.pieces.keep(piece, ids)
         return ids
 
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens.
+
+        No pretoken crosses from something other than white space to a space, so a text
+        falls into pieces there. A piece that is empty or ends in white space goes with
+        the pieces behind it.
+        """
+        first, *pieces = text.split(" ")
+        get, other = self.pieces.get, self._piece
+        out = [get(p) or other(p) for p in pieces]
+        if b"" not in out and first and not first[-1].isspace():
+            return self._pretokens(first) + b"".join(out)
+        joined, held = [], [first]
+        for piece, ids in zip(pieces, out, strict=True):
+            if held and held[-1] and not held[-1][-1].isspace():
+                joined.append(self._pretokens(" ".join(held)))
+                held = []
+            if ids and not held:
+                joined.append(ids)
+            else:
+                held = [*held, piece] if held else ["", piece]
+        return b"".join([*joined, self._pretokens(" ".join(held))])
+
     def _parts(self, text: str) -> Iterator[str]:
         """Text and added tokens by turns; a text comes first."""
         at = 0
@@ -263,17 +396,11 @@ class Codec:
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text as little-endian unsigned 32-bit numbers; null counts as empty."""
         out = []
-        get, other = self.known.get, self._pretoken
         for i, part in enumerate(self._parts(text or "")):
             if i % 2:
                 out.append(self.added[part].to_bytes(4, "little"))
-                continue
-            if len(part) <= BLOCK:
-                out.append(b"".join([get(p) or other(p) for p in PRETOKEN.findall(part)]))
-                continue
-            found = map(operator.itemgetter(0), PRETOKEN.finditer(part))
-            while block := [get(p) or other(p) for p in islice(found, BLOCK)]:
-                out.append(b"".join(block))
+            elif part:
+                out.append(self._plain(part))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -326,7 +453,9 @@ def round_trip_of(docs: DataFrame, path: str, text: str = "text") -> Column:
     def rows(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = _codec(shared)
         for batch in batches:
-            ids = [codec.encode(t) for t in batch]
-            yield pd.DataFrame({"ids": ids, "text": [codec.decode(i) for i in ids]})
+            texts = batch.tolist()
+            for part in portions(texts):
+                ids = [codec.encode(t) for t in texts[part]]
+                yield pd.DataFrame({"ids": ids, "text": [codec.decode(i) for i in ids]})
 
     return rows(F.coalesce(F.col(f"`{text}`"), F.lit("")))
