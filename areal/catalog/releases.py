@@ -374,6 +374,40 @@ def m7(t):
     return project.document_checks(_documents(t)).select("project_id", F.array_join("issues", ",").alias("issues"))
 
 
+_WRONG = {
+    1: ("not-json", """'{"schemaVersion":"1.1"'"""),
+    2: ("too-deep", """concat('{"schemaVersion":"1.1","a":', repeat('[', 26), repeat(']', 26), '}')"""),
+    3: ("too-many-items", """concat('{"schemaVersion":"1.1","a":[', repeat('1,', 5000), '1]}')"""),
+    4: ("forbidden-key", """'{"schemaVersion":"1.1","a":[{"constructor":{}}]}'"""),
+    6: ("schema-version", """'{"migrationReport":{"schemaVersion":"1.0"},"schemaVersion":"9.9"}'"""),
+    7: ("color", """'{"schemaVersion":"1.0","highlights":{"a":{"color":"blue"}}}'"""),
+    8: ("schema-version", """'{"schemaVersion":1.1}'"""),
+    9: ("not-json,schema-version", "'plain text'"),
+    10: ("", """concat('{"schemaVersion":"1.1","a":', repeat('[', 25), repeat(']', 25), '}')"""),
+}
+for _i, (_name, _most) in enumerate(project.COLLECTION_LIMITS.items()):
+    _also = "too-many-items," if _most >= project.LIMITS["items"] else ""
+    _WRONG[20 + _i] = (f"{_also}too-many-{_name}", f"""concat('{{"schemaVersion":"1.1","{_name}":[', repeat('1,', {_most}), '1]}}')""")
+    _WRONG[30 + _i] = ("", f"""concat('{{"schemaVersion":"1.1","{_name}":[', repeat('1,', {_most - 1}), '1]}}')""")
+_PICK = "CASE WHEN c_custkey % 1000 = 999 THEN {large} ELSE CASE c_custkey % 500 {cases} ELSE {other} END END"
+_PLANTED = _PICK.format(
+    large="""concat('{"schemaVersion":"1.1"', repeat(' ', 20000000), '}')""",
+    cases=" ".join(f"WHEN {k} THEN {text}" for k, (_, text) in _WRONG.items()),
+    other="""concat('{"schemaVersion":"1.0","title":"', c_name, '"}')""",
+)
+
+
+@query(
+    "m7_planted_faults",
+    "SELECT CAST(c_custkey AS VARCHAR) AS project_id, "
+    + _PICK.format(large="'too-large'", cases=" ".join(f"WHEN {k} THEN '{issue}'" for k, (issue, _) in _WRONG.items()), other="''")
+    + " AS issues FROM {customer}",
+)
+def m7_planted(t):
+    planted = t.customer.select(F.col("c_custkey").cast("string").alias("project_id"), F.expr(_PLANTED).alias("document"))
+    return project.document_checks(planted).select("project_id", F.array_join("issues", ",").alias("issues"))
+
+
 @query("m8_field_limits", "SELECT doc_id, substr(text, 1, 120) AS region_code, substr(text, 1, 160) AS region_name, CASE WHEN source IN ('src0') THEN '4:3' ELSE '16:9' END AS ratio FROM {documents}")
 def m8(t):
     rows = t.documents.select(

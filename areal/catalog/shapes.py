@@ -104,19 +104,45 @@ def g11(t):
     return geometry.validate(shaped(t))
 
 
-@query("g12_simplify_rings")
+def _kept(points: str) -> str:
+    """SQL: kept positions of Douglas-Peucker over {points} (line_id, pos, x, y); pos from 0."""
+    dist = "CASE WHEN {d} > 0 THEN abs((xs[hi + 1] - xs[lo + 1]) * (ys[i + 1] - ys[lo + 1]) - (ys[hi + 1] - ys[lo + 1]) * (xs[i + 1] - xs[lo + 1])) / {d} ELSE sqrt((xs[i + 1] - xs[lo + 1]) * (xs[i + 1] - xs[lo + 1]) + (ys[i + 1] - ys[lo + 1]) * (ys[i + 1] - ys[lo + 1])) END"
+    dist = dist.replace("{d}", "sqrt((xs[hi + 1] - xs[lo + 1]) * (xs[hi + 1] - xs[lo + 1]) + (ys[hi + 1] - ys[lo + 1]) * (ys[hi + 1] - ys[lo + 1]))")
+    return f"""WITH RECURSIVE points AS ({points}), lists AS (SELECT line_id, list(x ORDER BY pos) AS xs, list(y ORDER BY pos) AS ys, max(pos) AS n FROM points GROUP BY 1),
+    far AS (SELECT *, list_transform(range(1, n), lambda i: (xs[i + 1] - xs[1]) * (xs[i + 1] - xs[1]) + (ys[i + 1] - ys[1]) * (ys[i + 1] - ys[1])) AS away FROM lists),
+    whole AS (SELECT *, CASE WHEN n > 2 AND xs[1] = xs[n + 1] AND ys[1] = ys[n + 1] THEN list_position(away, list_max(away)) ELSE 0 END AS cut FROM far),
+    spans AS (SELECT line_id, CAST(unnest(CASE WHEN cut > 0 THEN [0, cut] ELSE [0] END) AS BIGINT) AS lo, CAST(unnest(CASE WHEN cut > 0 THEN [cut, n] ELSE [n] END) AS BIGINT) AS hi FROM whole
+        UNION ALL SELECT line_id, unnest([lo, lo + m]) AS lo, unnest([lo + m, hi]) AS hi FROM (SELECT line_id, lo, hi, list_position(d, list_max(d)) AS m, list_max(d) AS most
+            FROM (SELECT s.line_id, s.lo, s.hi, list_transform(range(s.lo + 1, s.hi), lambda i: {dist}) AS d FROM spans s JOIN lists l ON l.line_id = s.line_id WHERE s.hi - s.lo > 1)) WHERE most > 0.018),
+    ends AS (SELECT line_id, lo AS pos FROM spans UNION SELECT line_id, hi FROM spans),
+    sized AS (SELECT line_id, count(*) AS kept FROM ends GROUP BY 1),
+    result AS (SELECT p.* FROM points p JOIN sized z ON z.line_id = p.line_id JOIN lists l ON l.line_id = p.line_id LEFT JOIN ends e ON e.line_id = p.line_id AND e.pos = p.pos WHERE e.pos IS NOT NULL OR kept < least(4, n + 1))"""
+
+
+_RING = """SELECT line_id, x, y, row_number() OVER (PARTITION BY line_id ORDER BY x, y) - 1 AS pos FROM {ring_points}
+    UNION ALL SELECT line_id, min(x), arg_min(y, x), count(*) FROM {ring_points} GROUP BY 1"""
+inputs.DERIVED["ring_points"] = "SELECT CAST(CAST(floor(o_orderkey / 200) AS BIGINT) AS STRING) AS line_id, o_orderkey % 1000 / CAST(100 AS DOUBLE) AS x, round(sin(o_orderkey % 1000 / CAST(100 AS DOUBLE)) * 0.02, 9) AS y FROM {orders}"
+# Three long lines; each holds a third of all vertices.
+inputs.DERIVED["line_points"] = "SELECT o_orderkey % 3 AS line_id, o_orderkey AS place, o_orderkey / CAST(1000 AS DOUBLE) AS x, (o_orderkey % 700 - 350) * (o_orderkey % 700 - 350) / CAST(400000 AS DOUBLE) + o_orderkey % 5 / CAST(500 AS DOUBLE) AS y FROM {orders}"
+
+
+@query("g12_simplify_rings", _kept(_RING) + " SELECT line_id AS region_id, CAST(count(*) AS INTEGER) AS vertices FROM result GROUP BY 1")
 def g12(t):
     """Rings with nearly collinear vertices, one per batch of 200 order numbers."""
-    spots = t.orders.select(
-        F.floor(F.col("o_orderkey") / 200).cast("string").alias("region_id"),
-        (F.col("o_orderkey") % 1000 / 100.0).alias("x"),
-        (F.sin(F.col("o_orderkey") % 1000 / 100.0) * 0.02).alias("y"),
-    )
-    ring_rows = spots.groupBy("region_id").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points"))
+    ring_rows = t.ring_points.groupBy(F.col("line_id").alias("region_id")).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("points"))
     closed = ring_rows.select("region_id", F.lit(0).alias("polygon"), F.lit(0).alias("ring"), F.concat("points", F.slice("points", 1, 1)).alias("points"))
     return geometry.simplify(closed, 0.018).select("region_id", F.size("points").alias("vertices"))
 
 
+@query(
+    "g12_simplify_vertices",
+    _kept("SELECT line_id, place, x, y, row_number() OVER (PARTITION BY line_id ORDER BY place) - 1 AS pos FROM {line_points}") + " SELECT line_id, place AS pos FROM result",
+)
+def g12_vertices(t):
+    lines = t.line_points.withColumnRenamed("place", "pos")
+    return geometry.simplify_vertices(lines, ["line_id"], 0.018).select("line_id", "pos")
+
+
 _FIT = """(SELECT c_custkey, lo, hi, 0.5 * lo AS bottom, 2.0 * hi AS top, least((1600 - 116) / greatest(hi - lo, 0.001), (900 - 116 - 142) / greatest(2.0 * hi - 0.5 * lo, 0.001)) AS s
     FROM (SELECT o_custkey AS c_custkey, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM {orders} GROUP BY 1))"""
 
@@ -249,17 +275,17 @@ SELECT concat('v', CAST(c_custkey AS STRING)) AS view_id, CAST(95 + c_nationkey
 FROM {customer}"""
 inputs.DERIVED["view_highlights"] = "SELECT view_id, concat('c', CAST(CAST(min_y AS INT) * 40 + CAST(min_x AS INT) - 94 AS STRING)) AS id FROM {views}"
 
-_RANKED = """(SELECT v.view_id, v.zoom, v.density, v.presentation, a.id, a.name, a.type, a.priority, a.province, v.selected_id = a.id AS sel, h.id IS NOT NULL AS hi,
+_RANKED = """(SELECT v.view_id, v.zoom, v.density, v.presentation, a.id, a.name, a.type, a.priority, a.province, a.lng, a.lat, v.selected_id = a.id AS sel, h.id IS NOT NULL AS hi,
     CASE WHEN v.selected_id = a.id THEN 100 WHEN h.id IS NOT NULL THEN 90 WHEN a.type = 'Kota' THEN 80 WHEN a.priority > 1 THEN 70 ELSE 10 END AS rank
     FROM {views} v JOIN {anchored} a ON a.lng BETWEEN v.min_x AND v.max_x AND a.lat BETWEEN v.min_y AND v.max_y
     LEFT JOIN {view_highlights} h ON h.view_id = v.view_id AND h.id = a.id)"""
 
 
-@query(
-    "l1_label_candidates",
-    f"""SELECT view_id, id, rank, text FROM (SELECT view_id, id, rank, CASE WHEN province = '' THEN name ELSE province END AS text, row_number() OVER (PARTITION BY view_id, province ORDER BY rank DESC, id) AS n FROM {_RANKED} WHERE zoom < 5.75) WHERE n = 1
-        UNION ALL SELECT view_id, id, rank, name FROM {_RANKED} WHERE zoom >= 5.75 AND (sel OR hi OR (NOT presentation AND (density = 'detailed' OR (density = 'balanced' AND (type = 'Kota' OR priority > 1)))))""",
-)
+_CANDIDATES = f"""SELECT view_id, id, rank, text, lng, lat FROM (SELECT view_id, id, rank, lng, lat, CASE WHEN province = '' THEN name ELSE province END AS text, row_number() OVER (PARTITION BY view_id, province ORDER BY rank DESC, id) AS n FROM {_RANKED} WHERE zoom < 5.75) WHERE n = 1
+        UNION ALL SELECT view_id, id, rank, name, lng, lat FROM {_RANKED} WHERE zoom >= 5.75 AND (sel OR hi OR (NOT presentation AND (density = 'detailed' OR (density = 'balanced' AND (type = 'Kota' OR priority > 1)))))"""
+
+
+@query("l1_label_candidates", f"SELECT view_id, id, rank, text FROM ({_CANDIDATES})")
 def l1(t):
     out = labels.candidates(geometry.anchors(shaped(t)), t.views, t.view_highlights)
     return out.select("view_id", "id", "rank", "text")
@@ -274,7 +300,18 @@ def l2(t):
     return seen.select("view_id", "id", labels.level("selected", "highlighted", F.col("type") == "Kota", "presentation").alias("level"))
 
 
-@query("l3_thin_labels")
+# Greedy placement one by one, the boxes placed so far in a list.
+_THIN = f"""WITH RECURSIVE boxes AS (SELECT view_id, id, (lng - 95) * 60 AS x, (lat % 20) * 8 AS y, greatest(CAST(36 AS DOUBLE), length(text) * CAST(12 AS DOUBLE) * CAST(0.56 AS DOUBLE)) AS w,
+        row_number() OVER (PARTITION BY view_id ORDER BY rank DESC, text, id) AS n FROM ({_CANDIDATES})),
+    ordered AS (SELECT view_id, id, n, struct_pack(l := x - w / 2 - 3, r := x + w / 2 + 3, t := y - CAST(7.5 AS DOUBLE) - 3, b := y + CAST(7.5 AS DOUBLE) + 3) AS box FROM boxes),
+    step AS (SELECT DISTINCT view_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(l DOUBLE, r DOUBLE, t DOUBLE, b DOUBLE)[]) AS placed, CAST(NULL AS VARCHAR) AS id FROM ordered
+        UNION ALL SELECT view_id, n, CASE WHEN free THEN list_append(placed, box) ELSE placed END, CASE WHEN free THEN id END
+        FROM (SELECT o.view_id, o.n, o.id, o.box, s.placed, len(list_filter(s.placed, lambda q: NOT (o.box.r < q.l OR o.box.l > q.r OR o.box.b < q.t OR o.box.t > q.b))) = 0 AS free
+            FROM step s JOIN ordered o ON o.view_id = s.view_id AND o.n = s.n + 1))
+    SELECT view_id, id FROM step WHERE id IS NOT NULL"""
+
+
+@query("l3_thin_labels", _THIN)
 def l3(t):
     out = labels.candidates(geometry.anchors(shaped(t)), t.views, t.view_highlights)
     placed = out.select("view_id", "id", "text", "rank", ((F.col("lng") - 95) * 60).alias("x"), (F.col("lat") % 20 * 8).alias("y"), F.lit(12.0).alias("font_size"))

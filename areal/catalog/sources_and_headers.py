@@ -14,7 +14,7 @@ from areal.catalog.shapes import shaped
 from areal.operators import geometry, headers, lineage, registry
 from areal.plans import inputs
 from areal.plans.sizing import shared_folder
-from areal.sources import delimited, features, sinks, workbook
+from areal.sources import delimited, features, lines, pieces, sinks, workbook
 
 # One delimited text per batch of 100 order numbers, its lines the orders of the batch.
 inputs.DERIVED["order_lines"] = """
@@ -30,10 +30,10 @@ _HEADER = "concat('Wilayah', mark, 'Nilai', mark, 'nilai_')"
 
 
 def _texts(t: Tables):
-    lines = t.text_lines.groupBy("day", "mark").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))).alias("l"))
+    texts = t.text_lines.groupBy("day", "mark").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))).alias("l"))
     header = F.concat(F.lit("﻿Wilayah"), "mark", F.lit("Nilai"), "mark", F.lit("nilai_"))
     body = F.array_join(F.transform("l", lambda x: x["line"]), "\r\n")
-    return lines.select(F.col("day").alias("source_key"), F.lit("csv").alias("source_type"), F.concat(header, F.lit("\r\n \r\n"), body, F.lit("\n")).alias("text"))
+    return texts.select(F.col("day").alias("source_key"), F.lit("csv").alias("source_type"), F.concat(header, F.lit("\r\n \r\n"), body, F.lit("\n")).alias("text"))
 
 
 _ROWS = """(SELECT day AS source_key, CAST(row_number() OVER (PARTITION BY day ORDER BY o_orderkey) + 1 AS INTEGER) AS row_number,
@@ -62,6 +62,49 @@ def s3(t):
     return _texts(t).select("source_key", delimited.detect_delimiter("text")["delimiter"].alias("delimiter"))
 
 
+def _lines(t: Tables, source):  # noqa: ANN001, ANN202
+    """The same texts as a table of lines; blocks end behind every seventh order, some inside a quoted cell."""
+    parts = t.text_lines.select(source.alias("source_key"), "mark", "o_orderkey", F.posexplode(F.split("line", "\n")).alias("part", "value"))
+    body = parts.select(
+        "source_key",
+        F.floor((F.col("o_orderkey") + F.col("part")) / 7).alias("block"),
+        (F.col("o_orderkey") * 2 + F.col("part")).alias("line"),
+        "value",
+    )
+    head = F.concat(F.lit("\ufeffWilayah"), "mark", F.lit("Nilai"), "mark", F.lit("nilai_"))
+    heads = t.text_lines.groupBy(source.alias("source_key")).agg(F.first("mark").alias("mark"))
+    heads = heads.select("source_key", F.lit(-1).cast("bigint").alias("block"), F.posexplode(F.array(head, F.lit(" "))).alias("line", "value"))
+    return body.unionByName(heads)
+
+
+def _line_rows(t: Tables, source):  # noqa: ANN001, ANN202
+    _, rows = lines.parse_lines(_lines(t, source))
+    cell = lambda name: F.element_at("cells", F.lit(name))
+    return rows.select(
+        "source_key", F.col("row_number").cast("int").alias("row_number"), cell("Wilayah").alias("wilayah"), cell("Nilai").alias("nilai"), cell("nilai___2").alias("third"), "mismatch"
+    )
+
+
+@query("s1_large_lines", f"SELECT * FROM {_ROWS}")
+def s1_large(t):
+    return _line_rows(t, F.col("day"))
+
+
+# One source for each delimiter: a third of all lines in each.
+@query("s1_three_large_sources", f"SELECT * FROM {_ROWS.replace('day AS source_key', 'mark AS source_key').replace('PARTITION BY day', 'PARTITION BY mark')}")
+def s1_three(t):
+    return _line_rows(t, F.col("mark"))
+
+
+@query(
+    "s3_large_detection",
+    "SELECT mark AS source_key, CASE mark WHEN ',' THEN 'comma' WHEN ';' THEN 'semicolon' ELSE 'tab' END AS delimiter, 'ok' AS status, count(*) AS n_rows FROM {order_lines} GROUP BY 1",
+)
+def s3_large(t):
+    sources, _ = lines.parse_lines(_lines(t, F.col("mark")))
+    return sources.select("source_key", "delimiter", "status", "n_rows")
+
+
 # Without quotes or line breaks in cells the scoring can be repeated in SQL.
 @query(
     "s3_detection_score",
@@ -109,8 +152,8 @@ def s12(t):
     return delimited.strict_rows(rows).groupBy("source_key").agg(F.count("*").alias("rows"))
 
 
-def _collections(t: Tables):
-    """One GeoJSON text per batch of cells, in several property spellings."""
+def _listed(t: Tables):
+    """A GeoJSON feature per cell, in several property spellings."""
     key = F.col("region_id")
     properties = F.when(F.col("parts") == 2, F.to_json(F.struct(key.alias("shapeID"), F.col("display_name").alias("shapeName"), F.col("province_name").alias("province")))).otherwise(
         F.to_json(F.struct(key.alias("region_id"), F.lit("").alias("geometry_source_id"), F.col("region_type"), F.col("display_name").alias("name"), F.col("province_name")))
@@ -121,8 +164,13 @@ def _collections(t: Tables):
     feature = F.concat(
         F.lit('{"type":"Feature","properties":'), properties, F.lit(',"geometry":{"type":"'), kind, F.lit('","coordinates":'), coordinates, F.lit("}}")
     )
+    return shaped(t).select("region_id", "parts", feature.alias("feature"))
+
+
+def _collections(t: Tables):
+    """One GeoJSON text per batch of cells."""
     batch = F.floor(F.substring("region_id", 2, 20).cast("bigint") / 200).cast("string")
-    listed = shaped(t).select(batch.alias("source_key"), feature.alias("feature"))
+    listed = _listed(t).select(batch.alias("source_key"), "feature")
     texts = listed.groupBy("source_key").agg(F.array_join(F.sort_array(F.collect_list("feature")), ",").alias("f"))
     return texts.select("source_key", F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}")).alias("text"))
 
@@ -196,6 +244,43 @@ def s8(t):
     return _features(t).select("region_id", geometry.vertex_count().alias("vertices"), F.round(total, 4).alias("sum_x"))
 
 
+def _pieces(t: Tables):
+    """Two collections, of cells with one part and with two, as pieces that a closing brace ends.
+
+    Blocks hold the pieces of fifty cells; the last ends behind the array, with a member that has braces too.
+    """
+    listed = _listed(t).select(F.col("parts").cast("string").alias("source_key"), F.substring("region_id", 2, 20).cast("bigint").alias("key"), "feature")
+    first = listed.groupBy("source_key").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    opening = F.lit('{"name":"\\"features\\":[ }","crs":{"features":[1,{}]},"type" : "FeatureCollection","features": [')
+    head = F.when(F.col("key") == F.col("first"), opening).otherwise(F.lit(","))
+    tail = F.when(F.col("key") == F.col("last"), '],"more":[{"id":"none"},{}]}').otherwise("")
+    whole = listed.join(first, "source_key").withColumn("text", F.concat(head, "feature", tail))
+    cut = whole.select("source_key", "key", F.posexplode(F.split(F.regexp_replace("text", "}$", ""), "}")).alias("n", "value"))
+    return cut.select(
+        "source_key", F.floor(F.col("key") / 50).alias("block"), (F.col("key") * 100 + F.col("n")).alias("line"), "value", F.lit(True).alias("braced")
+    )
+
+
+def _large_features(t: Tables):
+    sources, parsed = pieces.parse_pieces(_pieces(t))
+    return sources, registry.normalize_features(features.with_properties(parsed, features.PROPERTIES))
+
+
+@query("s8_large_collection", "SELECT CASE parts WHEN 2 THEN concat('gb-', c.region_id) ELSE c.region_id END AS region_id, CAST(count(*) AS INTEGER) AS vertices, round(sum(v.x), 4) AS sum_x FROM {cells} c JOIN {vertices} v ON v.region_id = c.region_id GROUP BY 1")
+def s8_large(t):
+    _, parsed = _large_features(t)
+    total = F.aggregate(F.flatten(F.flatten("polygons")), F.lit(0.0), lambda s, p: s + p["x"])
+    return parsed.select("region_id", geometry.vertex_count().alias("vertices"), F.round(total, 4).alias("sum_x"))
+
+
+@query(
+    "s8_collection_check",
+    "SELECT CAST(parts AS VARCHAR) AS source_key, 'ok' AS status, count(*) AS features, count(*) AS unique_ids, 'accepted' AS verdict FROM {cells} GROUP BY 1",
+)
+def s8_check(t):
+    return pieces.check(*_large_features(t))
+
+
 @query(
     "s9_feature_normalisation",
     """SELECT CASE parts WHEN 2 THEN concat('gb-', region_id) ELSE region_id END AS region_id, CASE parts WHEN 2 THEN region_id ELSE '' END AS geometry_source_id, display_name AS region_name, province_name,

@@ -85,26 +85,63 @@ def mixed_language(
     return docs.select(key, F.posexplode(shown).alias("position", "sentence"))
 
 
+#: Hits of a line that are placed from one another; longer lines are placed stretch by stretch.
+STRETCH = 64
+
+
+def _with(value: Column, body) -> Column:
+    """body(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums(numbers: Column) -> Column:
+    """For each of an array's numbers the sum of those before it; the arrays kept by callers are short."""
+
+    def step(done: Column, n: Column) -> Column:
+        return F.struct((done["total"] + n).alias("total"), F.array_append(done["sums"], done["total"]).alias("sums"))
+
+    start = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("sums"))
+    return F.aggregate(numbers, start, step, lambda done: done["sums"])
+
+
+def _before(sizes: Column) -> Column:
+    """Like _sums for arrays of any length: within stretches, then over the stretches, so that growing an array stays cheap."""
+
+    def of_stretches(stretches: Column) -> Column:
+        totals = F.transform(stretches, lambda part: F.aggregate(part, F.lit(0), lambda total, n: total + n))
+        return F.flatten(
+            F.zip_with(stretches, _sums(totals), lambda part, base: F.transform(_sums(part), lambda n: n + base))
+        )
+
+    def cut(all_sizes: Column) -> Column:
+        last = F.floor((F.size(all_sizes) - 1) / STRETCH).cast("int")
+        starts = F.when(F.size(all_sizes) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.slice(all_sizes, i * STRETCH + 1, F.lit(STRETCH)))
+
+    return _with(_with(sizes, cut), of_stretches)
+
+
 def tokens(docs: DataFrame, key: str, body: str, patterns: dict[str, str]) -> DataFrame:
     """(key, line, column, code, match) of every regex hit, lines and columns from 1."""
     lines = docs.select(key, F.posexplode(F.split(body, "\r?\n")).alias("_i", "_line"))
 
     def placed(code: str, pattern: str) -> Column:
         # The text between the hits and the hits themselves, by turns, give the places.
-        hits = F.regexp_extract_all("_line", F.lit(pattern), F.lit(0))
-        gaps = F.split("_line", pattern, -1)
-
-        def step(done: Column, part: Column) -> Column:
-            column = done["next"] + F.char_length(part["gap"])
-            hit = F.struct(column.alias("column"), F.lit(code).alias("code"), part["hit"].alias("match"))
-            return F.struct((column + F.char_length(part["hit"])).alias("next"), F.array_append(done["hits"], hit).alias("hits"))
+        def columns(parts: Column) -> Column:
+            gaps = F.transform(parts, lambda part: F.char_length(part["gap"]))
+            both = F.transform(parts, lambda part: F.char_length(part["gap"]) + F.char_length(part["hit"]))
+            starts = F.zip_with(gaps, _before(both), lambda gap, before: gap + before + 1)
+            return F.zip_with(starts, parts, lambda column, part: F.struct(
+                column.alias("column"), F.lit(code).alias("code"), part["hit"].alias("match")
+            ))
+
+        def parted(hits: Column) -> Column:
+            gaps = F.split("_line", pattern, -1)
+            return F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
 
         none = F.array().cast("array<struct<column:int,code:string,match:string>>")
-        parts = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"))
-        return F.when(
-            F.col("_line").rlike(pattern),
-            F.aggregate(parts, F.struct(F.lit(1).alias("next"), none.alias("hits")), step, lambda done: done["hits"]),
-        ).otherwise(none)
+        hits = F.regexp_extract_all("_line", F.lit(pattern), F.lit(0))
+        return F.when(F.col("_line").rlike(pattern), _with(_with(hits, parted), columns)).otherwise(none)
 
     every = F.concat(*[placed(code, pattern) for code, pattern in patterns.items()])
     return lines.select(key, (F.col("_i") + 1).alias("line"), F.inline(every))

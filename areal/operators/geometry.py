@@ -6,13 +6,11 @@ of struct<x, y>. A plain polygon is a list of one.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from areal.functions import text
-from areal.plans.sizing import lookup_join
+from areal.plans.sizing import checkpoint, lookup_join
 
 GEOMETRY_TYPE = "array<array<array<struct<x:double,y:double>>>>"
 EMPTY_BOX = {"min_x": 94.0, "min_y": -12.0, "max_x": 142.0, "max_y": 8.0}  # fixed values
@@ -204,42 +202,82 @@ def validate(df: DataFrame) -> DataFrame:
     )
 
 
-def _keep(xs: np.ndarray, ys: np.ndarray, tolerance: float) -> np.ndarray:
-    """Indices kept by Douglas-Peucker; a closed ring is split at its farthest vertex."""
-    keep = np.zeros(len(xs), dtype=bool)
-    keep[[0, -1]] = True
-    spans = [(0, len(xs) - 1)]
-    if len(xs) > 3 and xs[0] == xs[-1] and ys[0] == ys[-1]:
-        far = int(np.argmax((xs - xs[0]) ** 2 + (ys - ys[0]) ** 2))
-        keep[far] = True
-        spans = [(0, far), (far, len(xs) - 1)]
-    while spans:
-        a, b = spans.pop()
-        if b - a < 2:
-            continue
-        dx, dy = xs[b] - xs[a], ys[b] - ys[a]
-        px, py = xs[a + 1 : b] - xs[a], ys[a + 1 : b] - ys[a]
-        length = np.hypot(dx, dy)
-        distance = np.abs(dx * py - dy * px) / length if length else np.hypot(px, py)
-        at = int(np.argmax(distance))
-        if distance[at] > tolerance:
-            keep[a + 1 + at] = True
-            spans += [(a, a + 1 + at), (a + 1 + at, b)]
-    kept = np.flatnonzero(keep)
-    return kept if len(kept) >= min(4, len(xs)) else np.arange(len(xs))
+def _offset(a: Column, b: Column) -> Column:
+    """Distance of the vertex of a row from the line through two points, or from the point if both are one."""
+    dx, dy, px, py = b["x"] - a["x"], b["y"] - a["y"], F.col("x") - a["x"], F.col("y") - a["y"]
+    length = F.sqrt(dx * dx + dy * dy)
+    return F.when(length > 0, F.abs(dx * py - dy * px) / length).otherwise(F.sqrt(px * px + py * py))
 
 
-def simplify(ring_rows: DataFrame, tolerance: float = 0.018) -> DataFrame:
-    """Rings with fewer vertices (output of rings()); a ring never falls below four points."""
-
-    @F.pandas_udf("array<int>")
-    def kept(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([_keep(np.asarray(x, float), np.asarray(y, float), tolerance) for x, y in zip(xs, ys, strict=True)])
+def simplify_vertices(vertex_rows: DataFrame, keys: list[str], tolerance: float = 0.018) -> DataFrame:
+    """The vertices (keys, pos, x, y) of rings or lines that Douglas-Peucker keeps; pos orders a ring, without ties.
 
-    indexed = ring_rows.withColumn(
-        "_kept", kept(F.transform("points", lambda p: p["x"]), F.transform("points", lambda p: p["y"]))
+    A closed ring of more than three vertices is split at its farthest vertex first, the
+    earliest one of several. Each round takes all open spans of all rings at once: the
+    farthest vertex of a span, the earliest of several, splits it if it lies beyond the
+    tolerance, else the span is done and its vertices leave the table. So a ring of any
+    length is spread over tasks, and rounds are as many as spans are nested. Rings that
+    would keep fewer than four vertices keep all. Keys must tell rings apart; an empty
+    table gives no rows.
+    """
+    point = F.struct("x", "y")
+    rows = checkpoint(vertex_rows.select(*keys, F.col("pos").cast("bigint").alias("pos"), "x", "y"))
+    ends = rows.groupBy(*keys).agg(
+        F.min("pos").alias("_lo"), F.max("pos").alias("_hi"), F.count("*").alias("_n"),
+        F.min_by(point, "pos").alias("_a"), F.max_by(point, "pos").alias("_b"),
     )
-    return indexed.withColumn("points", F.transform("_kept", lambda i: F.get(F.col("points"), i))).drop("_kept")
+    closed = (F.col("_n") > 3) & (F.col("_a") == F.col("_b"))
+    away = (F.col("x") - F.col("_a.x")) * (F.col("x") - F.col("_a.x")) + (F.col("y") - F.col("_a.y")) * (F.col("y") - F.col("_a.y"))
+    spread = lookup_join(rows, ends, keys, "inner").withColumns({"_closed": closed, "_away": away})
+    still_open = checkpoint(spread)
+    at_end = (F.col("pos") == F.col("_lo")) | (F.col("pos") == F.col("_hi"))
+    kept = still_open.filter(at_end).select(*keys, "pos", "x", "y")
+    still_open = still_open.filter(~at_end)
+    split_at = F.max(F.struct(F.col("_away").alias("far"), (-F.col("pos")).alias("place"), "x", "y")).alias("_split")
+    splits = still_open.filter("_closed").groupBy(*keys, "_lo").agg(split_at)
+    flat = still_open.filter("NOT _closed")
+    rounds, first = [kept], True
+    while True:
+        splits = checkpoint(splits.withColumn("_at", -F.col("_split.place")))
+        rounds.append(splits.select(*keys, F.col("_at").alias("pos"), "_split.x", "_split.y"))
+        parted = lookup_join(still_open, splits, [*keys, "_lo"], "inner").filter(F.col("pos") != F.col("_at"))
+        below, corner = F.col("pos") < F.col("_at"), F.struct("_split.x", "_split.y")
+        parted = parted.select(
+            *keys, "pos", "x", "y",
+            F.when(below, F.col("_lo")).otherwise(F.col("_at")).alias("_lo"),
+            F.when(below, F.col("_a")).otherwise(corner).alias("_a"),
+            F.when(below, corner).otherwise(F.col("_b")).alias("_b"),
+        )
+        if first:
+            parted, first = parted.unionByName(flat.select(*parted.columns)), False
+        still_open = checkpoint(parted)
+        if still_open.isEmpty():
+            break
+        measured = still_open.withColumn("_away", _offset(F.col("_a"), F.col("_b")))
+        splits = measured.groupBy(*keys, "_lo").agg(split_at).filter(F.col("_split.far") > tolerance)
+    kept = rounds[0]
+    for more in rounds[1:]:
+        kept = kept.unionByName(more)
+    kept = checkpoint(kept.distinct())
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).join(kept.groupBy(*keys).agg(F.count("*").alias("_kept")), keys)
+    short = sizes.filter(F.col("_kept") < F.least(F.lit(4), F.col("_n"))).select(*keys)
+    whole = lookup_join(rows, short, keys, "left_semi")
+    return lookup_join(kept, short, keys, "left_anti").unionByName(whole)
+
+
+def simplify(ring_rows: DataFrame, tolerance: float = 0.018) -> DataFrame:
+    """Rings with fewer vertices (output of rings()); a ring never falls below four points.
+
+    Rings without points stay as they are; other columns are kept.
+    """
+    keyed = checkpoint(ring_rows.withColumn("_ring", F.monotonically_increasing_id()))
+    spread = keyed.select("_ring", F.posexplode("points").alias("pos", "_p")).select("_ring", "pos", "_p.x", "_p.y")
+    kept = simplify_vertices(spread, ["_ring"], tolerance)
+    # one value again, as it came
+    lists = kept.groupBy("_ring").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("_kept"))
+    shorter = F.transform("_kept", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    joined = keyed.join(lists, "_ring", "left").withColumn("points", F.coalesce(shorter, F.col("points")))
+    return joined.select(*ring_rows.columns)
 
 
 def assemble(ring_rows: DataFrame) -> DataFrame:

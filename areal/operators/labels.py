@@ -6,7 +6,6 @@ max_x, min_y, max_y, zoom, density, selected_id, presentation.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,41 +13,88 @@ from areal.plans.sizing import checkpoint, lookup_join
 
 OVERVIEW_ZOOM = 5.75  # fixed value: below it only province names show
 CELL = 64.0  # fixed value: pixels per grid cell
-LEVELS = list(range(0, 17))  # grid of 360 / 2**level degrees
+DEEPEST = 16  # grid of 360 / 2**level degrees; a view or a leaf is never finer
+#: Anchors of a quadtree leaf; a cell of the deepest level with more is dealt into parts.
+LEAF = 1024
 
 
 def _level(span: Column) -> Column:
     """Finest grid level whose cells are not smaller than the view."""
-    return F.least(F.greatest(F.floor(F.log2(F.lit(360.0) / F.greatest(span, F.lit(1e-9)))), F.lit(LEVELS[0])), F.lit(LEVELS[-1])).cast("int")
+    return F.least(F.greatest(F.floor(F.log2(F.lit(360.0) / F.greatest(span, F.lit(1e-9)))), F.lit(0)), F.lit(DEEPEST)).cast("int")
 
 
 def _cell(value: Column, level: Column) -> Column:
     return F.floor(value * F.pow(F.lit(2.0), level) / 360.0).cast("bigint")
 
 
-def visible(anchors: DataFrame, views: DataFrame, highlights: DataFrame) -> DataFrame:
-    """Anchors inside each view with selected, highlighted and rank.
+def _up(cell: str, levels: Column) -> Column:
+    """The cell some levels up that a cell lies in."""
+    return F.floor(F.col(cell) / F.pow(F.lit(2.0), levels)).cast("bigint")
+
 
-    The range test becomes an equality on grid cells: a view touches at most four
-    cells of its own level, and an anchor has one cell per level in use.
+def _quadtree(anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(anchors with the leaf and part they lie in, leaves).
+
+    Anchors are counted by cells of the deepest level, and the cells of all levels from
+    these counts. A leaf is the coarsest cell of at most LEAF anchors; where even the
+    deepest has more, parts of about LEAF anchors share it. So no leaf and part is heavy,
+    however anchors crowd.
     """
+    deepest = F.lit(DEEPEST)
+    fine = anchors.withColumns({"_fx": _cell(F.col("lng"), deepest), "_fy": _cell(F.col("lat"), deepest)})
+    counts = fine.groupBy("_fx", "_fy").agg(F.count("*").alias("_n"))
+    above = counts.withColumn("_level", F.explode(F.sequence(F.lit(0), deepest)))
+    above = above.withColumns({"_x": _up("_fx", deepest - F.col("_level")), "_y": _up("_fy", deepest - F.col("_level"))})
+    heavy = above.groupBy("_level", "_x", "_y").agg(F.sum("_n").alias("_held")).filter(F.col("_held") > LEAF).drop("_held")
+    split = lookup_join(above, heavy, ["_level", "_x", "_y"], "left_semi").groupBy("_fx", "_fy").agg(F.max("_level").alias("_split"))
+    leaf = counts.join(split, ["_fx", "_fy"], "left").withColumn("_level", F.least(F.coalesce(F.col("_split") + 1, F.lit(0)), deepest))
+    leaf = leaf.select(
+        "_fx", "_fy", "_level", _up("_fx", deepest - F.col("_level")).alias("_x"), _up("_fy", deepest - F.col("_level")).alias("_y"),
+        F.greatest(F.ceil(F.col("_n") / LEAF), F.lit(1)).cast("int").alias("_parts"),
+    )
+    placed = lookup_join(fine, leaf, ["_fx", "_fy"], "inner").drop("_fx", "_fy")
+    placed = placed.withColumn("_part", F.pmod(F.xxhash64("id", "lng", "lat"), F.col("_parts")).cast("int")).drop("_parts")
+    # Only cells of the deepest level have parts; leaves further up hold few anchors.
+    parts = F.when(F.col("_level") == DEEPEST, F.col("_parts")).otherwise(1)
+    return placed, leaf.groupBy("_level", "_x", "_y").agg(F.max(parts).alias("_parts"))
+
+
+def _seen_leaves(views: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(view_id, leaf): the leaves that lie in one of the at most four cells of a view's own level, or around it."""
     span = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    leveled = views.withColumn("_level", _level(span))
+    boxes = views.select("view_id", "min_x", "max_x", "min_y", "max_y", _level(span).alias("_at"))
 
     def between(low: str, high: str) -> Column:
-        return F.sequence(_cell(F.col(low), F.col("_level")), _cell(F.col(high), F.col("_level")))
-
-    placed_views = leveled.withColumn("_cx", F.explode(between("min_x", "max_x"))).withColumn("_cy", F.explode(between("min_y", "max_y")))
-    levels = [r[0] for r in leveled.select("_level").distinct().collect()]  # at most one per grid level
-    if not levels:
-        levels = LEVELS[:1]
-    placed = anchors.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]))).withColumns(
-        {"_cx": _cell(F.col("lng"), F.col("_level")), "_cy": _cell(F.col("lat"), F.col("_level"))}
+        return F.sequence(_cell(F.col(low), F.col("_at")), _cell(F.col(high), F.col("_at")))
+
+    cells = boxes.withColumn("_cx", F.explode(between("min_x", "max_x"))).withColumn("_cy", F.explode(between("min_y", "max_y")))
+    cells = cells.select("view_id", "_at", "_cx", "_cy")
+    levels = F.explode(F.sequence(F.lit(0), F.col("_level"))).alias("_at")
+    inside = leaves.select("*", levels).withColumns(
+        {"_cx": _up("_x", F.col("_level") - F.col("_at")), "_cy": _up("_y", F.col("_level") - F.col("_at"))}
     )
-    seen = placed_views.join(placed, ["_level", "_cx", "_cy"]).filter(
+    within = cells.join(inside, ["_at", "_cx", "_cy"]).select("view_id", "_level", "_x", "_y", "_parts")
+    coarser = cells.filter("_at > 0").select("view_id", "_at", "_cx", "_cy", F.explode(F.sequence(F.lit(0), F.col("_at") - 1)).alias("_level"))
+    coarser = coarser.select(
+        "view_id", "_level", _up("_cx", F.col("_at") - F.col("_level")).alias("_x"), _up("_cy", F.col("_at") - F.col("_level")).alias("_y")
+    ).distinct()
+    return within.unionByName(coarser.join(leaves, ["_level", "_x", "_y"]))
+
+
+def visible(anchors: DataFrame, views: DataFrame, highlights: DataFrame) -> DataFrame:
+    """Anchors inside each view with selected, highlighted and rank.
+
+    The range test becomes equalities on cells: views meet the leaves of a quadtree
+    that their cells hold or lie in, and these leaves' anchors. view_id tells views
+    apart; anchors without a place are in no view.
+    """
+    placed, leaves = _quadtree(anchors.filter(F.col("lng").isNotNull() & F.col("lat").isNotNull()))
+    seen = _seen_leaves(views, leaves).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    looked = views.join(seen, "view_id")
+    seen = looked.join(placed, ["_level", "_x", "_y", "_part"]).filter(
         F.col("lng").between(F.col("min_x"), F.col("max_x")) & F.col("lat").between(F.col("min_y"), F.col("max_y"))
     )
-    marked = seen.drop("_level", "_cx", "_cy").join(
+    marked = seen.drop("_level", "_x", "_y", "_part").join(
         highlights.select("view_id", "id").distinct().withColumn("highlighted", F.lit(True)), ["view_id", "id"], "left"
     )
     marked = marked.withColumns(
@@ -104,70 +150,64 @@ def _cells(df: DataFrame) -> DataFrame:
 
 
 _ORDER = ["_rank", "_text", "id"]
+_KEY = ["view_id", "id"]
+_CELL = ["view_id", "_gx", "_gy"]
+#: Labels of a grid cell that a round compares with one another, first in order.
+FIRST = 8
+
+
+def _apart(other: Column) -> Column:
+    return (
+        (F.col("_right") < other["_left"])
+        | (F.col("_left") > other["_right"])
+        | (F.col("_bottom") < other["_top"])
+        | (F.col("_top") > other["_bottom"])
+    )
 
 
-def _settle(boxed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Labels that lead every grid cell they touch are placed whatever the rest is;
-    labels overlapping one of them are culled. Returns (placed, still open)."""
-    order = F.struct(*_ORDER)
-    spread = _cells(boxed)
-    lead = spread.groupBy("view_id", "_gx", "_gy").agg(F.min(order).alias("_lead"))
-    leading = lookup_join(spread, lead, ["view_id", "_gx", "_gy"], "inner", spread=["id"], small=False)
-    leaders = leading.groupBy("view_id", "id").agg(F.min((F.col("_lead") == order).cast("int")).alias("_all")).filter("_all = 1").select("view_id", "id")
-    placed = boxed.join(leaders, ["view_id", "id"], "left_semi")
-    # A leader is the only one in its cells, so a cell has at most one blocking box.
-    blocks = _cells(placed).select(
-        "view_id", "_gx", "_gy", F.struct("_left", "_right", "_top", "_bottom").alias("_block")
-    )
-    hit = lookup_join(spread, blocks, ["view_id", "_gx", "_gy"], "left", spread=["id"], small=False)
-    b = F.col("_block")
-    apart = (
-        (F.col("_right") < b["_left"]) | (F.col("_left") > b["_right"]) | (F.col("_bottom") < b["_top"]) | (F.col("_top") > b["_bottom"])
-    )
-    touched = hit.groupBy("view_id", "id").agg(F.max(F.coalesce(~apart, F.lit(False)).cast("int")).alias("_hit")).filter("_hit = 0").select("view_id", "id")
-    return placed, boxed.join(touched, ["view_id", "id"], "left_semi")
-
-
-def _greedy(batches):
-    """Place labels of sorted views one by one; only placed boxes are kept, by grid cell."""
-    view, grid = None, {}
-    for batch in batches:
-        chosen = []
-        for row in batch.itertuples(index=False):
-            if row.view_id != view:
-                view, grid = row.view_id, {}
-            cells = [
-                (gx, gy)
-                for gx in range(int(row.left // CELL), int(row.right // CELL) + 1)
-                for gy in range(int(row.top // CELL), int(row.bottom // CELL) + 1)
-            ]
-            free = all(
-                row.right < o.left or row.left > o.right or row.bottom < o.top or row.top > o.bottom for c in cells for o in grid.get(c, ())
-            )
-            if free:
-                for c in cells:
-                    grid.setdefault(c, []).append(row)
-            chosen.append(free)
-        yield pd.DataFrame({"view_id": batch["view_id"][chosen], "id": batch["id"][chosen]})
-
-
-def thin(labels: DataFrame, rounds: int = 1) -> DataFrame:
-    """Labels that fit without overlap, placed greedily by rank, then name in locale order, then id.
-
-    labels: view_id, id, text, x, y, font_size, rank. Rounds of grid aggregates
-    settle most labels of crowded views in parallel; what stays open is placed in
-    rank order by one pass per view that streams its rows and holds placed boxes
-    only.
+def _in_cell(df: DataFrame, name: str) -> DataFrame:
+    """The labels of each grid cell as an array; callers bound their number."""
+    row = F.struct(F.struct(*_ORDER).alias("place"), "_left", "_right", "_top", "_bottom")
+    return df.groupBy(*_CELL).agg(F.collect_list(row).alias(name))
+
+
+def _settle(still_open: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round: (placed, still open).
+
+    A label is placed if no label that comes before it and is still open overlaps it.
+    That is known where all such labels of its cells are among the FIRST ones of these
+    cells; others wait. Labels that overlap a placed one are culled.
+    """
+    place = F.struct(*_ORDER)
+    spread = _cells(still_open)
+    first = Window.partitionBy(*_CELL).orderBy(*_ORDER)
+    heads = spread.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= FIRST)
+    heads = _in_cell(heads, "_heads")
+    seen = lookup_join(spread, heads, _CELL, "inner")
+    free = ~F.exists("_heads", lambda o: (o["place"] < place) & ~_apart(o))
+    known = (F.size("_heads") < FIRST) | (place <= F.array_max(F.transform("_heads", lambda o: o["place"])))
+    leads = seen.groupBy(*_KEY).agg(F.min((free & known).cast("int")).alias("_leads")).filter("_leads = 1").select(*_KEY)
+    placed = checkpoint(still_open.join(leads, _KEY, "left_semi"))
+    # Placed labels do not overlap, so a cell has room for a bounded number of them.
+    blocks = _in_cell(_cells(placed), "_blocks")
+    hit = lookup_join(spread, blocks, _CELL, "left")
+    overlapped = F.coalesce(F.exists("_blocks", lambda o: ~_apart(o)), F.lit(False))
+    rest = hit.groupBy(*_KEY).agg(F.max(overlapped.cast("int")).alias("_hit")).filter("_hit = 0").select(*_KEY)
+    return placed, checkpoint(still_open.join(rest, _KEY, "left_semi"))
+
+
+def thin(labels: DataFrame) -> DataFrame:
+    """Labels that fit without overlap, as if placed one by one by rank, then name in locale order, then id.
+
+    labels: view_id, id (one row for each pair), text, x, y, font_size, rank. Rounds
+    settle all views at once until no label is open: a label waits only for labels that
+    come before it and share a grid cell with it, and the first open one of a view
+    settles in any case. A crowded view is spread over its grid cells, never one task.
+    An empty table gives no rows.
     """
-    boxed = checkpoint(_boxed(labels).withColumns({"_rank": -F.col("rank"), "_text": F.collate("text", "id")}))
-    placed, still_open = None, boxed
-    for _ in range(rounds):
-        fixed, left_over = _settle(still_open)
-        still_open = checkpoint(left_over)
-        placed = fixed if placed is None else placed.unionByName(fixed)
-    fields = ["view_id", "id", F.col("_left").alias("left"), F.col("_right").alias("right"), F.col("_top").alias("top"), F.col("_bottom").alias("bottom"), *_ORDER[:2]]
-    queue = still_open.select(*fields).repartition("view_id").sortWithinPartitions("view_id", *_ORDER)
-    kinds = dict(labels.dtypes)
-    rest = queue.drop(*_ORDER[:2]).mapInPandas(_greedy, f"view_id {kinds['view_id']}, id {kinds['id']}")
-    chosen = rest if placed is None else placed.select("view_id", "id").unionByName(rest)
-    return boxed.join(chosen, ["view_id", "id"], "left_semi").select(*labels.columns)
+    still_open = checkpoint(_boxed(labels).withColumns({"_rank": -F.col("rank"), "_text": F.collate("text", "id")}))
+    chosen = still_open.limit(0).select(*labels.columns)
+    while not still_open.isEmpty():
+        placed, still_open = _settle(still_open)
+        chosen = chosen.unionByName(placed.select(*labels.columns))
+    return chosen

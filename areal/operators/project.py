@@ -5,9 +5,6 @@ projects: project_id, document (JSON text of a saved project).
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -213,49 +210,59 @@ def default_choices(df: DataFrame, choices: dict[str, list[str]] = SETTING_CHOIC
     )
 
 
-def _walk(value, depth: int, found: dict) -> None:
-    found["depth"] = max(found["depth"], depth)
-    if depth > LIMITS["depth"] or not isinstance(value, (dict, list)):
-        return
-    found["items"] = max(found["items"], len(value))
-    if isinstance(value, dict):
-        found["forbidden"] |= any(k in FORBIDDEN_KEYS for k in value)
-        value = value.values()
-    for item in value:
-        _walk(item, depth + 1, found)
+def _structure(value: Column) -> Column:
+    """struct<nodes, depth, items, forbidden> of a variant: its depth (to one more than allowed), the most entries
+    of one of its parts, and whether a key is forbidden. Level by level: nodes holds the parts of the next one."""
+
+    def keyed(node: Column) -> Column:
+        return F.try_variant_get(node, "$", "map<string,variant>")
 
+    def listed(node: Column) -> Column:
+        return F.coalesce(F.map_values(keyed(node)), F.try_variant_get(node, "$", "array<variant>"))
+
+    def deeper(found: Column, depth: Column) -> Column:
+        inside = F.filter(F.transform(found["nodes"], listed), lambda parts: parts.isNotNull())
+        keys = F.flatten(F.transform(found["nodes"], lambda node: F.coalesce(F.map_keys(keyed(node)), F.array().cast("array<string>"))))
+        return F.struct(
+            F.flatten(inside).alias("nodes"),
+            F.when(F.size(found["nodes"]) > 0, depth).otherwise(found["depth"]).alias("depth"),
+            F.greatest(found["items"], F.array_max(F.transform(inside, lambda parts: F.size(parts)))).alias("items"),
+            (found["forbidden"] | F.arrays_overlap(keys, F.array(*map(F.lit, FORBIDDEN_KEYS)))).alias("forbidden"),
+        )
 
-def _structure(documents: pd.Series) -> pd.DataFrame:
-    rows = []
-    for document in documents:
-        found = {"depth": 0, "items": 0, "forbidden": False}
-        try:
-            _walk(json.loads(document), 0, found)
-        except (TypeError, ValueError, RecursionError):
-            found["depth"] = -1
-        rows.append(found)
-    return pd.DataFrame(rows, columns=["depth", "items", "forbidden"])
+    start = F.struct(
+        F.array(value).alias("nodes"), F.lit(-1).alias("depth"), F.lit(0).alias("items"), F.lit(False).alias("forbidden")
+    )
+    levels = F.aggregate(F.sequence(F.lit(0), F.lit(LIMITS["depth"])), start, deeper)
+    last = F.when(F.size(levels["nodes"]) > 0, F.lit(LIMITS["depth"] + 1)).otherwise(levels["depth"])
+    return F.struct(last.alias("depth"), levels["items"].alias("items"), levels["forbidden"].alias("forbidden"))
 
 
 def _version() -> Column:
-    """Schema version read by a pattern, as nesting too deep for a parser must not hide it."""
-    return F.regexp_extract("document", r'"schemaVersion"\s*:\s*"([^"]*)"', 1)
+    """Schema version of a document's outermost object; where the text is no JSON, the first one that a pattern finds."""
+    found = F.variant_get("_tree", "$.schemaVersion", "variant")
+    said = F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get("_tree", "$.schemaVersion", "string"))
+    seen = F.regexp_extract("document", r'"schemaVersion"\s*:\s*"([^"]*)"', 1)
+    return F.when(F.col("_tree").isNull(), seen).otherwise(F.coalesce(said, F.lit("")))
 
 
 def document_checks(projects: DataFrame) -> DataFrame:
-    """(project_id, issues): safety verdict of each document, an array that is empty where it is fine."""
-    structure = F.pandas_udf(_structure, "depth int, items int, forbidden boolean")
-    checked = parse(projects).withColumn("_s", structure("document"))
-    sizes = F.from_json("document", "map<string,string>")
+    """(project_id, issues): safety verdict of each document, an array that is empty where it is fine.
+
+    A document that cannot be read as one JSON value, that nests beyond what the parser
+    takes, or that repeats a key within an object, is not-json; so is a null one.
+    """
+    read = parse(projects).withColumn("_tree", F.try_parse_json("document"))
+    checked = read.withColumn("_s", _structure(F.col("_tree")))
 
     def entries(name: str) -> Column:
-        return F.coalesce(
-            F.size(F.json_object_keys(F.element_at(sizes, name))), F.json_array_length(F.element_at(sizes, name)), F.lit(0)
-        )
+        part = f"$.{name}"
+        keyed = F.map_keys(F.try_variant_get("_tree", part, "map<string,variant>"))
+        return F.coalesce(F.size(keyed), F.size(F.try_variant_get("_tree", part, "array<variant>")), F.lit(0))
 
     styles = F.flatten(F.array(*[F.coalesce(F.map_values(f"doc.{n}"), F.array().cast("array<struct<color:string,category:string,value:string>>")) for n in SOURCES]))
     conditions = {
-        "not-json": F.col("_s.depth") < 0,
+        "not-json": F.col("_tree").isNull(),
         "too-deep": F.col("_s.depth") > LIMITS["depth"],
         "too-many-items": F.col("_s.items") > LIMITS["items"],
         "forbidden-key": F.col("_s.forbidden"),

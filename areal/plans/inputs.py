@@ -173,6 +173,8 @@ def oracle(sql: str) -> str:
     body = _NAME.sub(r"\1", sql).strip()
     if not ctes:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(ctes)}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {', '.join(ctes)}, {body[5:]}"
     return f"WITH {', '.join(ctes)} {body}"

@@ -8,11 +8,10 @@ after the closing quote is kept, an unclosed quote rejects the source.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areal.functions import text
-from areal.plans.sizing import checkpoint, lookup_join
 
 DELIMITERS = {"comma": ",", "semicolon": ";", "tab": "\t"}
 DETECTION_RECORDS = 20  # fixed value
@@ -59,15 +58,20 @@ def detect_delimiter(c) -> Column:
     """struct<delimiter, confidence, columns, consistency, score> of the best candidate."""
     bare = F.regexp_replace(normalize_newlines(c), rf'{_QUOTED}(?:"|\z)', "")
 
-    def counts(lines: Column, mark: str) -> Column:
-        found = F.transform(lines, lambda line: F.char_length(line) - F.char_length(F.replace(line, F.lit(mark), F.lit(""))) + 1)
-        return F.filter(found, lambda n: n > 1)
-
     def best_of(lines: Column) -> Column:
-        def scored(name: str, mark: str) -> Column:
-            return _with(counts(lines, mark), lambda n: _score(n, name))
+        def columns(mark: str) -> Column:
+            return F.transform(lines, lambda line: F.char_length(line) - F.char_length(F.replace(line, F.lit(mark), F.lit(""))) + 1)
+
+        return best_delimiter({name: columns(mark) for name, mark in DELIMITERS.items()})
+
+    return _with(F.slice(F.split(bare, "\n"), 1, DETECTION_RECORDS), best_of)
+
+
+def best_delimiter(columns: dict[str, Column]) -> Column:
+    """The best candidate, from the column counts that each delimiter gives the first records."""
 
-        return F.array_max(F.array(*[scored(*item) for item in DELIMITERS.items()]))
+    def scored(name: str) -> Column:
+        return _with(F.filter(columns[name], lambda n: n > 1), lambda n: _score(n, name))
 
     def described(best: Column) -> Column:
         confidence = (
@@ -81,7 +85,7 @@ def detect_delimiter(c) -> Column:
             best["score"].alias("score"),
         )
 
-    return _with(_with(F.slice(F.split(bare, "\n"), 1, DETECTION_RECORDS), best_of), described)
+    return _with(F.array_max(F.array(*[scored(name) for name in columns])), described)
 
 
 def _field(mark: str) -> str:
@@ -288,109 +292,18 @@ def read_files(spark: SparkSession, path: str, delimiter: str = "auto", budget:
     return summary, rows
 
 
-def read_large(spark: SparkSession, path: str, delimiter: str) -> tuple[DataFrame, DataFrame]:
-    """Parse files of any size in parallel, with the same quoting rules.
+def read_large(spark: SparkSession, path: str, delimiter: str = "auto", budget: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Parse files of any size in parallel, with the same rules; see lines.parse_lines.
 
-    Whether a line starts inside a quoted cell depends on all lines before it.
-    Every line is a map of the two states (outside, inside) to a state; the maps
-    are composed within file splits and then over the splits of a file, so no
-    task holds more than one split. Returns (rejected sources, rows).
+    A byte order mark counts only at the start of a file, where Spark's reader drops it.
     """
-    mark = DELIMITERS[delimiter]
-    closed, opened = rf"(?:{_field(mark)}{mark})*+", rf"{_QUOTED}\z"
-    lines = (
-        spark.read.text(path)
-        .withColumn("_meta", F.col("_metadata"))
-        .select(
-            F.col("_meta.file_path").alias("source_key"),
-            F.col("_meta.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_line"),
-            F.regexp_replace("value", "^﻿", "").alias("_value"),
-        )
-    )
-    outside = F.col("_value").rlike(rf"\A{closed}{opened}").cast("int")
-    inside = F.col("_value").rlike(rf'\A[^"]*+(?:""[^"]*+)*+(?:\z|"[^{mark}]*+{mark}{closed}{opened})').cast("int")
-    moved = lines.withColumns({"_out": outside, "_in": inside}).withColumns(
-        {
-            "_fixed": F.when(F.col("_out") == F.col("_in"), F.col("_out")),
-            "_swap": F.when(F.col("_out") > F.col("_in"), 1).otherwise(0),
-        }
-    )
-    so_far = Window.partitionBy("source_key", "_block").orderBy("_line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    moved = moved.withColumn("_parity", F.sum("_swap").over(so_far) % 2)
-    # State after a line, if a line up to here fixed it; else relative to the start of the split.
-    settled = F.last(F.when(F.col("_fixed").isNotNull(), F.col("_fixed").cast("bigint").bitwiseXOR(F.col("_parity"))), True).over(so_far)
-    moved = moved.withColumn("_settled", settled).withColumn("_after", F.col("_settled").bitwiseXOR(F.col("_parity")))
-
-    splits = moved.groupBy("source_key", "_block").agg(F.max_by(F.struct("_after", "_parity"), "_line").alias("_end"))
-    over_file = Window.partitionBy("source_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    free = F.when(F.col("_end._after").isNull(), F.col("_end._parity")).otherwise(0)
-    splits = splits.withColumn("_p", F.sum(free).over(over_file) % 2)
-    fixed = F.last(F.when(F.col("_end._after").isNotNull(), F.col("_end._after").bitwiseXOR(F.col("_p"))), True).over(over_file)
-    splits = splits.withColumn("_state", F.coalesce(fixed, F.lit(0)).bitwiseXOR(F.col("_p")))
-    by_block = Window.partitionBy("source_key").orderBy("_block")
-    splits = splits.select(
-        "source_key", "_block", F.coalesce(F.lag("_state").over(by_block), F.lit(0)).alias("_start"),
-        (F.last("_state").over(by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) == 1).alias("_unclosed"),
-    )
-    rejected = splits.filter("_unclosed").select("source_key", F.lit("unclosed-quote").alias("status")).distinct()
-
-    placed = lookup_join(moved, splits.filter("NOT _unclosed"), ["source_key", "_block"], "inner", spread=["_line"])
-    state = F.coalesce("_after", F.col("_start").bitwiseXOR(F.col("_parity")))
-    in_split = Window.partitionBy("source_key", "_block").orderBy("_line")
-    placed = placed.withColumn("_ends", state).withColumn("_begins", F.coalesce(F.lag("_ends").over(in_split), F.col("_start")))
-    placed = placed.withColumn("_record", F.sum((F.col("_begins") == 0).cast("int")).over(so_far))
-    # Read several times below: written once instead of composed again each time.
-    placed = checkpoint(placed.select("source_key", "_block", "_line", "_value", "_begins", "_ends", "_record"))
-    whole = placed.filter("_begins = 0 AND _ends = 0").select("source_key", "_block", "_line", "_value")
-    # Only lines of multi-line records are gathered, one group per record.
-    parts = placed.filter("NOT (_begins = 0 AND _ends = 0)")
-    numbered = _carry_over(parts, splits)
-    joined = numbered.groupBy("source_key", "_first_block", "_first_record").agg(
-        F.min("_line").alias("_line"), F.array_sort(F.collect_list(F.struct("_line", "_value"))).alias("_lines")
-    )
-    assembled = joined.select(
-        "source_key", F.col("_first_block").alias("_block"), "_line", F.array_join(F.transform("_lines", lambda x: x["_value"]), "\n").alias("_value")
-    )
-    # Most records show a plain character; only the others are cut into cells to see.
-    shown = F.col("_value").rlike(f'[^{text.SPACE}{mark}"]')
-    full = F.when(shown, True).otherwise(_not_blank(cells_of(F.col("_value"), F.lit(delimiter))))
-    records = whole.unionByName(assembled).filter(full)
-    within = F.row_number().over(in_split)
-    counts = records.groupBy("source_key", "_block").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("source_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("source_key", "_block", F.coalesce(before, F.lit(0)).alias("_before"))
-    ordered = lookup_join(
-        records.withColumn("_place", within), offsets, ["source_key", "_block"], "inner", spread=["_line"]
-    ).withColumn("row_number", (F.col("_place") + F.col("_before")).cast("int"))
-    first_cells = cells_of(F.col("_value"), F.lit(delimiter))
-    headers = ordered.filter("row_number = 1").select("source_key", unique_names(first_cells).alias("headers"))
-    rows = lookup_join(ordered.filter("row_number > 1"), headers, ["source_key"], "inner", spread=["_line"])
-    rows = rows.withColumn("_items", cells_of(F.col("_value"), F.lit(delimiter)))
-    keyed = rows.withColumn("source_id", F.concat(F.lit("src_"), F.substring(text.row_key("source_key"), 1, 16)))
-    row_id = F.concat(F.lit("row_"), F.substring(text.row_key("source_id", "row_number", "_value"), 1, 32))
-    return rejected, _finish_rows(keyed, row_id)
-
-
-def _carry_over(parts: DataFrame, splits: DataFrame) -> DataFrame:
-    """Key of the record a line belongs to: the split and record number of its first line.
-
-    A record may run over several splits; the split it began in is the last one
-    before that holds the beginning of a multi-line record.
-    """
-    begins = parts.filter("_begins = 0").groupBy("source_key", "_block").agg(F.max("_record").alias("_last_record"))
-    over = Window.partitionBy("source_key").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        splits.filter("NOT _unclosed")
-        .join(begins, ["source_key", "_block"], "left")
-        .withColumn("_open", F.last(F.when(F.col("_last_record").isNotNull(), F.struct("_block", "_last_record")), True).over(over))
-        .select("source_key", "_block", "_open")
-    )
-    linked = lookup_join(parts, carried, ["source_key", "_block"], "left", spread=["_line"])
-    own = F.col("_record") > 0
-    return linked.withColumns(
-        {
-            "_first_block": F.when(own, F.col("_block")).otherwise(F.col("_open._block")),
-            "_first_record": F.when(own, F.col("_record")).otherwise(F.col("_open._last_record")),
-        }
+    from areal.sources.lines import parse_lines
+
+    found = spark.read.text(path).withColumn("_meta", F.col("_metadata"))
+    lines = found.select(
+        F.col("_meta.file_path").alias("source_key"),
+        F.col("_meta.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+        "value",
     )
+    return parse_lines(lines, delimiter, budget, byte_order_marks=False)
