@@ -123,7 +123,7 @@ _RING = """SELECT line_id, x, y, row_number() OVER (PARTITION BY line_id ORDER B
     UNION ALL SELECT line_id, min(x), arg_min(y, x), count(*) FROM {ring_points} GROUP BY 1"""
 inputs.DERIVED["ring_points"] = "SELECT CAST(CAST(floor(o_orderkey / 200) AS BIGINT) AS STRING) AS line_id, o_orderkey % 1000 / CAST(100 AS DOUBLE) AS x, round(sin(o_orderkey % 1000 / CAST(100 AS DOUBLE)) * 0.02, 9) AS y FROM {orders}"
 # Three long lines; each holds a third of all vertices.
-inputs.DERIVED["line_points"] = "SELECT o_orderkey % 3 AS line_id, o_orderkey AS place, o_orderkey / CAST(1000 AS DOUBLE) AS x, (o_orderkey % 700 - 350) * (o_orderkey % 700 - 350) / CAST(400000 AS DOUBLE) + o_orderkey % 5 / CAST(500 AS DOUBLE) AS y FROM {orders}"
+inputs.DERIVED["line_points"] = "SELECT o_orderkey % 3 AS line_id, o_orderkey AS place, o_orderkey / CAST(1000 AS DOUBLE) AS x, sqrt(CAST(o_orderkey AS DOUBLE)) / 10 + o_orderkey % 5 / CAST(500 AS DOUBLE) AS y FROM {orders}"
 
 
 @query("g12_simplify_rings", _kept(_RING) + " SELECT line_id AS region_id, CAST(count(*) AS INTEGER) AS vertices FROM result GROUP BY 1")

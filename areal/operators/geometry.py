@@ -216,9 +216,10 @@ def simplify_vertices(vertex_rows: DataFrame, keys: list[str], tolerance: float
     earliest one of several. Each round takes all open spans of all rings at once: the
     farthest vertex of a span, the earliest of several, splits it if it lies beyond the
     tolerance, else the span is done and its vertices leave the table. So a ring of any
-    length is spread over tasks, and rounds are as many as spans are nested. Rings that
-    would keep fewer than four vertices keep all. Keys must tell rings apart; an empty
-    table gives no rows.
+    length is spread over tasks. Rounds are as many as spans are nested: some logarithm
+    of the kept vertices, but up to one for each peak of a line of equal peaks. Rings
+    that would keep fewer than four vertices keep all. Keys must tell rings apart; an
+    empty table gives no rows.
     """
     point = F.struct("x", "y")
     rows = checkpoint(vertex_rows.select(*keys, F.col("pos").cast("bigint").alias("pos"), "x", "y"))
