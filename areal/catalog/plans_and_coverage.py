@@ -17,7 +17,8 @@ UNION ALL SELECT 'current', concat('B', CAST(n_nationkey AS STRING), '-y'), 'bra
 UNION ALL SELECT 'current', concat('T', CAST(s_suppkey AS STRING)), 'territory', s_name, CASE WHEN s_acctbal < -500 THEN 'B99-x' ELSE concat('B', CAST(s_nationkey AS STRING), '-', CASE WHEN s_acctbal > 4000 THEN 'x' ELSE 'y' END) END, CASE WHEN s_acctbal > 9000 THEN 'archived' ELSE 'active' END FROM {supplier}
 UNION ALL SELECT 'current', concat('T', CAST(s_suppkey AS STRING)), 'territory', concat(s_name, ' twin'), concat('B', CAST(s_nationkey AS STRING), '-x'), 'active' FROM {supplier} WHERE s_acctbal > 9500
 UNION ALL SELECT 'loop', concat('L', CAST(r_regionkey AS STRING)), 'area', concat('left ', r_name), concat('M', CAST(r_regionkey AS STRING)), 'active' FROM {region}
-UNION ALL SELECT 'loop', concat('M', CAST(r_regionkey AS STRING)), 'branch', concat('right ', r_name), concat('L', CAST(r_regionkey AS STRING)), 'active' FROM {region}"""
+UNION ALL SELECT 'loop', concat('M', CAST(r_regionkey AS STRING)), 'branch', concat('right ', r_name), concat('L', CAST(r_regionkey AS STRING)), 'active' FROM {region}
+UNION ALL SELECT 'deep', concat('D', CAST(n_nationkey AS STRING)), 'territory', concat('deep ', n_name), CASE WHEN n_nationkey = 0 THEN '' ELSE concat('D', CAST(n_nationkey - 1 AS STRING)) END, 'active' FROM {nation}"""
 
 # A customer is a region; its leaf is a supplier of the same number range.
 inputs.DERIVED["placements"] = """
@@ -32,17 +33,16 @@ FROM {orders} WHERE o_totalprice > 400000"""
 
 @query(
     "t1_hierarchy_validation",
-    """WITH n AS (SELECT * FROM {nodes}), p AS (SELECT scenario_id, id, any_value(level) AS level, any_value(parent_id) AS parent_id FROM n GROUP BY 1, 2),
+    """WITH RECURSIVE n AS (SELECT * FROM {nodes}), p AS (SELECT scenario_id, id, any_value(level) AS level, any_value(parent_id) AS parent_id FROM n GROUP BY 1, 2),
     r AS (SELECT 'salesRegion' AS level, 0 AS k UNION ALL SELECT 'area', 1 UNION ALL SELECT 'branch', 2 UNION ALL SELECT 'territory', 3),
     j AS (SELECT n.*, p.level AS pl, r.k, q.k AS pk FROM n JOIN r ON r.level = n.level LEFT JOIN p ON p.scenario_id = n.scenario_id AND p.id = n.parent_id LEFT JOIN r q ON q.level = p.level),
-    c1 AS (SELECT scenario_id, id, parent_id AS a FROM n), c2 AS (SELECT c.scenario_id, c.id, p.parent_id AS a FROM c1 c JOIN p ON p.scenario_id = c.scenario_id AND p.id = c.a),
-    c3 AS (SELECT c.scenario_id, c.id, p.parent_id AS a FROM c2 c JOIN p ON p.scenario_id = c.scenario_id AND p.id = c.a), c4 AS (SELECT c.scenario_id, c.id, p.parent_id AS a FROM c3 c JOIN p ON p.scenario_id = c.scenario_id AND p.id = c.a),
-    c5 AS (SELECT c.scenario_id, c.id, p.parent_id AS a FROM c4 c JOIN p ON p.scenario_id = c.scenario_id AND p.id = c.a), c6 AS (SELECT c.scenario_id, c.id, p.parent_id AS a FROM c5 c JOIN p ON p.scenario_id = c.scenario_id AND p.id = c.a),
+    up AS (SELECT scenario_id, id, parent_id AS a, 1 AS k FROM n UNION ALL SELECT u.scenario_id, u.id, p.parent_id, k + 1 FROM up u JOIN p ON p.scenario_id = u.scenario_id AND p.id = u.a WHERE k < 60),
+    chain AS (SELECT scenario_id, id, max(k) AS k FROM up WHERE a <> '' GROUP BY 1, 2),
     s AS (SELECT scenario_id, id, parent_id, upper(trim(regexp_replace(strip_accents(display_name), '\\s+', ' ', 'g'))) AS nm FROM n WHERE status = 'active')
     SELECT DISTINCT * FROM (SELECT scenario_id, id, 'duplicate-id' AS issue FROM n GROUP BY 1, 2 HAVING count(*) > 1
     UNION ALL SELECT scenario_id, id, 'orphan' FROM j WHERE parent_id <> '' AND pl IS NULL
     UNION ALL SELECT scenario_id, id, 'illegal-parent' FROM j WHERE (parent_id <> '' AND pk IS NOT NULL AND pk <> k - 1) OR ((k = 0) = (parent_id <> ''))
-    UNION ALL SELECT scenario_id, id, 'cycle' FROM c6 WHERE a <> ''
+    UNION ALL SELECT scenario_id, id, CASE WHEN k = 60 THEN 'cycle' ELSE 'too-deep' END FROM chain WHERE k > 5
     UNION ALL SELECT s.scenario_id, s.id, 'name-collision' FROM s JOIN (SELECT scenario_id, parent_id, nm FROM s GROUP BY ALL HAVING count(*) > 1) d USING (scenario_id, parent_id, nm))""",
 )
 def t1(t):

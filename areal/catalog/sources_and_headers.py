@@ -146,6 +146,28 @@ def s7(t):
     return report.select("source_id", "rows", "cells", "cell_length", "accepted")
 
 
+# Every limit of a budget; sources differ in each of them.
+@query(
+    "s7_all_limits",
+    """SELECT source_id, rows, columns, cells, cell_length, bytes, sheets, concat_ws(',', CASE WHEN bytes > 60 THEN 'bytes' END, CASE WHEN cell_length > 18 THEN 'cell_length' END, CASE WHEN cells > 16 THEN 'cells' END,
+       CASE WHEN columns > 2 THEN 'columns' END, CASE WHEN rows > 5 THEN 'rows' END, CASE WHEN sheets > 1 THEN 'sheets' END) AS exceeded
+       FROM (SELECT CAST(source_id AS VARCHAR) AS source_id, count(*) AS rows, CAST(max(CASE WHEN source_id % 5 = 0 THEN 3 ELSE 2 END) AS INTEGER) AS columns, count(*) * max(CASE WHEN source_id % 5 = 0 THEN 3 ELSE 2 END) AS cells,
+        CAST(max(greatest(length(region_name), length(numeric_value), CASE WHEN source_id % 5 = 0 THEN length(period) ELSE 0 END)) AS INTEGER) AS cell_length,
+        CAST(sum(strlen(region_name) + strlen(numeric_value) + CASE WHEN source_id % 5 = 0 THEN strlen(period) ELSE 0 END) AS BIGINT) AS bytes, count(DISTINCT CASE WHEN source_id % 7 = 0 THEN period ELSE '' END) AS sheets
+        FROM {messy} GROUP BY 1)""",
+)
+def s7_all(t):
+    two = F.create_map(F.lit("n"), "region_name", F.lit("v"), "numeric_value")
+    three = F.create_map(F.lit("n"), "region_name", F.lit("v"), "numeric_value", F.lit("p"), "period")
+    rows = t.messy.select(
+        F.col("source_id").cast("string").alias("source_id"),
+        F.when(F.col("source_id") % 5 == 0, three).otherwise(two).alias("cells"),
+        F.when(F.col("source_id") % 7 == 0, F.col("period")).otherwise("").alias("sheet"),
+    )
+    report = delimited.budget_report(rows, {"rows": 5, "columns": 2, "cells": 16, "cell_length": 18, "bytes": 60, "sheets": 1})
+    return report.select("source_id", "rows", "columns", "cells", "cell_length", "bytes", "sheets", F.array_join("exceeded", ",").alias("exceeded"))
+
+
 @query("s12_strict_rows", f"SELECT source_key, count(*) AS rows FROM {_ROWS} WHERE NOT mismatch GROUP BY 1")
 def s12(t):
     _, rows = delimited.parse(_texts(t))

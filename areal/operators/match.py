@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from areal.functions import number, text
 from areal.operators import registry
 from areal.operators.registry import INDEX_VERSION, REGISTRY_VERSION, TIERS
-from areal.plans.sizing import lookup_join
+from areal.plans.sizing import is_small, lookup_join
 
 ROLE_COLUMNS = ["region_code", "region_name", "province", "numeric_value", "category", "source", "period", "color"]
 
@@ -71,16 +71,13 @@ def row_keys(rows: DataFrame) -> DataFrame:
 
 
 def _best_by_broadcast(keyed: DataFrame, index: DataFrame) -> DataFrame:
-    """Index small: one broadcast join per tier, the rows never shuffle."""
-    lookup = index.select(
-        F.concat(F.col("tier"), F.lit("|"), F.col("key")).alias("_lookup"),
-        F.struct("n_candidates", "candidates").alias("_hit"),
-    )
+    """Index small: one broadcast join per tier, each with the tier's own part; the rows never shuffle."""
     found = keyed
     for tier in TIERS:
-        side = F.broadcast(lookup.withColumnsRenamed({"_lookup": f"_l{tier}", "_hit": f"_h{tier}"}))
-        own = F.concat(F.lit(f"{tier}|"), F.col(f"k{tier}"))
-        found = found.join(side, own == F.col(f"_l{tier}"), "left").drop(f"_l{tier}")
+        own = index.filter(F.col("tier") == tier).select(
+            F.col("key").alias(f"_l{tier}"), F.struct("n_candidates", "candidates").alias(f"_h{tier}")
+        )
+        found = found.join(F.broadcast(own), F.col(f"k{tier}") == F.col(f"_l{tier}"), "left").drop(f"_l{tier}")
     best = F.coalesce(
         *[
             F.when(
@@ -151,6 +148,7 @@ def match_rows(
     on_duplicate: str = "flag",
     registry_version: str = REGISTRY_VERSION,
     small: bool | None = None,
+    index: DataFrame | None = None,
 ) -> DataFrame:
     """Match every row to at most one region.
 
@@ -161,14 +159,19 @@ def match_rows(
 
     on_duplicate='flag' turns every row of a region that several rows share into
     duplicate-target; 'aggregate' leaves them matched, for metrics that are
-    rolled up later. small overrides the measured choice of join strategy.
+    rolled up later. small overrides the measured choice of join strategy. index is a
+    lookup index prepared from the same regions (registry.lookup_index of build_keys);
+    without one it is written here. With index and small no job runs while this plans.
     """
     described = registry.records(regions)
     prepared = _with_roles(rows)
     if mode == "permissive":
         return _permissive(prepared, regions, on_duplicate)
-    index, measured = registry.shared_index(regions)
-    small = measured if small is None else small
+    if index is None:
+        index, measured = registry.shared_index(regions)
+        small = measured if small is None else small
+    elif small is None:
+        small = is_small(index)
     keyed = row_keys(prepared)
     best = _best_by_broadcast(keyed, index) if small else _best_by_shuffle(keyed, index)
     decisions = _decisions(resolutions, described, registry_version, small)

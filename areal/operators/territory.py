@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from areal.functions import text
-from areal.plans.sizing import is_small, lookup_join
+from areal.plans.sizing import checkpoint, is_small, lookup_join
 
 LEVELS = ["salesRegion", "area", "branch", "territory"]  # fixed values, top first
 RINGS = ["core", "greater", "unassigned"]  # fixed values
@@ -23,10 +23,10 @@ def _rank(level) -> Column:
 
 
 def validate(nodes: DataFrame, small: bool | None = None) -> DataFrame:
-    """(scenario_id, id, issue): duplicate-id, orphan, illegal-parent, cycle, name-collision.
+    """(scenario_id, id, issue): duplicate-id, orphan, illegal-parent, cycle, too-deep, name-collision.
 
-    Levels have a fixed depth of four, so a chain that has not ended after four
-    steps is a cycle.
+    Levels have a fixed depth of four. A chain that has not ended after as many steps
+    is a cycle if it never ends, and too deep otherwise.
     """
     keys = ["scenario_id", "id"]
     repeated = nodes.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1").select(*keys, F.lit("duplicate-id").alias("issue"))
@@ -45,13 +45,36 @@ def validate(nodes: DataFrame, small: bool | None = None) -> DataFrame:
     step = parents.select("scenario_id", F.col("parent_id").alias("_at"), F.col("_next").alias("_up"))
     for _ in LEVELS:
         climbing = lookup_join(climbing, step, ["scenario_id", "_at"], "inner", spread=["id"], small=small).select(*keys, F.col("_up").alias("_at"))
-    cycle = climbing.filter(text.text_of("_at") != "").select(*keys, F.lit("cycle").alias("issue"))
+    long = checkpoint(climbing.filter(text.text_of("_at") != "").select(*keys).distinct())
+    endless = _endless(step.withColumnsRenamed({"_at": "id", "_up": "_at"}), long)
+    cycle = long.join(endless, keys, "left_semi").select(*keys, F.lit("cycle").alias("issue"))
+    deep = long.join(endless, keys, "left_anti").select(*keys, F.lit("too-deep").alias("issue"))
     active = nodes.filter("status = 'active'").withColumn("_name", text.normalize_category("display_name"))
     siblings = ["scenario_id", "parent_id", "_name"]
     named = active.withColumn("parent_id", text.text_of("parent_id"))
     crowded = named.groupBy(*siblings).agg(F.count("*").alias("_n")).filter("_n > 1").select(*siblings)
     collision = lookup_join(named, crowded, siblings, "left_semi", spread=["id"], small=small).select(*keys, F.lit("name-collision").alias("issue"))
-    return repeated.unionByName(orphan).unionByName(illegal).unionByName(cycle).unionByName(collision).distinct()
+    every = repeated.unionByName(orphan).unionByName(illegal).unionByName(cycle).unionByName(deep).unionByName(collision)
+    return every.distinct()
+
+
+def _endless(step: DataFrame, long: DataFrame) -> DataFrame:
+    """(scenario_id, id) of the nodes whose chain of parents never ends; step: (scenario_id, id, _at), _at the parent.
+
+    Each round doubles the steps of a jump; only nodes with chains that long stay. Once
+    none goes, all that are left go round: the ancestors of a node with a finite chain
+    have every shorter one.
+    """
+    keys = ["scenario_id", "id"]
+    if long.isEmpty():
+        return long
+    jumps, left = checkpoint(step.filter(text.text_of("_at") != "")), None
+    while True:
+        ahead = jumps.select("scenario_id", F.col("id").alias("_at"), F.col("_at").alias("_next"))
+        jumps = checkpoint(lookup_join(jumps, ahead, ["scenario_id", "_at"], "inner").select(*keys, F.col("_next").alias("_at")))
+        before, left = left, jumps.count()
+        if left in (0, before):
+            return jumps.select(*keys)
 
 
 def paths(nodes: DataFrame, assignments: DataFrame) -> DataFrame:

@@ -249,10 +249,12 @@ def route(files: DataFrame) -> DataFrame:
 
 
 def budget_report(rows: DataFrame, limits: dict = REFERENCE_BUDGET) -> DataFrame:
-    """Per source: counts against limits, for rows that carry a cells map."""
+    """Per source: counts against limits, for rows that carry a cells map; sheets where rows carry a sheet."""
     longest = F.array_max(F.transform(F.map_values("cells"), lambda c: F.char_length(c)))
     size = F.aggregate(F.map_values("cells"), F.lit(0).cast("bigint"), lambda n, c: n + F.octet_length(c))
+    sheets = [F.count_distinct("sheet").alias("sheets")] if "sheet" in rows.columns else []
     counted = rows.groupBy("source_id").agg(
+        *sheets,
         F.count("*").alias("rows"),
         F.max(F.size("cells")).alias("columns"),
         F.sum(size).alias("bytes"),

@@ -1,6 +1,8 @@
 """Saved projects, document checks, streaming use and plan shapes."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +81,40 @@ def test_token_positions(spark):
     assert found == [(1, 4, "foo"), (2, 1, "foo"), (2, 4, "foo"), (2, 10, "foo")]
 
 
+def test_token_positions_of_a_line_with_many_hits(spark):
+    rng = random.Random(5)
+    words = [rng.choice(["foo", "a", "éé", "foofoo", ""]) for _ in range(3000)]
+    line = " ".join(words)
+    docs = spark.createDataFrame([(1, line), (2, None), (3, "")], "d int, t string")
+    found = sorted((r.column, r.match) for r in audit.tokens(docs, "d", "t", {"c": "foo"}).collect())
+    assert found == [(m.start() + 1, "foo") for m in re.finditer("foo", line)]
+
+
+def test_a_prepared_index_needs_no_job(spark):
+    from areal.operators import match, registry
+
+    tables = contract.catalog.registered.Tables(spark, SF_DIR)
+    rows, regions = tables.messy, tables.regions
+    index, _ = registry.shared_index(regions)
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    prepared = match.match_rows(rows, regions, small=True, index=index)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == before
+    key = lambda df: sorted(map(tuple, df.select("row_id", "status", "region_id", "match_key").fillna("").collect()))
+    assert key(prepared) == key(match.match_rows(rows, regions))
+
+
+def test_chains_of_parents(spark):
+    from areal.operators import territory
+
+    rows = [("s", f"d{i}", "territory", f"n{i}", f"d{i - 1}" if i else "", "active") for i in range(40)]
+    rows += [("s", f"c{i}", "territory", f"m{i}", f"c{(i + 1) % 7}", "active") for i in range(7)]
+    rows += [("s", "tail", "territory", "t", "c0", "active"), ("s", "own", "territory", "o", "own", "active"), ("t", "d9", "area", "x", None, "active")]
+    nodes = spark.createDataFrame(rows, "scenario_id string, id string, level string, display_name string, parent_id string, status string")
+    issues = {(r.issue, r.scenario_id, r.id) for r in territory.validate(nodes).collect()}
+    assert {i[2] for i in issues if i[0] == "cycle"} == {*(f"c{i}" for i in range(7)), "tail", "own"}
+    assert {i[1:] for i in issues if i[0] == "too-deep"} == {("s", f"d{i}") for i in range(6, 40)}
+
+
 def test_row_functions_run_on_streams(spark):
     customers = spark.read.parquet(f"{SF_DIR}/customer.parquet")
     stream = spark.readStream.schema(customers.schema).parquet(f"{SF_DIR}/customer.parque[t]")
