@@ -333,6 +333,10 @@ class Codec:
         self.packed = [i.to_bytes(4, "little") for i in range(size)]
         self.pieces, self.known = Recent(KNOWN_PIECES), Recent(KNOWN_PRETOKENS)
 
+    def forget(self) -> None:
+        """Give back the memory of what was remembered; a worker lives on after its task."""
+        self.pieces, self.known, self.transducer.fits = Recent(KNOWN_PIECES), Recent(KNOWN_PRETOKENS), Recent(KNOWN_PAIRS)
+
     def _pretoken(self, pretoken: str) -> bytes:
         """Ids of a pretoken as little-endian 32-bit numbers."""
         if (ids := self.known.again(pretoken)) is not None:
@@ -428,6 +432,7 @@ def encode_of(docs: DataFrame, path: str, text: str = "text") -> Column:
         codec = _codec(shared)
         for batch in batches:
             yield batch.map(codec.encode)
+        codec.forget()
 
     return rows(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
@@ -457,5 +462,6 @@ def round_trip_of(docs: DataFrame, path: str, text: str = "text") -> Column:
             for part in portions(texts):
                 ids = [codec.encode(t) for t in texts[part]]
                 yield pd.DataFrame({"ids": ids, "text": [codec.decode(i) for i in ids]})
+        codec.forget()
 
     return rows(F.coalesce(F.col(f"`{text}`"), F.lit("")))
