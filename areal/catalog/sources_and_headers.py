@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -317,11 +317,31 @@ def a7(t):
     return features.property_names(features.parse(_collections(t)))
 
 
+def _stored_cells(t: Tables):
+    code = F.concat(F.lit("P"), F.substring("province_name", 1, 1)).alias("province_code")
+    return shaped(t).select("region_id", code, "province_name", "polygons")
+
+
+# The store is written; then one province is replaced and one added, past the index.
+@query(
+    "k5_verified_store",
+    """SELECT concat('P', substr(province_name, 1, 1)) AS province_code, count(*) FILTER (substr(province_name, 1, 1) <> '3' OR x % 2 = 0) AS features, CASE substr(province_name, 1, 1) WHEN '3' THEN 'changed' ELSE 'ok' END AS status FROM {cells} GROUP BY ALL
+    UNION ALL SELECT 'P9', count(*), 'unlisted' FROM {cells} WHERE substr(province_name, 1, 1) = '2'""",
+)
+def k5_store(t):
+    folder = f"{shared_folder(t.spark)}/verified-{zlib.crc32(t.sf_dir.encode())}"
+    cells = _stored_cells(t).drop("province_name")
+    geometry.write_partitioned(cells, folder)
+    half = cells.filter("province_code = 'P3' AND polygons[0][0][0].x % 2 = 0")
+    extra = cells.filter("province_code = 'P2'").withColumn("province_code", F.lit("P9"))
+    half.unionByName(extra).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("province_code").parquet(folder)
+    return geometry.verify_partitions(t.spark, folder)
+
+
 @query("s10_province_scan", "SELECT region_id FROM {cells} WHERE province_name = '5-LOW'")
 def s10(t):
-    code = F.concat(F.lit("P"), F.substring("province_name", 1, 1)).alias("province_code")
-    cells = shaped(t).select("region_id", code, "province_name", "polygons")
-    folder = f"{shared_folder(t.spark)}/provinces-{uuid.uuid4()}"
+    cells = _stored_cells(t)
+    folder = f"{shared_folder(t.spark)}/provinces-{zlib.crc32(t.sf_dir.encode())}"
     geometry.write_partitioned(cells.drop("province_name"), folder)
     provinces = cells.select("province_code", "province_name").distinct()
     return geometry.read_province(t.spark, folder, "5-LOW", provinces).select("region_id")

@@ -450,20 +450,52 @@ def strict_detail(base: DataFrame, detail: DataFrame) -> tuple[DataFrame, DataFr
     return joined.filter("region_id IS NOT NULL"), joined.filter("region_id IS NULL")
 
 
+#: Regions of a file of the partition store.
+FILE_REGIONS = 20_000
+
+
 def write_partitioned(df: DataFrame, path_: str) -> None:
-    """One folder per province; a reader that names a province opens that folder only."""
-    df.repartition("province_code", F.pmod(F.xxhash64("region_id"), F.lit(32))).write.mode("overwrite").partitionBy(
-        "province_code"
-    ).parquet(path_)
+    """One folder per province, and an index of the provinces beside them.
+
+    Only the provinces that df holds are replaced. A province has as many files as its
+    regions need, so a large one is written by many tasks and a small one is one file.
+    """
+    index = checkpoint(partition_index(df))
+    files = index.select("province_code", F.ceil(F.col("features") / FILE_REGIONS).cast("int").alias("_files"))
+    dealt = df.join(files, df["province_code"].eqNullSafe(files["province_code"])).drop(files["province_code"])
+    dealt = dealt.withColumn("_file", F.pmod(F.xxhash64("region_id"), F.col("_files"))).drop("_files")
+    for rows, folder in ((dealt.repartition("province_code", "_file").drop("_file"), path_), (index, f"{path_}/_index")):
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("province_code").parquet(folder)
 
 
 def read_province(spark: SparkSession, path_: str, province: str, provinces: DataFrame | None = None) -> DataFrame:
-    """One province by code, or by name through (province_code, province_name)."""
-    code = province
-    if provinces is not None:
-        hit = provinces.filter((F.col("province_code") == province) | (F.col("province_name") == province)).select("province_code").first()
-        code = hit[0] if hit else province
-    return spark.read.parquet(path_).filter(F.col("province_code") == code)
+    """One province by code, or by name through (province_code, province_name).
+
+    A name is looked up by a join: its codes are known at run time and prune the folders
+    then, so no job runs while this plans. A text that is no name or code of provinces
+    counts as a code.
+    """
+    stored = spark.read.parquet(path_)
+    if provinces is None:
+        return stored.filter(F.col("province_code") == province)
+    wanted = (F.col("province_code") == province) | (F.col("province_name") == province)
+    # the codes of one name
+    codes = provinces.filter(wanted).groupBy().agg(F.collect_set("province_code").alias("_codes"))
+    codes = codes.select(F.explode(F.when(F.size("_codes") > 0, F.col("_codes")).otherwise(F.array(F.lit(province)))).alias("province_code"))
+    return stored.join(F.broadcast(codes), "province_code", "left_semi")
+
+
+def verify_partitions(spark: SparkSession, path_: str) -> DataFrame:
+    """(province_code, features, status) of a store read back: ok, changed, missing or unlisted, against its index."""
+    listed = spark.read.parquet(f"{path_}/_index").select(
+        F.col("province_code").cast("string").alias("_code"), F.col("features").alias("_listed"), F.col("fingerprint").alias("_print")
+    )
+    stored = spark.read.parquet(path_).withColumn("province_code", F.col("province_code").cast("string"))
+    both = partition_index(stored).join(listed, F.col("province_code").eqNullSafe(F.col("_code")), "full_outer")
+    same = (F.col("features") == F.col("_listed")) & (F.col("fingerprint") == F.col("_print"))
+    status = F.when(F.col("features").isNull(), "missing").when(F.col("_listed").isNull(), "unlisted").when(same, "ok").otherwise("changed")
+    return both.select(F.coalesce("province_code", "_code").alias("province_code"), F.coalesce("features", F.lit(0)).alias("features"), status.alias("status"))
 
 
 def partition_index(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import shutil
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -125,8 +126,38 @@ def test_feature_collection_and_partition_pruning(spark, tmp_path):
 
 
 def test_province_query_reads_one_written_partition(spark):
-    plan = QUERIES["s10_province_scan"](spark, SF_DIR)._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(province_code" in plan and "(province_code" in plan and "= P5)" in plan
+    df = QUERIES["s10_province_scan"](spark, SF_DIR)
+    assert "dynamicpruning" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().executedPlan().plan().collectLeaves()
+    scans = [leaves.apply(i) for i in range(leaves.size())]
+    read = [s.metrics().apply("numPartitions").value() for s in scans if "province_code" in s.simpleString(100) and "Scan parquet" in s.nodeName()]
+    assert read == [1]
+
+
+def test_partition_store_replaces_and_verifies(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(geometry, "FILE_REGIONS", 10)
+    path = str(tmp_path / "store")
+    square = [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]]]
+    rows = [(f"r{i}", "11" if i < 60 else "1x", square) for i in range(63)]
+    schema = f"region_id string, province_code string, polygons {geometry.GEOMETRY_TYPE}"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        geometry.write_partitioned(spark.createDataFrame(rows, schema), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = {p.parent.name: len(list(p.parent.glob("*.parquet"))) for p in (tmp_path / "store").glob("province_code=*/*.parquet")}
+    assert files["province_code=1x"] == 1 and 1 < files["province_code=11"] <= 6
+    state = lambda: {r.province_code: (r.features, r.status) for r in geometry.verify_partitions(spark, path).collect()}
+    assert state() == {"11": (60, "ok"), "1x": (3, "ok")}
+    geometry.write_partitioned(spark.createDataFrame([("new", "1x", square)], schema), path)
+    assert state() == {"11": (60, "ok"), "1x": (1, "ok")}
+    shutil.rmtree(tmp_path / "store" / "province_code=11")
+    assert state() == {"11": (0, "missing"), "1x": (1, "ok")}
+    names = spark.createDataFrame([("1x", "One"), ("11", "Eleven")], "province_code string, province_name string")
+    for wanted in ("One", "1x"):
+        assert [r.region_id for r in geometry.read_province(spark, path, wanted, names).collect()] == ["new"]
+    assert geometry.read_province(spark, path, "nowhere", names).collect() == []
 
 
 def test_written_registry_reads_back(spark, tmp_path):
