@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from areal.catalog.registered import query
 from areal.catalog.scalars import sql_coerce, sql_format
 from areal.functions import number
-from areal.operators import classify, legend
+from areal.operators import classify, legend, sketches
 from areal.plans import inputs
-from areal.plans.sizing import lookup_join, values_at
+from areal.plans.sizing import literal_table, lookup_join, shared_folder, values_at
 
 inputs.DERIVED["usable"] = f"""SELECT *, {sql_coerce('numeric_value')} AS value,
   CASE WHEN trim(category) = '' THEN 'TANPA KATEGORI' ELSE upper(trim(category)) END AS cat
@@ -86,6 +88,26 @@ def c4(t):
     return _assigned(classify.classify(t.valued, "quantile", classes=7, palette_name="amber", reverse=True))
 
 
+# One sketch per month is stored; breaks over all months come from the merged ones.
+@query(
+    "c4_quantile_sketch",
+    """WITH s AS (SELECT list(o_totalprice ORDER BY o_totalprice) AS v, count(*) AS n FROM {orders}) SELECT CAST(i AS INTEGER) AS break, v[CAST(least(n, ceil(i * n / 7)) AS BIGINT)] AS exact, TRUE AS within_error FROM s, (SELECT unnest(range(1, 7)) AS i)""",
+)
+def c4_sketch(t):
+    by_month = sketches.build(t.orders.withColumn("month", F.date_format("o_orderdate", "yyyy-MM")), ["month"], "o_totalprice")
+    folder = f"{shared_folder(t.spark)}/sketches-{zlib.crc32(t.sf_dir.encode())}"
+    by_month.write.mode("overwrite").parquet(folder)
+    stored = t.spark.read.parquet(folder)
+    near, exact = sketches.breaks(stored, 7), sketches.exact_breaks(t.orders, "o_totalprice", stored, 7)
+    # the ranks that the approximate breaks really have
+    rows = literal_table(t.spark, ["break", "near", "exact"], [(i, a, e) for i, (a, e) in enumerate(zip(near, exact, strict=True), start=1)])
+    ranks = t.orders.agg(F.count("*").alias("n"), *[F.count_if(F.col("o_totalprice") <= a).alias(f"r{i}") for i, a in enumerate(near, start=1)])
+    ranks = ranks.select("n", F.posexplode(F.array(*[f"r{i}" for i in range(1, len(near) + 1)])).alias("i", "rank"))
+    off = F.abs(F.col("rank") / F.col("n") - F.col("break") / 7)
+    joined = rows.join(ranks, F.col("break") == F.col("i") + 1)
+    return joined.select("break", "exact", (off <= 2 * sketches.rank_error() + 1 / F.col("n")).alias("within_error"))
+
+
 @query(
     "c5_manual_breaks",
     f"""SELECT region_id, CAST(c AS VARCHAR) AS class_key, {_BLUE}[c + 1] AS color FROM (SELECT region_id,

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 RANK_BUCKET_ROWS = 1_000_000
-RANK_BUCKETS_MAX = 1_000
 
 
 def literal_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
@@ -57,7 +56,7 @@ def lookup_join(
 
 def _cuts(distinct: DataFrame, order: str, count: int) -> list:
     """Bounds that split an ordered set of distinct values into ranges of bounded size."""
-    wanted = min(RANK_BUCKETS_MAX, math.ceil(count / RANK_BUCKET_ROWS))
+    wanted = math.ceil(count / RANK_BUCKET_ROWS)
     if wanted <= 1:
         return []
     fractions = [i / wanted for i in range(1, wanted)]
@@ -106,10 +105,11 @@ def ranked(distinct: DataFrame, order: str, rank: str, collation: str | None = N
     ranges first, so no task orders all of them.
     """
     key = F.collate(order, collation) if collation else F.col(order)
-    if distinct.count() <= RANK_BUCKET_ROWS:
+    count = distinct.count()
+    if count <= RANK_BUCKET_ROWS:
         return distinct.withColumn(rank, F.row_number().over(Window.orderBy(key, order)) - 1)
     checkpointed = checkpoint(
-        distinct.repartitionByRange(RANK_BUCKETS_MAX, key, F.col(order)).withColumn("_part", F.spark_partition_id())
+        distinct.repartitionByRange(math.ceil(count / RANK_BUCKET_ROWS) + 1, key, F.col(order)).withColumn("_part", F.spark_partition_id())
     )
     counts = checkpointed.groupBy("_part").count()
     offsets = counts.withColumn(

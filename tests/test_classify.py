@@ -98,3 +98,29 @@ def test_lookup_join_plans_agree(spark):
         small = sorted(map(tuple, sizing.lookup_join(left, right, ["k"], how, small=True).collect()), key=str)
         large = sorted(map(tuple, sizing.lookup_join(left, right, ["k"], how, small=False).collect()), key=str)
         assert small == large and math.isfinite(len(small))
+
+
+def test_sketches_bracket_exact_breaks(spark):
+    from areal.operators import sketches
+
+    rng = random.Random(3)
+    numbers = [rng.choice([5.0, 5.0, rng.gauss(0, 1), rng.uniform(-1e6, 1e6)]) for _ in range(20_000)]
+    rows = [(f"d{i % 7}", v) for i, v in enumerate(numbers)] + [("d0", None), ("d1", float("nan")), ("none", None)]
+    values = spark.createDataFrame(rows, "day string, v double")
+    for k in (8, 200):  # a coarse sketch takes wider brackets, not other breaks
+        stored = sketches.build(values, ["day"], "v", k)
+        assert stored.count() == 7
+        ordered = sorted(numbers)
+        for classes in (2, 7):
+            wanted = [ordered[min(len(ordered), math.ceil(i * len(ordered) / classes)) - 1] for i in range(1, classes)]
+            assert sketches.exact_breaks(values, "v", stored, classes, k) == wanted
+            near = sketches.breaks(stored, classes)
+            for i, v in enumerate(near, start=1):
+                low, high = sum(x < v for x in ordered), sum(x <= v for x in ordered)
+                slack = 3 * sketches.rank_error(k) * len(ordered)
+                assert low - slack <= i * len(ordered) / classes <= high + slack
+    merged_days = sketches.merge(stored, [])
+    assert merged_days.count() == 1
+    nothing = values.filter("v IS NULL")
+    empty = sketches.build(nothing, ["day"], "v")
+    assert sketches.breaks(empty, 5) == [] and sketches.exact_breaks(nothing, "v", empty, 5) == []
