@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areal.llm.common import portions
+from areal.llm.common import give_back, portions
 
 #: Pretokens of byte-level BPE (fixed by the vocabulary files).
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -44,7 +44,7 @@ PRETOKEN = regex.compile(
 )
 #: Bounds on memory: pieces, pretokens and pairs remembered by a worker, some 50 MB each; characters of a piece or
 #: pretoken worth remembering.
-KNOWN_PIECES, KNOWN_PRETOKENS, KNOWN_PAIRS, KNOWN_CHARS = 200_000, 300_000, 400_000, 48
+KNOWN_PIECES, KNOWN_PRETOKENS, KNOWN_PAIRS, KNOWN_CHARS = 120_000, 300_000, 400_000, 48
 #: Characters, pretokens or tokens taken at a time.
 BLOCK = 50_000
 
@@ -336,6 +336,7 @@ class Codec:
     def forget(self) -> None:
         """Give back the memory of what was remembered; a worker lives on after its task."""
         self.pieces, self.known, self.transducer.fits = Recent(KNOWN_PIECES), Recent(KNOWN_PRETOKENS), Recent(KNOWN_PAIRS)
+        give_back()
 
     def _pretoken(self, pretoken: str) -> bytes:
         """Ids of a pretoken as little-endian 32-bit numbers."""
