@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +44,16 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def tidied(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over the batches of a task that gives freed memory back at the end."""
+
+    def rows(batches: Iterator) -> Iterator:
+        yield from function(batches)
+        give_back()
+
+    return rows
+
+
 def free_name(wanted: str, taken: Iterable[str]) -> str:
     """A column name that no column has, in any case of its letters."""
     lower = {c.lower() for c in taken}

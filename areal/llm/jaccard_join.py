@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areal.llm.common import SHINGLE_WORDS, SIMILARITY, free_name, join_few, portions
+from areal.llm.common import SHINGLE_WORDS, SIMILARITY, free_name, join_few, portions, tidied
 from areal.llm.components import components
 from areal.plans.sizing import checkpoint
 
@@ -242,7 +242,7 @@ def near_copies(
     texts = _placed(docs)
     signed = checkpoint(
         texts.mapInArrow(
-            _signed(bands, rows), "_place long, _text_hash long, set_key binary, size int, bands array<bigint>"
+            tidied(_signed(bands, rows)), "_place long, _text_hash long, set_key binary, size int, bands array<bigint>"
         )
     )
     place = F.struct(*KEY)
@@ -266,7 +266,7 @@ def near_copies(
     suspects = checkpoint(grouped.join(sizes, "group").select(*KEY, "set_key", "group", "blocks"))
 
     sets = join_few(texts, suspects, KEY, "inner").dropDuplicates(["set_key"]).select("group", "set_key", "blocks", "text")
-    sets = sets.mapInArrow(_sets_of, "group long, set_key binary, blocks int, shingles binary")
+    sets = sets.mapInArrow(tidied(_sets_of), "group long, set_key binary, blocks int, shingles binary")
     own = F.pmod(F.xxhash64("set_key", F.lit(SEED)), F.col("blocks")).cast("int")
     dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
@@ -278,7 +278,7 @@ def near_copies(
         "shingles",
     )
     tasks = dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
-    verified = checkpoint(tasks.mapInArrow(_verified(threshold), "a binary, b binary, links long"))
+    verified = checkpoint(tasks.mapInArrow(tidied(_verified(threshold)), "a binary, b binary, links long"))
     links = verified.filter(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("n_links"))
     found = components(verified.filter(F.col("b").isNotNull())).toDF("a", "component")
     linked = checkpoint(links.join(found, "a").select(F.col("a").alias("set_key"), "n_links", "component"))
