@@ -276,7 +276,8 @@ def _pieces(t: Tables):
     opening = F.lit('{"name":"\\"features\\":[ }","crs":{"features":[1,{}]},"type" : "FeatureCollection","features": [')
     head = F.when(F.col("key") == F.col("first"), opening).otherwise(F.lit(","))
     tail = F.when(F.col("key") == F.col("last"), '],"more":[{"id":"none"},{}]}').otherwise("")
-    whole = listed.join(first, "source_key").withColumn("text", F.concat(head, "feature", tail))
+    # parts is 1 or 2: two rows
+    whole = listed.join(F.broadcast(first), "source_key").withColumn("text", F.concat(head, "feature", tail))
     cut = whole.select("source_key", "key", F.posexplode(F.split(F.regexp_replace("text", "}$", ""), "}")).alias("n", "value"))
     return cut.select(
         "source_key", F.floor(F.col("key") / 50).alias("block"), (F.col("key") * 100 + F.col("n")).alias("line"), "value", F.lit(True).alias("braced")

@@ -1,5 +1,6 @@
 """Delimited text, workbooks, feature collections and writers."""
 
+import contextlib
 import json
 import random
 import re
@@ -273,3 +274,52 @@ def test_collections_with_a_repeated_id_are_rejected(spark):
     sources, parsed = pieces.parse_pieces(spark.createDataFrame(rows, "source_key string, block long, line long, value string, braced boolean"))
     found = registry.normalize_features(features.with_properties(parsed, features.PROPERTIES))
     assert [tuple(r) for r in pieces.check(sources, found).collect()] == [("s", "ok", 2, 1, "rejected")]
+
+
+@contextlib.contextmanager
+def _spread(spark, monkeypatch, module):
+    """Partitions that hold rows of each table with texts that a module writes; nothing is small enough to broadcast."""
+    held, write = [], module.checkpoint
+
+    def checkpoint(df):
+        done = write(df)
+        if "_value" in done.columns:
+            held.append(done.select(F.spark_partition_id()).distinct().count())
+        return done
+
+    monkeypatch.setattr(module, "checkpoint", checkpoint)
+    wanted = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield held
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_one_large_collection_is_read_by_many_tasks(spark, monkeypatch):
+    feature = '{{"type":"Feature","properties":{{"region_id":"r{0}"}},"geometry":{{"type":"Polygon","coordinates":[[[{0},0],[1,0],[1,1],[{0},0]]]}}}}'
+    whole = '{"type":"FeatureCollection","features":[' + ",".join(feature.format(i) for i in range(200)) + "]}"
+    rows = [("s", i // 10, i, part, True) for i, part in enumerate(whole.split("}")[:-1])]
+    table = spark.createDataFrame(rows, "source_key string, block long, line long, value string, braced boolean")
+    # dealt by the source, as a join by it leaves the pieces
+    with _spread(spark, monkeypatch, pieces) as held:
+        sources, parsed = pieces.parse_pieces(table.repartition("source_key"))
+        assert sources.collect() == [("s", "ok", 200)]
+        assert sorted((r.ordinal, r.properties["region_id"]) for r in parsed.collect()) == [(i, f"r{i}") for i in range(200)]
+    assert held and min(held) > 1
+
+
+def test_one_large_line_source_is_read_by_many_tasks(spark, monkeypatch):
+    body = [("s", i // 10, i, f'{i};"a\nb"' if i % 5 else f'{i};x') for i in range(1, 4000)]
+    body = [(key, block, line * 2 + n, part) for key, block, line, value in body for n, part in enumerate(value.split("\n"))]
+    table = spark.createDataFrame([("s", 0, 0, "\ufeffn;v"), *body], "source_key string, block long, line long, value string")
+    with _spread(spark, monkeypatch, lines_module) as held:
+        sources, rows = lines_module.parse_lines(table.repartition("source_key"))
+        assert [(r.status, r.delimiter, r.headers, r.n_rows) for r in sources.collect()] == [("ok", "semicolon", ["n", "v"], 3999)]
+        got = rows.select("row_number", F.element_at("cells", "n").alias("n"), F.element_at("cells", "v").alias("v"), F.spark_partition_id().alias("p")).collect()
+        assert sorted(r[:3] for r in got) == [(i + 1, str(i), "a\nb" if i % 5 else "x") for i in range(1, 4000)]
+        assert len({r.p for r in got}) > 1
+    assert held and min(held) > 1
