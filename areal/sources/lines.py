@@ -62,10 +62,22 @@ def _first_records(lines: DataFrame) -> DataFrame:
     )
 
 
-def detect(lines: DataFrame) -> DataFrame:
-    """(source_key, detected) as detect_delimiter finds it, for a table (source_key, _block, _line, _value)."""
+def _blocks(lines: DataFrame) -> DataFrame:
+    """(source_key, _block, _n, _first): lines of each block and its first line."""
+    none = F.count_if(F.col("_line").isNull()) > 0
+    return lines.groupBy(*BLOCK).agg(F.count("*").alias("_n"), F.when(~none, F.min("_line")).alias("_first"))
+
+
+def detect(lines: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """(source_key, detected) as detect_delimiter finds it, for a table (source_key, _block, _line, _value).
+
+    Only lines of the blocks that the first lines of a source lie in are ordered.
+    """
+    blocks = _blocks(lines) if blocks is None else blocks
     in_source = Window.partitionBy("source_key").orderBy("_block", "_line")
-    heads = lines.withColumn("_n", F.row_number().over(in_source)).filter(F.col("_n") <= HEAD_LINES + 1)
+    before = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(_blocks_before()), F.lit(0)))
+    near = lookup_join(lines, before.filter(F.col("_before") <= HEAD_LINES).select(*BLOCK), BLOCK, "left_semi")
+    heads = near.withColumn("_n", F.row_number().over(in_source)).filter(F.col("_n") <= HEAD_LINES + 1)
     heads = heads.select("source_key", F.lit(0).alias("_block"), F.col("_n").alias("_line"), "_value")
     size = heads.groupBy("source_key").agg(F.count("*").alias("_lines"))
 
@@ -82,7 +94,8 @@ def detect(lines: DataFrame) -> DataFrame:
     more = first.filter((F.col("_lines") > HEAD_LINES) & (F.col("_whole") < DETECTION_RECORDS)).select("source_key")
     if more.isEmpty():
         return first.select("source_key", "detected")
-    rest = best(_first_records(lookup_join(lines, more, ["source_key"], "left_semi")))
+    wanted = lookup_join(blocks.select(*BLOCK), more, ["source_key"], "left_semi")
+    rest = best(_first_records(lookup_join(lines, wanted, BLOCK, "left_semi")))
     return first.join(more, "source_key", "left_anti").select("source_key", "detected").unionByName(rest.drop("_whole"))
 
 
@@ -113,20 +126,24 @@ def parse_lines(
     lines = lines.select(
         "source_key", F.col("block").alias("_block"), F.col("line").alias("_line"), text.text_of("value").alias("_value")
     )
-    if byte_order_marks:
-        first = lines.groupBy("source_key").agg(F.min(F.struct("_block", "_line")).alias("_first"))
-        stripped = F.when(F.struct("_block", "_line") == F.col("_first"), F.regexp_replace("_value", "^\ufeff", ""))
-        lines = lookup_join(lines, first, ["source_key"], "left").select(
-            "source_key", "_block", "_line", F.coalesce(stripped, F.col("_value")).alias("_value")
-        )
+    blocks = checkpoint(_blocks(lines))
     if delimiter == "auto":
-        known = detect(lines)
+        known = detect(lines, blocks)
     else:
-        known = lines.select("source_key").distinct().withColumn(
+        known = blocks.select("source_key").distinct().withColumn(
             "detected", F.struct(F.lit(delimiter).alias("delimiter"), F.lit("manual").alias("confidence"))
         )
     known = known.select("source_key", F.col("detected.delimiter").alias("_delimiter"), F.col("detected.confidence").alias("confidence"))
-    lines = lookup_join(lines, known.drop("confidence"), ["source_key"], "inner")
+    # What a source is known by reaches its lines by their blocks: a join by the source alone would bring its lines
+    # into one task.
+    facts = lookup_join(blocks.select(*BLOCK, "_first"), known.drop("confidence"), ["source_key"], "inner")
+    if byte_order_marks:
+        opening = blocks.groupBy("source_key").agg(F.min("_block").alias("_opening"))
+        facts = lookup_join(facts, opening, ["source_key"], "inner").withColumn("_opens", F.col("_block") == F.col("_opening"))
+    lines = lookup_join(lines.repartition(*BLOCK), facts, BLOCK, "inner")
+    if byte_order_marks:
+        first = F.col("_opens") & F.col("_line").eqNullSafe(F.col("_first"))
+        lines = lines.withColumn("_value", F.when(first, F.regexp_replace("_value", "^\ufeff", "")).otherwise(F.col("_value")))
 
     moved = lines.withColumns({"_out": _moves(F.col("_delimiter"), False), "_in": _moves(F.col("_delimiter"), True)}).withColumns(
         {
@@ -153,14 +170,12 @@ def parse_lines(
     fixed = F.last(F.when(F.col("_end._after").isNotNull(), F.col("_end._after").bitwiseXOR(F.col("_p"))), True).over(over_source)
     ends = ends.withColumn("_state", F.coalesce(fixed, F.lit(0)).bitwiseXOR(F.col("_p")))
     by_block = Window.partitionBy("source_key").orderBy("_block")
-    whole_source = Window.partitionBy("source_key")
-    ends = checkpoint(ends.select(
-        *BLOCK, F.coalesce(F.lag("_state").over(by_block), F.lit(0)).alias("_start"),
-        (F.last("_state").over(by_block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) == 1).alias("_unclosed"),
-        F.max("_written").over(whole_source).alias("_written"), F.sum("_bytes").over(whole_source).alias("bytes"),
-    ))
-
-    placed = lookup_join(moved, ends.filter("NOT _unclosed").select(*BLOCK, "_start"), BLOCK, "inner")
+    start = F.coalesce(F.lag("_state").over(by_block), F.lit(0))
+    ends = checkpoint(ends.select(*BLOCK, start.alias("_start"), "_state", "_written", "_bytes"))
+    unclosed = ends.groupBy("source_key").agg(F.max_by("_state", "_block").alias("_state")).filter("_state = 1").select("source_key")
+    closed = lookup_join(ends.select(*BLOCK, "_start"), unclosed, ["source_key"], "left_anti")
+
+    placed = lookup_join(moved, closed, BLOCK, "inner")
     state = F.coalesce("_after", F.col("_start").bitwiseXOR(F.col("_parity")))
     in_block = Window.partitionBy(*BLOCK).orderBy("_line")
     placed = placed.withColumn("_ends", state).withColumn("_begins", F.coalesce(F.lag("_ends").over(in_block), F.col("_start")))
@@ -172,7 +187,7 @@ def parse_lines(
             "source_key", "_block", "_line", "_value", "_delimiter", "_begins", "_record"
         )
     )
-    numbered = _carry_over(parts, ends)
+    numbered = _carry_over(parts, closed)
     joined = numbered.groupBy("source_key", "_first_block", "_first_record").agg(
         F.min_by("_line", F.struct("_block", "_line")).alias("_line"),
         F.first("_delimiter").alias("_delimiter"),
@@ -188,13 +203,13 @@ def parse_lines(
     records = checkpoint(whole.unionByName(assembled).filter(full))
     counts = records.groupBy(*BLOCK).agg(F.count("*").alias("_n"))
     offsets = counts.select(*BLOCK, F.coalesce(F.sum("_n").over(_blocks_before()), F.lit(0)).alias("_before"))
-    ordered = lookup_join(records.withColumn("_place", F.row_number().over(in_block)), offsets, BLOCK, "inner")
-    ordered = ordered.withColumn("row_number", F.col("_place") + F.col("_before"))
     cells = delimited.cells_of(F.col("_value"), F.col("_delimiter"))
-    headers = checkpoint(ordered.filter("row_number = 1").select("source_key", delimited.unique_names(cells).alias("headers")))
+    opening = lookup_join(records, offsets.filter("_before = 0").select(*BLOCK), BLOCK, "left_semi")
+    opening = opening.withColumn("_place", F.row_number().over(in_block)).filter("_place = 1")
+    headers = checkpoint(opening.select("source_key", delimited.unique_names(cells).alias("headers")))
 
     sources = ends.groupBy("source_key").agg(
-        F.max("_written").alias("_written"), F.max("_unclosed").alias("_unclosed"), F.max("bytes").alias("bytes")
+        F.max("_written").alias("_written"), (F.max_by("_state", "_block") == 1).alias("_unclosed"), F.sum("_bytes").alias("bytes")
     )
     sources = sources.join(known, "source_key").join(counts.groupBy("source_key").agg(F.sum("_n").alias("_n")), "source_key", "left")
     sources = sources.join(headers, "source_key", "left").withColumns({
@@ -223,9 +238,11 @@ def parse_lines(
         F.col("_delimiter").alias("delimiter"),
         "confidence", "headers", "n_rows", "n_columns", "n_cells", "bytes",
     )
-    rows = lookup_join(ordered.filter("row_number > 1"), headers, ["source_key"], "inner")
+    wanted = lookup_join(offsets, headers, ["source_key"], "inner")
     if limits:
-        rows = lookup_join(rows, sources.filter("status = 'ok'").select("source_key"), ["source_key"], "left_semi")
+        wanted = lookup_join(wanted, sources.filter("status = 'ok'").select("source_key"), ["source_key"], "left_semi")
+    rows = lookup_join(records.withColumn("_place", F.row_number().over(in_block)), wanted, BLOCK, "inner")
+    rows = rows.withColumn("row_number", F.col("_place") + F.col("_before")).filter("row_number > 1")
     rows = rows.withColumns({"_items": cells, "source_id": _source_id()})
     return sources, delimited._finish_rows(rows)
 
@@ -234,7 +251,7 @@ def _source_id() -> Column:
     return F.concat(F.lit("src_"), F.sha2(text.text_of("source_key"), 256))
 
 
-def _carry_over(parts: DataFrame, ends: DataFrame) -> DataFrame:
+def _carry_over(parts: DataFrame, closed: DataFrame) -> DataFrame:
     """Key of the record a line belongs to: the block and record number of its first line.
 
     A record may run over several blocks; the block it began in is the last one
@@ -242,8 +259,7 @@ def _carry_over(parts: DataFrame, ends: DataFrame) -> DataFrame:
     """
     begins = parts.filter("_begins = 0").groupBy(*BLOCK).agg(F.max("_record").alias("_last_record"))
     carried = (
-        ends.filter("NOT _unclosed")
-        .join(begins, BLOCK, "left")
+        closed.join(begins, BLOCK, "left")
         .withColumn("_open", F.last(F.when(F.col("_last_record").isNotNull(), F.struct("_block", "_last_record")), True).over(_blocks_before()))
         .select(*BLOCK, "_open")
     )
