@@ -9,24 +9,27 @@ negative, and the variants in between are left out and only scored. A threshold
 for each kind, calibrated on candidates kept out of training, selects the spans to
 redact; base spans always stay.
 
-The fit reads the candidates of at most SAMPLE_DOCS documents, those with the
-smallest hashes of their ids, and of these at most SAMPLE_SPANS.
+The fit reads the candidates of all documents. Equal descriptions are counted, so
+boosting works on distinct ones, spread over tasks: each level of a tree is one job
+that adds up gradients by node, feature and bin, and only these sums reach the driver.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from areal.plans.sizing import checkpoint
+
 KINDS = ("email", "ip", "card", "phone")
-#: Bounds of the sample that the trees are fitted on.
-SAMPLE_DOCS, SAMPLE_SPANS = 4000, 20_000
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 16
 #: Share of the selected candidates that must be right on those kept out, and the least threshold.
 PRECISION, LEAST = 0.98, 0.8
@@ -174,78 +177,156 @@ class Trees:
         return 1 / (1 + np.exp(-total))
 
 
-def _boost(x: np.ndarray, y: np.ndarray) -> Trees:
-    """Boosting for the logistic loss; each node takes the bound with the largest second-order gain."""
-    inner = 2**DEPTH - 1
-    start = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-    total = np.full(len(x), start)
-    cuts = [np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1])) for column in x.T]
-    features, bounds, leaves = [], [], []
-    for _ in range(TREES):
-        p = 1 / (1 + np.exp(-total))
-        g, h = y - p, p * (1 - p)
-        node = np.zeros(len(x), dtype=np.int64)
-        feature, bound = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
-        for k in range(inner):
-            here = node == k
-            best = 1e-6
-            for f, cut in enumerate(cuts):
-                place = np.searchsorted(cut, x[here, f], side="left")
-                sums = [np.cumsum(np.bincount(place, w[here], len(cut) + 1)) for w in (g, h)]
-                left_g, left_h = sums[0][:-1], sums[1][:-1]
-                all_g, all_h = sums[0][-1], sums[1][-1]
-                gain = left_g**2 / (left_h + 1) + (all_g - left_g) ** 2 / (all_h - left_h + 1) - all_g**2 / (all_h + 1)
-                if len(gain) and gain.max() > best:
-                    best = gain.max()
-                    feature[k], bound[k] = f, cut[gain.argmax()]
-            node[here] = 2 * k + 1 + (x[here, feature[k]] > bound[k])
-        node -= inner
-        leaf = RATE * np.bincount(node, g, inner + 1) / (np.bincount(node, h, inner + 1) + 1)
-        total += leaf[node]
-        features.append(feature)
-        bounds.append(bound)
-        leaves.append(leaf)
-    return Trees(np.array(features), np.array(bounds), np.array(leaves), start, {})
-
-
-def _threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The least score from which on the candidates kept out are right often enough; above 1 if there is none."""
-    order = np.argsort(-score)
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    ends = np.append(score[order][1:] < score[order][:-1], True) if len(y) else np.zeros(0, dtype=bool)
-    good = np.flatnonzero((right >= PRECISION) & ends)
-    return max(LEAST, float(score[order][good[-1]])) if len(good) else 2.0
-
-
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_spans: int = SAMPLE_SPANS) -> Trees | None:
-    """Fit to a sample of docs (doc_id, text); None where it has no candidates of both signs."""
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    # at most sample_docs ids
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+def _described(docs: DataFrame) -> DataFrame:
+    """(kept, kind, label, x, n): how many candidates of all docs have a description; kept ones are not trained on."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out: Counter = Counter()
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 base = set(base_spans(text or ""))
                 for span in candidates(text or ""):
                     if span in base or broken(text, span):
-                        out.append((doc_id, *span, float(span in base), describe(text, span)))
-            yield pd.DataFrame(out, columns=["doc_id", "kind", "start", "end", "label", "x"])
+                        kept = zlib.crc32(repr((doc_id, *span)).encode()) % 3 == 0
+                        out[kept, KINDS.index(span[0]), int(span in base), tuple(map(float, describe(text, span)))] += 1
+            yield pd.DataFrame([(*key, n) for key, n in out.items()], columns=["kept", "kind", "label", "x", "n"])
 
-    spans = sample.mapInPandas(rows, "doc_id long, kind string, start int, end int, label double, x array<double>")
-    order = F.xxhash64("doc_id", "kind", "start", "end")
-    found = spans.withColumn("at", order).orderBy("at", "doc_id", "start", "end").limit(sample_spans).toPandas()
-    if found["label"].nunique() < 2:
-        return None
-    x, y, kind = np.stack(found["x"].to_numpy()), found["label"].to_numpy(), found["kind"].to_numpy()
-    kept_out = np.arange(len(found)) % 3 == 0
-    if len(np.unique(y[~kept_out])) < 2:
+    found = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    found = found.mapInPandas(rows, "kept boolean, kind int, label int, x array<double>, n long")
+    return found.groupBy("kept", "kind", "label", "x").agg(F.sum("n").alias("n"))
+
+
+def _cuts(described: DataFrame) -> list[np.ndarray]:
+    """Bounds of the bins of each feature: exact quantiles. Features are flags and counts of signs of a candidate, whose
+    length its pattern bounds, so the values of each are few."""
+    counted = described.select("n", F.posexplode("x").alias("feature", "value")).groupBy("feature", "value").agg(F.sum("n").alias("n"))
+    table = counted.toPandas().sort_values(["feature", "value"])
+    cuts = []
+    for _, part in table.groupby("feature"):
+        values, ends = part["value"].to_numpy(), part["n"].to_numpy().cumsum()
+        place = np.linspace(0, 1, BINS + 1)[1:-1] * (ends[-1] - 1)
+        low = values[np.searchsorted(ends, np.floor(place), side="right")]
+        high = values[np.searchsorted(ends, np.ceil(place), side="right")]
+        cuts.append(np.unique(low + (high - low) * (place - np.floor(place))))
+    return cuts
+
+
+def _binned(described: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
+    """Descriptions by the bins of their features, counted again; in a fixed order within each task."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, len(cuts)))
+            bins = np.stack([np.searchsorted(cut, x[:, f], side="left") for f, cut in enumerate(cuts)], axis=1)
+            yield batch[["kept", "kind", "label", "n"]].assign(bins=[row.tobytes() for row in bins.astype(np.uint8)])
+
+    coded = described.mapInPandas(rows, "kept boolean, kind int, label int, n long, bins binary")
+    coded = coded.groupBy("kept", "kind", "label", "bins").agg(F.sum("n").alias("n"))
+    return checkpoint(coded.sortWithinPartitions("kept", "kind", "label", "bins"))
+
+
+def _bins(batch: pd.DataFrame) -> np.ndarray:
+    return np.frombuffer(b"".join(batch["bins"]), dtype=np.uint8).reshape(len(batch), -1).astype(np.int64)
+
+
+def _walk(bins: np.ndarray, feature: np.ndarray, split: np.ndarray, levels: int = DEPTH) -> np.ndarray:
+    """The node of each row some levels down in a tree."""
+    node, rows = np.zeros(len(bins), dtype=np.int64), np.arange(len(bins))
+    for _ in range(levels):
+        node = 2 * node + 1 + (bins[rows, feature[node]] > split[node])
+    return node
+
+
+def _score(bins: np.ndarray, start: float, trees: list[tuple]) -> np.ndarray:
+    total = np.full(len(bins), start)
+    for feature, split, leaf in trees:
+        total += leaf[_walk(bins, feature, split) - (2**DEPTH - 1)]
+    return 1 / (1 + np.exp(-total))
+
+
+def _gradients(trained: DataFrame, start: float, trees: list[tuple], tree: tuple, level: int, features: int) -> np.ndarray:
+    """Sums of gradients and curvatures by node of a level of the growing tree, feature and bin."""
+    shape = (2, 2**level, features, BINS + 1)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros(shape)
+        for batch in batches:
+            if len(batch):
+                bins, n = _bins(batch), batch["n"].to_numpy()
+                p = _score(bins, start, trees)
+                node = _walk(bins, *tree, level) - (2**level - 1)
+                for f in range(features):
+                    place = node * (BINS + 1) + bins[:, f]
+                    for i, weight in enumerate((n * (batch["label"].to_numpy() - p), n * p * (1 - p))):
+                        sums[i, :, f] += np.bincount(place, weight, 2**level * (BINS + 1)).reshape(2**level, -1)
+        yield pd.DataFrame({"sums": [sums.tobytes()]})
+
+    told = trained.select("label", "bins", "n").mapInPandas(rows, "sums binary").collect()
+    return sum((np.frombuffer(r["sums"]).reshape(shape) for r in told), np.zeros(shape))
+
+
+def _boost(trained: DataFrame, start: float, cuts: list[np.ndarray]) -> list[tuple]:
+    """Boosting for the logistic loss; each node takes the bound with the largest second-order gain."""
+    inner = 2**DEPTH - 1
+    trees: list[tuple] = []
+    for _ in range(TREES):
+        # a node that is not split sends all its rows to the left
+        feature, split = np.zeros(inner, dtype=np.int64), np.full(inner, BINS)
+        leaf = np.zeros(inner + 1)
+        for level in range(DEPTH):
+            sums = _gradients(trained, start, trees, (feature, split), level, len(cuts)).cumsum(axis=-1)
+            for k in range(2**level):
+                node, best = 2**level - 1 + k, 1e-6
+                for f, cut in enumerate(cuts):
+                    (left_g, left_h), (all_g, all_h) = sums[:, k, f, : len(cut)], sums[:, k, f, -1]
+                    gain = left_g**2 / (left_h + 1) + (all_g - left_g) ** 2 / (all_h - left_h + 1) - all_g**2 / (all_h + 1)
+                    if len(gain) and gain.max() > best:
+                        best = gain.max()
+                        feature[node], split[node] = f, gain.argmax()
+                if level == DEPTH - 1:
+                    left, both = sums[:, k, feature[node], split[node]], sums[:, k, feature[node], -1]
+                    for side, (g, h) in enumerate((left, both - left)):
+                        leaf[2 * k + side] = RATE * g / (h + 1)
+        trees.append((feature, split, leaf))
+    return trees
+
+
+def _thresholds(kept: DataFrame, start: float, trees: list[tuple]) -> dict[str, float]:
+    """For each kind the least score from which on the candidates kept out are right often enough; above 1 if there is none."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield pd.DataFrame({"kind": batch["kind"], "score": _score(_bins(batch), start, trees), "n": batch["n"], "right": batch["n"] * batch["label"]})
+
+    scored = kept.select("kind", "label", "bins", "n").mapInPandas(rows, "kind int, score double, n long, right long")
+    scored = scored.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
+    best = Window.partitionBy("kind").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    good = scored.withColumn("share", F.sum("right").over(best) / F.sum("n").over(best)).filter(F.col("share") >= PRECISION)
+    least = {KINDS[r["kind"]]: r["score"] for r in good.groupBy("kind").agg(F.min("score").alias("score")).collect()}
+    return {kind: max(LEAST, least[kind]) if kind in least else 2.0 for kind in KINDS}
+
+
+def fit(docs: DataFrame) -> Trees | None:
+    """Fit to the candidates of all docs (doc_id, text); None where they have no candidates of both signs."""
+    described = checkpoint(_described(docs))
+    trained = described.filter("NOT kept")
+    count, right = trained.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("label")), F.lit(0))).first()
+    if right in (0, count):
         return None
-    trees = _boost(x[~kept_out], y[~kept_out])
-    score = trees.score(x[kept_out])
-    of = {k: _threshold(score[kind[kept_out] == k], y[kept_out][kind[kept_out] == k]) for k in KINDS}
-    return Trees(trees.features, trees.bounds, trees.leaves, trees.start, of)
+    share = right / count
+    start = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
+    cuts = _cuts(trained)
+    coded = _binned(described, cuts)
+    trees = _boost(coded.filter("NOT kept"), start, cuts)
+    bound = lambda f, k: cuts[f][k] if k < len(cuts[f]) else np.inf
+    return Trees(
+        np.array([t[0] for t in trees]),
+        np.array([[bound(f, k) for f, k in zip(*t[:2], strict=True)] for t in trees]),
+        np.array([t[2] for t in trees]),
+        start,
+        _thresholds(coded.filter("kept"), start, trees),
+    )
 
 
 def select(text: str, trees: Trees | None) -> tuple[list[Span], list[Span]]:

@@ -188,6 +188,22 @@ def test_pii_query_and_added_spans(spark):
     assert docs.limit(0).select(pii.spans_of(docs, None)).collect() == []
 
 
+def test_pii_fit_reads_every_candidate(spark):
+    texts = ["call +1 (212) 555-0101 or 1.2.3.4", "v 1.999.1.2 or id 1234567890123x", "a@b.cc and (212) 555-0101", None]
+    docs = docs_of(spark, [(i, texts[i % 4]) for i in range(30_000)])
+    n = {r["kept"]: r["n"] for r in pii._described(docs).groupBy("kept").agg(F.sum("n").alias("n")).collect()}
+    told = [s for t in texts[:3] for s in pii.candidates(t) if s in pii.base_spans(t) or pii.broken(t, s)]
+    assert sum(n.values()) == 7500 * len(told) > 20_000
+    # cuts are the quantiles of all values, bins and trees do not depend on how rows are dealt
+    x = np.repeat([pii.describe(texts[0], s) for s in pii.candidates(texts[0])], 3, axis=0)
+    rows = [(False, 0, 1, list(map(float, v)), 1) for v in x]
+    table = spark.createDataFrame(rows, "kept boolean, kind int, label int, x array<double>, n long")
+    for cut, column in zip(pii._cuts(table), x.T, strict=True):
+        assert np.allclose(cut, np.unique(np.quantile(column.astype(float), np.linspace(0, 1, pii.BINS + 1)[1:-1])))
+    trees = [pii.fit(docs.repartition(k)) for k in (2, 7)]
+    assert np.array_equal(trees[0].features, trees[1].features) and np.allclose(trees[0].leaves, trees[1].leaves)
+
+
 # fingerprints
 
 
