@@ -9,6 +9,7 @@ from areal.catalog.registered import Tables, query
 from areal.catalog.scalars import sql_text
 from areal.operators import lineage, project, quality, registry
 from areal.plans import inputs
+from areal.plans.sizing import spread
 
 _B, _R, _P = registry.BOUNDARY_VERSION, registry.REGISTRY_VERSION, registry.PREVIOUS_BOUNDARY_VERSION
 
@@ -404,7 +405,7 @@ _PLANTED = _PICK.format(
     + " AS issues FROM {customer}",
 )
 def m7_planted(t):
-    planted = t.customer.select(F.col("c_custkey").cast("string").alias("project_id"), F.expr(_PLANTED).alias("document"))
+    planted = spread(t.customer, "c_custkey").select(F.col("c_custkey").cast("string").alias("project_id"), F.expr(_PLANTED).alias("document"))
     return project.document_checks(planted).select("project_id", F.array_join("issues", ",").alias("issues"))
 
 
