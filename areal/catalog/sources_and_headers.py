@@ -6,7 +6,7 @@ import io
 import zipfile
 import zlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from areal.catalog.registered import Tables, query
@@ -202,7 +202,7 @@ def _features(t: Tables):
     return registry.normalize_features(parsed)
 
 
-def _workbook_bytes(names: pd.Series, values: pd.Series, blocked: pd.Series) -> pd.Series:
+def _workbook_bytes(names: pa.Array, values: pa.Array, blocked: pa.Array) -> pa.Array:
     """A workbook per row: two sheets, the first one empty, cells of every kind."""
 
     def book(labels, amounts, extra):
@@ -227,13 +227,14 @@ def _workbook_bytes(names: pd.Series, values: pd.Series, blocked: pd.Series) ->
                 archive.writestr(name, body)
         return buffer.getvalue()
 
-    return pd.Series([book(*row) for row in zip(names, values, blocked, strict=True)])
+    # one row at a time as Python objects
+    return pa.array((book(*(v.as_py() for v in row)) for row in zip(names, values, blocked, strict=True)), pa.binary())
 
 
 def _workbooks(t: Tables):
     """One workbook file per order day."""
     days = t.order_lines.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "price"))).alias("l"))
-    make = F.pandas_udf(_workbook_bytes, "binary")
+    make = F.arrow_udf(_workbook_bytes, "binary")
     labels = F.transform("l", lambda x: F.concat(F.lit("Order "), x["o_orderkey"]))
     amounts = F.transform("l", lambda x: x["price"])
     files = days.select(F.concat(F.lit("/in/"), "day", F.lit(".xlsx")).alias("path"), make(labels, amounts, F.col("day").endswith("3")).alias("content"))
@@ -335,7 +336,8 @@ def k5_store(t):
     geometry.write_partitioned(cells, folder)
     half = cells.filter("province_code = 'P3' AND polygons[0][0][0].x % 2 = 0")
     extra = cells.filter("province_code = 'P2'").withColumn("province_code", F.lit("P9"))
-    half.unionByName(extra).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("province_code").parquet(folder)
+    # dealt by region: a task sorts what it writes by province
+    half.unionByName(extra).repartition("region_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("province_code").parquet(folder)
     return geometry.verify_partitions(t.spark, folder)
 
 

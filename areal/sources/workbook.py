@@ -12,7 +12,7 @@ import struct
 import xml.etree.ElementTree as ET
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +34,17 @@ REQUIRED_PARTS = ["[content_types].xml", "xl/workbook.xml"]
 
 ENTRY_SCHEMA = "path string, length bigint, name string, compressed bigint, uncompressed bigint, method int, problem string"
 CELL_SCHEMA = "path string, sheet_position int, sheet string, row int, column int, value string, problem string"
+_WORD = pa.string()
+ENTRY_TYPES = pa.schema([
+    ("path", _WORD), ("length", pa.int64()), ("name", _WORD), ("compressed", pa.int64()), ("uncompressed", pa.int64()),
+    ("method", pa.int32()), ("problem", _WORD),
+])
+CELL_TYPES = pa.schema([
+    ("path", _WORD), ("sheet_position", pa.int32()), ("sheet", _WORD), ("row", pa.int32()), ("column", pa.int32()),
+    ("value", _WORD), ("problem", _WORD),
+])
+#: Rows that a task gives back at once.
+BATCH_ROWS = 10_000
 
 
 def _entries(content: bytes):
@@ -42,22 +53,45 @@ def _entries(content: bytes):
         return [(i.filename.replace("\\", "/"), i.compress_size, i.file_size, i.compress_type) for i in archive.infolist()]
 
 
-def _list_entries(batches):
+def _files(batches, *columns: str):
+    """Files of Arrow batches one by one; only one content at a time becomes a Python object."""
     for batch in batches:
-        rows = []
-        for path, length, content in zip(batch["path"], batch["length"], batch["content"], strict=True):
+        for values in zip(*[batch.column(c) for c in columns], strict=True):
+            yield [v.as_py() for v in values]
+
+
+def _in_batches(found, schema: pa.Schema):
+    """Record batches of about BATCH_ROWS rows from lists of rows."""
+    rows: list[tuple] = []
+
+    def batch():
+        columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    for part in found:
+        rows += part
+        if len(rows) >= BATCH_ROWS:
+            yield batch()
+            rows.clear()
+    yield batch()
+
+
+def _list_entries(batches):
+    def listed():
+        for path, length, content in _files(batches, "path", "length", "content"):
             try:
                 if content[:4] != b"PK\x03\x04":
                     raise zipfile.BadZipFile
-                rows += [(path, length, *entry, None) for entry in _entries(content)]
+                yield [(path, length, *entry, None) for entry in _entries(content)]
             except (zipfile.BadZipFile, struct.error, ValueError, NotImplementedError):
-                rows.append((path, length, None, None, None, None, "damaged"))
-        yield pd.DataFrame(rows, columns=["path", "length", "name", "compressed", "uncompressed", "method", "problem"])
+                yield [(path, length, None, None, None, None, "damaged")]
+
+    yield from _in_batches(listed(), ENTRY_TYPES)
 
 
 def entries(files: DataFrame) -> DataFrame:
     """Archive entries of files (path, length, content)."""
-    return files.select("path", "length", "content").mapInPandas(_list_entries, ENTRY_SCHEMA)
+    return files.select("path", "length", "content").mapInArrow(_list_entries, ENTRY_SCHEMA)
 
 
 def triage(entry_rows: DataFrame, budget: dict = BUDGET) -> DataFrame:
@@ -171,7 +205,7 @@ def _sheet_cells(content: bytes):
             target = targets[next(v for k, v in sheet.attrib.items() if k.rsplit("}", 1)[-1] == "id")]
             part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
             for _, row in ET.iterparse(io.BytesIO(archive.read(part))):
-                if _tag(row) != "row":
+                if row.tag != "row" and not row.tag.endswith("}row"):
                     continue
                 for place, cell in enumerate(row):
                     text = _cell_text(cell, shared, dates)
@@ -182,19 +216,19 @@ def _sheet_cells(content: bytes):
 
 
 def _read_cells(batches):
-    columns = ["path", "sheet_position", "sheet", "row", "column", "value", "problem"]
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
+    def read_files():
+        for path, content in _files(batches, "path", "content"):
             try:
-                rows = [(path, *cell, None) for cell in _sheet_cells(content)]
+                yield [(path, *cell, None) for cell in _sheet_cells(content)]
             except (zipfile.BadZipFile, KeyError, ET.ParseError, ValueError, IndexError):
-                rows = [(path, None, None, None, None, None, "unreadable")]
-            yield pd.DataFrame(rows, columns=columns)
+                yield [(path, None, None, None, None, None, "unreadable")]
+
+    yield from _in_batches(read_files(), CELL_TYPES)
 
 
 def cells(files: DataFrame) -> DataFrame:
     """Filled cells of workbooks (path, content)."""
-    return files.select("path", "content").mapInPandas(_read_cells, CELL_SCHEMA)
+    return files.select("path", "content").mapInArrow(_read_cells, CELL_SCHEMA)
 
 
 def sheets(cell_rows: DataFrame) -> DataFrame:
