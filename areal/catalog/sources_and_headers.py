@@ -202,7 +202,7 @@ def _features(t: Tables):
     return registry.normalize_features(parsed)
 
 
-def _workbook_bytes(names: pa.Array, values: pa.Array, blocked: pa.Array) -> pa.Array:
+def _workbook_bytes(names, values, blocked) -> list[bytes]:
     """A workbook per row: two sheets, the first one empty, cells of every kind."""
 
     def book(labels, amounts, extra):
@@ -227,14 +227,18 @@ def _workbook_bytes(names: pa.Array, values: pa.Array, blocked: pa.Array) -> pa.
                 archive.writestr(name, body)
         return buffer.getvalue()
 
+    return [book(*row) for row in zip(names, values, blocked, strict=True)]
+
+
+def _workbook_column(names: pa.Array, values: pa.Array, blocked: pa.Array) -> pa.Array:
     # one row at a time as Python objects
-    return pa.array((book(*(v.as_py() for v in row)) for row in zip(names, values, blocked, strict=True)), pa.binary())
+    return pa.array(_workbook_bytes(*((v.as_py() for v in column) for column in (names, values, blocked))), pa.binary())
 
 
 def _workbooks(t: Tables):
     """One workbook file per order day."""
     days = t.order_lines.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "price"))).alias("l"))
-    make = F.arrow_udf(_workbook_bytes, "binary")
+    make = F.arrow_udf(_workbook_column, "binary")
     labels = F.transform("l", lambda x: F.concat(F.lit("Order "), x["o_orderkey"]))
     amounts = F.transform("l", lambda x: x["price"])
     files = days.select(F.concat(F.lit("/in/"), "day", F.lit(".xlsx")).alias("path"), make(labels, amounts, F.col("day").endswith("3")).alias("content"))

@@ -1,16 +1,19 @@
 """Delimited text, workbooks, feature collections and writers."""
 
 import contextlib
+import io
 import json
 import random
 import re
 import shutil
+import zipfile
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from areal.catalog import QUERIES
-from areal.operators import geometry, registry
+from areal.operators import geometry, labels, registry
 from areal.sources import delimited, features, pieces, sinks, workbook
 from areal.sources import lines as lines_module
 from conftest import SF_DIR
@@ -323,3 +326,44 @@ def test_one_large_line_source_is_read_by_many_tasks(spark, monkeypatch):
         assert sorted(r[:3] for r in got) == [(i + 1, str(i), "a\nb" if i % 5 else "x") for i in range(1, 4000)]
         assert len({r.p for r in got}) > 1
     assert held and min(held) > 1
+
+
+def test_workbook_entries_come_in_bounded_batches(monkeypatch):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        for name in ("xl/workbook.xml", "[Content_Types].xml", "x"):
+            archive.writestr(name, "<a/>")
+    contents = [buffer.getvalue(), b"no archive"] * 5
+    files = pa.RecordBatch.from_pydict({"path": [f"f{i}" for i in range(10)], "length": [len(c) for c in contents], "content": contents})
+    monkeypatch.setattr(workbook, "BATCH_ROWS", 4)
+    found = list(workbook._list_entries([files]))
+    assert max(b.num_rows for b in found) <= 6 and len(found) > 3
+    rows = [r for b in found for r in b.to_pylist()]
+    assert Counter(r["path"] for r in rows) == {f"f{i}": 1 if i % 2 else 3 for i in range(10)}
+    assert {r["problem"] for r in rows if r["name"] is None} == {"damaged"}
+
+
+def test_planted_documents_are_dealt_to_all_cores(spark):
+    assert QUERIES["m7_planted_faults"](spark, SF_DIR).rdd.getNumPartitions() > 1
+
+
+def test_anchors_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def place(x):
+        seen.add(1)
+        return float(x)
+
+    n = F.col("n").cast("string")
+    anchors = spark.range(50).withColumnRenamed("id", "n").select(
+        n.alias("id"), n.alias("name"), F.lit("Kota").alias("type"), F.lit("p").alias("province"), F.lit(3).alias("priority"),
+        place.asNondeterministic()("n").alias("lng"), F.lit(1.0).alias("lat"),
+    )
+    schema = "view_id string, min_x double, max_x double, min_y double, max_y double, zoom double, density string, selected_id string, presentation boolean"
+    views = spark.createDataFrame([("far", 0.0, 9.0, 0.0, 2.0, 5.0, "detailed", None, False), ("near", 0.0, 9.0, 0.0, 2.0, 8.0, "detailed", "3", False)], schema)
+    marks = spark.createDataFrame([("near", "4")], "view_id string, id string")
+    got = sorted((r.view_id, r.id, r["rank"], r.text) for r in labels.candidates(anchors, views, marks).collect())
+    ranks = {"3": 100, "4": 90}
+    assert got == [("far", "0", 80, "p"), *[("near", str(i), ranks.get(str(i), 80), str(i)) for i in range(10)]]
+    assert seen.value == 50
