@@ -10,12 +10,14 @@ for each kind, calibrated on candidates kept out of training, selects the spans
 redact; base spans always stay.
 
 The fit reads the candidates of all documents. Equal descriptions are counted, so
-boosting works on distinct ones, spread over tasks: each level of a tree is one job
-that adds up gradients by node, feature and bin, and only these sums reach the driver.
+boosting works on distinct ones, spread over as many tasks as their number needs: each
+level of a tree is one job that adds up gradients by node, feature and bin, and only
+these sums reach the driver.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -33,6 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 TREES, DEPTH, RATE, BINS = 40, 3, 0.2, 16
 #: Share of the selected candidates that must be right on those kept out, and the least threshold.
 PRECISION, LEAST = 0.98, 0.8
+#: Distinct descriptions for each task of boosting, which runs a job for each level of each tree.
+TASK_ROWS = 20_000
 
 Span = tuple[str, int, int]
 
@@ -212,7 +216,8 @@ def _cuts(described: DataFrame) -> list[np.ndarray]:
 
 
 def _binned(described: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
-    """Descriptions by the bins of their features, counted again; in a fixed order within each task."""
+    """Descriptions by the bins of their features, counted again; dealt evenly by their number, whatever the number of
+    shuffle partitions, and in a fixed order within each task."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -221,8 +226,9 @@ def _binned(described: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
             yield batch[["kept", "kind", "label", "n"]].assign(bins=[row.tobytes() for row in bins.astype(np.uint8)])
 
     coded = described.mapInPandas(rows, "kept boolean, kind int, label int, n long, bins binary")
-    coded = coded.groupBy("kept", "kind", "label", "bins").agg(F.sum("n").alias("n"))
-    return checkpoint(coded.sortWithinPartitions("kept", "kind", "label", "bins"))
+    coded = checkpoint(coded.groupBy("kept", "kind", "label", "bins").agg(F.sum("n").alias("n")))
+    tasks = max(1, math.ceil(coded.count() / TASK_ROWS))
+    return checkpoint(coded.repartition(tasks).sortWithinPartitions("kept", "kind", "label", "bins"))
 
 
 def _bins(batch: pd.DataFrame) -> np.ndarray:

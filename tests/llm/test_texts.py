@@ -1,6 +1,7 @@
 """Operators on single texts: formats, models, fingerprints, codecs, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -204,6 +205,33 @@ def test_pii_fit_reads_every_candidate(spark):
     assert np.array_equal(trees[0].features, trees[1].features) and np.allclose(trees[0].leaves, trees[1].leaves)
 
 
+def test_pii_tasks_of_a_level_follow_the_descriptions(spark, monkeypatch):
+    said = "call +1 ({0}) {0}-{1} or id {1}{0}{1}{0}x or v {0}.999.1.2 end{2}"
+    docs = docs_of(spark, [(i, said.format(100 + i * 7 % 900, 1000 + i * 31 % 9000, "," * (i % 9))) for i in range(400)])
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in held}
+    for key, value in held.items():
+        spark.conf.set(key, value)
+    try:
+        described = pii._described(docs)
+        cuts = pii._cuts(described)
+        coded = pii._binned(described, cuts)
+        assert coded.rdd.getNumPartitions() == 1
+        rows = sorted(map(tuple, coded.collect()))
+        monkeypatch.setattr(pii, "TREES", 5)
+        trees = pii.fit(docs)
+        monkeypatch.setattr(pii, "TASK_ROWS", math.ceil(len(rows) / 3))
+        spread, wide = pii._binned(described, cuts), pii.fit(docs)
+        assert sorted(map(tuple, spread.collect())) == rows
+        sizes = [r["count"] for r in spread.groupBy(F.spark_partition_id()).count().collect()]
+        assert spread.rdd.getNumPartitions() == len(sizes) == 3 and max(sizes) < len(rows) / 2
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert np.array_equal(trees.features, wide.features) and np.allclose(trees.leaves, wide.leaves)
+    assert trees.thresholds == pytest.approx(wide.thresholds)
+
+
 # fingerprints
 
 
